@@ -102,7 +102,7 @@ def signatures(elements: np.ndarray) -> np.ndarray:
         if n - len(first) >= n - k:
             prefix = size - -(-size * PERCENT // 100) + 1
             out.append(mix(mix(elements[:prefix]) + label))
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
+    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -197,11 +197,12 @@ def linked_sets(docs: DataFrame, sizes: DataFrame, id: str = "doc_id", text: str
     stars = materialise(shared.join(degree, "key").select("sig", "key", centre.alias("_centre")).where("key != _centre"), "stars")
     discard(shared)
     tried = materialise(stars.select(*_ordered("key", "_centre")).distinct(), "pairs")
-    links = materialise(verified(tried, texts), "links")
+    sketched = materialise(sketches(texts), "sketches")
+    links = materialise(verified(possible(tried, sketched), texts), "links")
     parts = materialise(connected_components(links), "components")
     # all pairs with a centre are compared; what is left of a bucket must hold two sets of different components
     for spanning in (True, False):
-        rest = block_pairs(placed_rows(stars, parts), sketches(texts), spanning).join(tried, ["a", "b"], "left_anti")
+        rest = block_pairs(placed_rows(stars, parts), sketched, spanning).join(tried, ["a", "b"], "left_anti")
         rest = materialise(rest, "pairs")
         more = materialise(verified(rest, texts), "links")
         if not more.isEmpty():
@@ -233,6 +234,22 @@ def sketches(texts: DataFrame) -> DataFrame:
     return texts.select("key", sketch("text").alias("_s")).select("key", "_s.size", "_s.sketch")
 
 
+def possible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and histograms don't rule out."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (4, 5))
+            m, n = (batch.column(i).to_numpy() for i in (2, 3))
+            distance = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+            near = (100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n)) & (distance * (100 + PERCENT) <= (100 - PERCENT) * (m + n))
+            yield batch.select([0, 1]).filter(pa.array(near))
+
+    left = sketched.select(F.col("key").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x"))
+    right = sketched.select(F.col("key").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(pick, "a bigint, b bigint")
+
+
 def close_pairs(keys: np.ndarray, parts: np.ndarray, sizes: np.ndarray, bins: np.ndarray, sides: np.ndarray, spanning: bool) -> list[np.ndarray]:
     """Index pairs of different parts that the histograms leave possible; from one side to the other where there are two."""
     rows = np.flatnonzero(sides == sides[0])

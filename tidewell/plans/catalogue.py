@@ -1,3 +1,362 @@
-"""Registered queries."""
-QUERIES = {}
-ORACLES = {}
+"""Registered queries of the time-series, anomaly, vector and message operators, each with its SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewell.functions.timestamps import INTERVALS, STEPS, minmax, to_millis
+from tidewell.operators import anomalies, scaling, series, uplink, vectors
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+EVENTS = "WITH e AS (SELECT event_id, user_id, event_type, value AS v, props, epoch_us(ts) // 1000 AS t FROM events)"
+BY_USER = "PARTITION BY user_id ORDER BY t, event_id"
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("value").alias("v"), "props", to_millis(F.col("ts")).alias("t"))
+
+
+def _normalize_sql(interval: str) -> str:
+    step = {"1d": STEPS["12h"], "1d_round": STEPS["1d"]}.get(interval) or STEPS[interval]
+    shift = step // 2 if interval in ("1min", "1h", "1d_round") else 0
+    return f"{EVENTS} SELECT event_id, ((t + {shift}) // {step}) * {step} AS t FROM e"
+
+
+def _normalize(interval: str) -> None:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return series.normalize(events(spark, sf_dir).select("event_id", "t"), "t", interval)
+
+    f.__name__ = f"normalize_{interval}"
+    query(_normalize_sql(interval))(f)
+
+
+for _interval in INTERVALS:
+    _normalize(_interval)
+
+
+@query(f"{EVENTS} SELECT unnest(range((SELECT min(t) FROM e), (SELECT max(t) FROM e) + 1, 300000)) AS t")
+def time_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.time_grid(events(spark, sf_dir).select("t"), "t", 300_000)
+
+
+PREPARE = (
+    f"{EVENTS}, b AS (SELECT (t // 300000) * 300000 AS t, max(v) AS v FROM e GROUP BY 1), "
+    "g AS (SELECT unnest(range((SELECT min(t) FROM b), (SELECT max(t) FROM b) + 1, 300000)) AS t), "
+    "j AS (SELECT g.t, b.v, row_number() OVER (ORDER BY g.t) AS r FROM g LEFT JOIN b ON g.t = b.t), "
+    "w AS (SELECT *, last_value(v IGNORE NULLS) OVER p AS a, first_value(v IGNORE NULLS) OVER n AS z, "
+    "last_value(CASE WHEN v IS NOT NULL THEN r END IGNORE NULLS) OVER p AS ar, first_value(CASE WHEN v IS NOT NULL THEN r END IGNORE NULLS) OVER n AS zr FROM j "
+    "WINDOW p AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) "
+    "SELECT t, CASE WHEN v IS NULL THEN a + (z - a) / (zr - ar) * (r - ar) ELSE v END AS v FROM w"
+)
+
+
+@query(PREPARE)
+def prepare_5min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    buckets = series.normalize(events(spark, sf_dir).select("v", "t"), "t", "5min").groupBy("t").agg(F.max("v").alias("v"))
+    out = series.prepare(buckets, "t", "5min", 300_000, "v")
+    return out.select(to_millis(F.col("t")).alias("t"), "v")
+
+
+def series_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: hourly maxima, on a grid without gaps, as lag vectors with the next value as label."""
+    hourly = series.normalize(events(spark, sf_dir).select("v", "t"), "t", "1h").groupBy("t").agg(F.max("v").alias("v"))
+    return series.lagging(series.prepare(hourly, "t", "1h", STEPS["1h"], "v"), "t", "v", lag=3)
+
+
+GAPS = f"{EVENTS}, j AS (SELECT event_id, user_id, t, CASE WHEN event_id % 7 = 0 THEN NULL ELSE v END AS v, row_number() OVER ({BY_USER}) AS r FROM e)"
+
+
+@query(
+    f"{GAPS}, w AS (SELECT *, last_value(v IGNORE NULLS) OVER p AS a, first_value(v IGNORE NULLS) OVER n AS z, "
+    "last_value(CASE WHEN v IS NOT NULL THEN r END IGNORE NULLS) OVER p AS ar, first_value(CASE WHEN v IS NOT NULL THEN r END IGNORE NULLS) OVER n AS zr FROM j "
+    f"WINDOW p AS ({BY_USER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n AS ({BY_USER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) "
+    "SELECT event_id, CASE WHEN v IS NULL THEN a + (z - a) / (zr - ar) * (r - ar) ELSE v END AS v FROM w"
+)
+def interpolate_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("event_id", "user_id", "t", F.when(F.col("event_id") % 7 != 0, F.col("v")).alias("v"))
+    return series.interpolate(rows, "t", "v", "user_id", "event_id").select("event_id", "v")
+
+
+DIFF1 = f"{EVENTS}, d AS (SELECT *, lag(v) OVER ({BY_USER}) AS l FROM e), d1 AS (SELECT *, v - l AS x FROM d WHERE l IS NOT NULL)"
+DIFF2 = f"{DIFF1}, d2 AS (SELECT *, lag(x) OVER ({BY_USER}) AS l2 FROM d1)"
+
+
+@query(f"{DIFF1} SELECT event_id, round(x, 6) AS v_diff_1 FROM d1")
+def diff1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, model = series.difference(events(spark, sf_dir), "t", "v", 1, 1, "user_id", "event_id")
+    return out.select("event_id", F.round(model.output, 6).alias("v_diff_1"))
+
+
+@query(f"{DIFF2} SELECT event_id, round(x - l2, 6) AS v_diff_2 FROM d2 WHERE l2 IS NOT NULL")
+def diff2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, model = series.difference(events(spark, sf_dir), "t", "v", 2, 1, "user_id", "event_id")
+    return out.select("event_id", F.round(model.output, 6).alias("v_diff_2"))
+
+
+@query(f"{DIFF2} SELECT event_id, round(v, 6) AS v FROM d2 WHERE l2 IS NOT NULL")
+def undiff2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, model = series.difference(events(spark, sf_dir), "t", "v", 2, 1, "user_id", "event_id")
+    return series.undo_difference(out, model, model.output, "restored").select("event_id", F.round("restored", 6).alias("v"))
+
+
+def _lists(start: str, end: str) -> str:
+    return f"{EVENTS}, w AS (SELECT event_id, list(v) FILTER (WHERE v IS NOT NULL) OVER ({BY_USER} ROWS BETWEEN {start} AND {end}) AS a FROM e)"
+
+
+@query(f"{_lists('3 PRECEDING', 'CURRENT ROW')} SELECT event_id, a[1] AS f1, a[2] AS f2, a[3] AS f3, a[4] AS label FROM w WHERE len(a) = 4")
+def lag_features_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = series.lagging(events(spark, sf_dir), "t", "v", lag=3, group="user_id", tiebreak="event_id")
+    return out.select("event_id", *[F.get("features", F.lit(i)).alias(f"f{i + 1}") for i in range(3)], "label")
+
+
+@query(f"{_lists('2 PRECEDING', '1 PRECEDING')} SELECT event_id, a[1] AS f1, a[2] AS f2 FROM w WHERE len(a) = 2")
+def lag_past(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = series.lagging(events(spark, sf_dir), "t", "v", "pastFeatures", lag=2, group="user_id", tiebreak="event_id")
+    return out.select("event_id", *[F.get("features", F.lit(i)).alias(f"f{i + 1}") for i in range(2)])
+
+
+@query(f"{_lists('1 PRECEDING', 'CURRENT ROW')} SELECT event_id, a[1] AS f1, a[2] AS f2 FROM w WHERE len(a) = 2")
+def lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = series.lagging(events(spark, sf_dir), "t", "v", "features", lag=2, group="user_id", tiebreak="event_id")
+    return out.select("event_id", *[F.get("features", F.lit(i)).alias(f"f{i + 1}") for i in range(2)])
+
+
+@query("SELECT event_id, round((value - (SELECT min(value) FROM events)) / ((SELECT max(value) FROM events) - (SELECT min(value) FROM events)), 9) AS v_scaled FROM events")
+def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("event_id", "v")
+    return scaling.scale(rows, scaling.fit_scaler(rows, "v")).select("event_id", F.round("v_scaled", 9).alias("v_scaled"))
+
+
+@query("SELECT event_id, round(value, 6) AS v FROM events")
+def minmax_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("event_id", "v")
+    model = scaling.fit_scaler(rows, "v")
+    return scaling.unscale(scaling.scale(rows, model), model).select("event_id", F.round("v_rescaled", 6).alias("v"))
+
+
+@query("SELECT event_id, round((value - 10) / 90, 9) AS v FROM events")
+def minmax_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("event_id", F.round(minmax(F.col("v"), 10.0, 100.0), 9).alias("v"))
+
+
+@query(f"{DIFF1} SELECT event_id, round((x - (SELECT min(x) FROM d1)) / ((SELECT max(x) FROM d1) - (SELECT min(x) FROM d1)), 9) AS scaled, round(v, 6) AS restored FROM d1")
+def diff_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, model = scaling.diff_scale(events(spark, sf_dir), "t", "v", 1, 1, group="user_id", tiebreak="event_id")
+    back = scaling.undo_diff_scale(out, model)
+    return back.select("event_id", F.round("scaled", 9).alias("scaled"), F.round("restored", 6).alias("restored"))
+
+
+def _scaled_sql(i: int) -> str:
+    x = f"CAST(embedding[{i}] AS DOUBLE)"
+    return f"round(({x} - (SELECT min({x}) FROM embeddings)) / ((SELECT max({x}) FROM embeddings) - (SELECT min({x}) FROM embeddings)), 9) AS s{i}"
+
+
+@query(f"SELECT vec_id, {_scaled_sql(1)}, {_scaled_sql(64)} FROM embeddings")
+def scale_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    out = scaling.scale(rows, scaling.fit_scaler(rows, "embedding"), "s")
+    return out.select("vec_id", *[F.round(F.get("s", F.lit(i - 1)), 9).alias(f"s{i}") for i in (1, 64)])
+
+
+SPLIT = f"{EVENTS}, x AS (SELECT min(t) + ceil(0.8::DOUBLE * (max(t) - min(t))) AS edge FROM e)"
+
+
+@query(f"{SPLIT} SELECT event_id, t FROM e, x WHERE t <= edge")
+def time_split_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.time_split(events(spark, sf_dir).select("event_id", "t"), "t", "80:20")[0]
+
+
+@query(f"{SPLIT} SELECT event_id, t FROM e, x WHERE t > edge")
+def time_split_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.time_split(events(spark, sf_dir).select("event_id", "t"), "t", "80:20")[1]
+
+
+@query(None)
+def randomize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaling.randomize(events(spark, sf_dir).select("event_id", "v"), "v", "noisy", seed=3, with_difference=True)
+
+
+RANKS = "r AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS k, count(*) OVER () AS n FROM lineitem)"
+
+
+@query(
+    f"WITH {RANKS}, q AS (SELECT max(CASE WHEN k = greatest(1, floor(0.25 * n + 0.5)) THEN v END) AS a, max(CASE WHEN k = least(n, floor(0.75 * n + 0.5)) THEN v END) AS b FROM r), "
+    "f AS (SELECT a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi FROM q) "
+    "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_extendedprice < lo THEN l_extendedprice - lo WHEN l_extendedprice > hi THEN l_extendedprice - hi ELSE 0 END, 6) AS tukey_dist FROM lineitem, f"
+)
+def tukey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return anomalies.tukey_distance(rows, "l_extendedprice").select("l_orderkey", "l_linenumber", F.round("tukey_dist", 6).alias("tukey_dist"))
+
+
+@query(f"WITH {RANKS} SELECT max(CASE WHEN k = floor(0.05 * n + 0.5) THEN v END) AS q0, max(CASE WHEN k = floor(0.85 * n + 0.5) THEN v END) AS q1 FROM r")
+def nearest_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomalies.nearest_ranks(read(spark, sf_dir, "lineitem").select("l_extendedprice"), "l_extendedprice", (5, 85))
+
+
+@query(f"{_lists('2 PRECEDING', '2 FOLLOWING')} SELECT event_id, CAST(0.0 AS DOUBLE) AS cp_score, false AS is_cp FROM w WHERE len(a) = 5")
+def changepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomalies.change_points(events(spark, sf_dir), "t", "v", 2, 0.5, "user_id", "event_id").select("event_id", "cp_score", "is_cp")
+
+
+@query(
+    f"{_lists('2 PRECEDING', '2 FOLLOWING')}, s AS (SELECT event_id, (a[3] + a[4]) / 2 AS y, (a[1] + a[2]) / 2 AS x FROM w WHERE len(a) = 5) "
+    "SELECT event_id, round(abs(y - x) / (abs(y) + abs(x)), 6) AS cp_score, abs(y - x) / (abs(y) + abs(x)) > 0.5 AS is_cp FROM s"
+)
+def changepoint_mean_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = anomalies.change_points(events(spark, sf_dir), "t", "v", 2, 0.5, "user_id", "event_id", anomalies.mean_shift)
+    return out.select("event_id", F.round("cp_score", 6).alias("cp_score"), "is_cp")
+
+
+@query("SELECT p_partkey, 'p_brand=' || p_brand AS w1, 'p_size=' || p_size AS w2, 'p_type=' || p_type AS w3 FROM part")
+def documentize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vectors.documentize(read(spark, sf_dir, "part"), ["p_brand", "p_size", "p_type"])
+    return out.select("p_partkey", *[F.get("document", F.lit(i)).alias(f"w{i + 1}") for i in range(3)])
+
+
+def _elements(df: DataFrame, *keys: str) -> DataFrame:
+    array = vector_to_array("vector")
+    return df.select(*keys, F.get(array, F.lit(0)).alias("x1"), F.get(array, F.lit(1)).alias("x2"))
+
+
+FLAGS = ("l_returnflag", "l_linestatus")
+COUNTED = "count(*) OVER (PARTITION BY l_returnflag) AS a, count(*) OVER (PARTITION BY l_linestatus) AS b, count(*) OVER () AS n"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, a::DOUBLE / n AS x1, b::DOUBLE / n AS x2 FROM (SELECT l_orderkey, l_linenumber, {COUNTED} FROM lineitem)")
+def frequency_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(vectors.frequency_vector(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *FLAGS), FLAGS), "l_orderkey", "l_linenumber")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, a::DOUBLE AS x1, b::DOUBLE AS x2 FROM (SELECT l_orderkey, l_linenumber, {COUNTED} FROM lineitem)")
+def count_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(vectors.frequency_vector(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *FLAGS), FLAGS, mode="count"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT p_partkey, (dense_rank() OVER (ORDER BY p_brand) - 1)::DOUBLE AS x1, (dense_rank() OVER (ORDER BY p_type) - 1)::DOUBLE AS x2 FROM part")
+def index_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _elements(vectors.index_vector(read(spark, sf_dir, "part"), ["p_brand", "p_type"]), "p_partkey")
+
+
+@query(None)
+def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vectors.tfidf_vector(read(spark, sf_dir, "part"), ["p_brand", "p_type"])
+    return out.select("p_partkey", F.round(F.aggregate(vector_to_array("vector"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+X = "CAST(embedding[1] AS DOUBLE)"
+
+
+@query(
+    f"SELECT round(avg({X}), 6) AS mean, round(var_samp({X}), 6) AS variance, count(*) AS count, max({X}) AS max, min({X}) AS min, "
+    f"round(sum(abs({X})), 6) AS norm_l1, round(sqrt(sum({X} * {X})), 6) AS norm_l2, CAST(sum(({X} <> 0)::INT) AS DOUBLE) AS non_zeros FROM embeddings"
+)
+def summarizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vectors.summarize(read(spark, sf_dir, "embeddings"), "embedding", ["mean", "variance", "count", "max", "min", "normL1", "normL2", "numNonZeros"])
+
+    def first(name: str):
+        return F.get(vector_to_array(name), F.lit(0))
+
+    return out.select(
+        F.round(first("mean"), 6).alias("mean"),
+        F.round(first("variance"), 6).alias("variance"),
+        "count",
+        first("max").alias("max"),
+        first("min").alias("min"),
+        F.round(first("normL1"), 6).alias("norm_l1"),
+        F.round(first("normL2"), 6).alias("norm_l2"),
+        first("numNonZeros").alias("non_zeros"),
+    )
+
+
+SCORE = "avg(CASE WHEN n = 1 THEN 0 WHEN a * n / (n - 1) < b THEN 1 - a * n / (n - 1) / b WHEN a * n / (n - 1) > b THEN b / (a * n / (n - 1)) - 1 ELSE 0 END)"
+LONG = "WITH x AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+OWN = "o AS (SELECT d.vec_id, max(CASE WHEN d.label = d.c THEN d.d END) AS a, min(CASE WHEN d.label <> d.c THEN d.d END) AS b, max(CASE WHEN d.label = d.c THEN d.n END) AS n FROM d GROUP BY 1)"
+
+
+@query(
+    f"{LONG}, s AS (SELECT vec_id, label, sum(v * v) AS q FROM x GROUP BY 1, 2), m AS (SELECT label AS c, i, avg(v) AS y FROM x GROUP BY 1, 2), "
+    "k AS (SELECT label AS c, count(*) AS n, avg(q) AS p FROM s GROUP BY 1), dots AS (SELECT x.vec_id, m.c, sum(x.v * m.y) AS z FROM x JOIN m ON x.i = m.i GROUP BY 1, 2), "
+    f"d AS (SELECT s.vec_id, s.label, k.c, k.n, s.q + k.p - 2 * dots.z AS d FROM s JOIN dots ON s.vec_id = dots.vec_id JOIN k ON k.c = dots.c), {OWN} SELECT round({SCORE}, 6) AS silhouette FROM o"
+)
+def silhouette_sq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _silhouette(spark, sf_dir, "silhouette_euclidean")
+
+
+@query(
+    f"{LONG}, s AS (SELECT vec_id, sqrt(sum(v * v)) AS q FROM x GROUP BY 1), u AS (SELECT x.vec_id, x.label, x.i, x.v / s.q AS v FROM x JOIN s ON x.vec_id = s.vec_id), "
+    "m AS (SELECT label AS c, i, avg(v) AS y, count(*) AS n FROM u GROUP BY 1, 2), "
+    f"d AS (SELECT u.vec_id, u.label, m.c, max(m.n) AS n, 1 - sum(u.v * m.y) AS d FROM u JOIN m ON u.i = m.i GROUP BY 1, 2, 3), {OWN} SELECT round({SCORE}, 6) AS silhouette FROM o"
+)
+def silhouette_cos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _silhouette(spark, sf_dir, "silhouette_cosine")
+
+
+def _silhouette(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    rows = vectors.vectorize(read(spark, sf_dir, "embeddings"), "embedding", "_vector", cast=True)
+    return spark.createDataFrame([(round(anomalies.silhouettes(rows, "_vector", "label")[name], 6),)], "silhouette double")
+
+
+@query(None)
+def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, placed, _ = anomalies.cluster(read(spark, sf_dir, "embeddings"), "embedding", {"k": "8", "maxIter": "20", "initSteps": "2", "tol": "1e-4"})
+    return placed.select("vec_id", F.col("_cluster").alias("cluster"))
+
+
+def _message_v2(df: DataFrame) -> DataFrame:
+    text = F.concat(
+        F.lit('{"app_id":"app","dev_id":"'), F.col("event_type"), F.lit('","hardware_serial":"'), F.col("user_id").cast("string"), F.lit('","counter":'), F.col("event_id").cast("string"),
+        F.lit(',"is_retry":false,"confirmed":'), (F.col("event_id") % 2 == 0).cast("string"), F.when(F.col("event_id") % 5 != 0, F.lit(',"payload_raw":"AQ=="')).otherwise(F.lit("")),
+        F.lit(',"payload_fields":'), F.col("props"), F.lit(',"metadata":{"airtime":5,"frequency":868,"gateways":[{"gtw_id":"g","timestamp":7,"rssi":-5}]}}'),
+    )
+    return df.select("event_id", text.alias("value"))
+
+
+@query(
+    "SELECT event_id, event_type AS dev_id, CAST(event_id AS INT) AS counter, CAST(-1 AS INT) AS port, event_id % 2 = 0 AS confirmed, CAST(868 AS DOUBLE) AS frequency, "
+    "CAST(7000 AS BIGINT) AS gateway_time, CAST(-5 AS INT) AS rssi, '0.0' AS altitude FROM events WHERE event_id % 5 <> 0"
+)
+def uplink_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = uplink.parse_v2(_message_v2(events(spark, sf_dir)))
+    gateway = F.get("metadata.gateways", F.lit(0))
+    return out.select("event_id", "dev_id", "counter", "port", "confirmed", "metadata.frequency", gateway["timestamp"].alias("gateway_time"), gateway["rssi"].alias("rssi"), gateway["gateway_altitude"].alias("altitude"))
+
+
+@query("SELECT event_id, 'k' AS attr_name, 'Int' AS attr_type, json_extract_string(props, '$.k') AS attr_value FROM events WHERE event_id % 5 <> 0")
+def uplink_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return uplink.parse_v2(_message_v2(events(spark, sf_dir))).select("event_id", F.explode("attributes").alias("a")).select("event_id", "a.*")
+
+
+@query(
+    "SELECT event_id, event_type AS device_id, CAST(event_id AS INT) AS f_cnt, CAST(0 AS INT) AS f_port, value AS device_latitude, '9.0' AS device_altitude, 'lora' AS modulation, "
+    "CAST(125000 AS BIGINT) AS bandwidth, json_extract_string(props, '$.k') AS attr_value, CAST(12 AS BIGINT) AS gateway_time FROM events"
+)
+def uplink_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(
+        F.lit('{"end_device_ids":{"device_id":"'), F.col("event_type"), F.lit('","dev_eui":"e","join_eui":"j","dev_addr":"a","application_ids":{"application_id":"app"}},"received_at":"r","uplink_message":{"received_at":"n","consumed_airtime":"1s",'),
+        F.lit('"locations":{"user":{"latitude":'), F.col("v").cast("string"), F.lit(',"longitude":2,"altitude":9}},"session_key_id":"s","frm_payload":"p","f_cnt":'), F.col("event_id").cast("string"), F.lit(',"decoded_payload":'), F.col("props"),
+        F.lit(',"rx_metadata":[{"gateway_ids":{"gateway_id":"g","eui":"e"},"time":"t","timestamp":12,"rssi":-1,"channel_rssi":-1,"snr":1.5,"uplink_token":"u","channel_index":2}],"settings":{"data_rate":{"lora":{"bandwidth":125000,"spreading_factor":7}},"coding_rate":"4/5","data_rate_index":5,"frequency":"868"}}}'),
+    )
+    out = uplink.parse_v3(events(spark, sf_dir).select("event_id", text.alias("value")))
+    attribute, gateway = F.get("attributes", F.lit(0)), F.get("gateways", F.lit(0))
+    return out.select("event_id", "device_id", "f_cnt", "f_port", "device_latitude", "device_altitude", "transmission.modulation", "transmission.bandwidth", attribute["attr_value"].alias("attr_value"), gateway["timestamp"].alias("gateway_time"))

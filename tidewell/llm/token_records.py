@@ -84,7 +84,7 @@ class WordTokens:
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}  # fixed values: bytes that byte-level keeps as they are
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: 256 + i for i, b in enumerate(rest)}
-        self.words = Remembered(self._word)
+        self.words = Remembered(self._word, 350_000)
 
     def _pack(self, ids) -> bytes:
         return np.asarray(ids, self.dtype).tobytes()

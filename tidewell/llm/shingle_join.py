@@ -13,12 +13,13 @@ on such subsets alone and therefore adds the elements of its prefix (the least 1
 linked sets share one. So every link has a signature in common, whatever the sets.
 
 Candidates. Sets with a common signature form a bucket. All pairs of a bucket would be too many where copies abound, and
-components need no more than some links. First each set is compared with the bucket's most connected one, and components
-are formed. Buckets that still hold several components are then searched block by block (`BLOCK` sets against as many, in
-numpy): the L1 distance of two sets' histograms of hashes is a lower bound of their difference, so it rules pairs out for
-certain. Of the pairs that pass, a spanning forest by distance is compared and components are formed again; at last, all
-pairs that pass between different components are compared, each. What is left unlinked was ruled out, compared, or shares
-no signature. The comparison is exact, on texts. Nothing is dropped, capped or sampled.
+components need no more than some links. First each set is compared with the bucket's least key, which near copies have
+in common in most of their buckets, and components are formed. Buckets that still hold several components are then
+searched block by block (`BLOCK` sets against as many, in numpy): the L1 distance of two sets' histograms of hashes is a
+lower bound of their difference, so it rules pairs out for certain. Of the pairs that pass, a spanning forest by distance
+is compared and components are formed again; at last, all pairs that pass between different components are compared,
+each. What is left unlinked was ruled out, compared, or shares no signature. The comparison is exact, on texts. Nothing
+is dropped, capped or sampled.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import discard, hash_words, materialise, mix, ngrams
+from tidewell.llm.common import hash_words, materialise, mix, ngrams
 from tidewell.llm.components import connected_components
 
 SHINGLE = 5
@@ -171,33 +172,19 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a bigint, b bigint")
 
 
-def _ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def linked_sets(docs: DataFrame, sizes: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(vertex, component) over the keys of the sets that link with another one; sizes: set_sizes(docs)."""
-    bucket = Window.partitionBy("sig")
-    rows = signature_rows(docs, text).withColumns({"_low": F.min("key").over(bucket), "_high": F.max("key").over(bucket)})
-    shared = materialise(rows.where("_low < _high").select("sig", "key").distinct(), "signatures")
+    centre = F.min("key").over(Window.partitionBy("sig"))
+    stars = materialise(signature_rows(docs, text).withColumn("_centre", centre).where("key > _centre").distinct(), "stars")
+    tried = materialise(stars.select(F.col("_centre").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
 
-    degree = shared.groupBy("key").agg(F.count("*").alias("_n"))
-    wanted = sizes.groupBy("key").agg(F.min("id").alias("_id")).join(degree, "key").select("_id", F.col("key").alias("_key"))
+    keys = tried.select("a").union(tried.select("b")).distinct().withColumnRenamed("a", "key")
+    wanted = sizes.groupBy("key").agg(F.min("id").alias("_id")).join(keys, "key").select("_id", F.col("key").alias("_key"))
     rows = docs.select(F.col(id).alias("_doc"), F.col(text).alias("text")).join(wanted, F.col("_doc").eqNullSafe(F.col("_id")))
-
-    @F.arrow_udf("boolean")
-    def has_key(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, keys in batches:
-            yield pa.array([set_key(shingle_set(t)) == k for t, k in zip(texts.to_pylist(), keys.to_pylist(), strict=True)], pa.bool_())
-
-    # an id that stands for several texts brings them all; one that has the key is kept
-    texts = materialise(rows.where(has_key("text", "_key")).select(F.col("_key").alias("key"), "text").dropDuplicates(["key"]), "texts")
-
-    centre = F.max(F.struct("_n", "key")).over(bucket)["key"]
-    stars = materialise(shared.join(degree, "key").select("sig", "key", centre.alias("_centre")).where("key != _centre"), "stars")
-    discard(shared)
-    tried = materialise(stars.select(*_ordered("key", "_centre")).distinct(), "pairs")
-    sketched = materialise(sketches(texts), "sketches")
+    texts = materialise(sketches(rows.select("_key", "text")), "texts")
+    if not texts.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():  # repeated rows
+        texts = materialise(texts.dropDuplicates(["key"]), "texts")
+    sketched = texts.select("key", "size", "sketch")
     links = materialise(verified(possible(tried, sketched), texts), "links")
     parts = materialise(connected_components(links), "components")
     # all pairs with a centre are compared; what is left of a bucket must hold two sets of different components
@@ -221,17 +208,22 @@ def placed_rows(stars: DataFrame, parts: DataFrame) -> DataFrame:
     return rows.where("_low < _high").select("sig", "key", "part", "n")
 
 
-def sketches(texts: DataFrame) -> DataFrame:
-    """(key, size, sketch): a histogram of each set's hashes, clipped at 255."""
+def sketches(rows: DataFrame) -> DataFrame:
+    """(key, text, size, sketch) of rows (key, text): the sketch is a histogram of the set's hashes, clipped at 255. An id that
+    stands for several texts has brought them all; rows whose text hasn't the key go."""
 
-    @F.arrow_udf("struct<size:bigint,sketch:binary>")
-    def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.to_pylist()]
-            bins = [np.bincount((x >> np.uint64(20)).astype(np.int64) & (BINS - 1), minlength=BINS) for x in sets]
-            yield pa.StructArray.from_arrays([pa.array([len(x) for x in sets], pa.int64()), pa.array([np.minimum(x, 255).astype(np.uint8).tobytes() for x in bins], pa.binary())], ["size", "sketch"])
-
-    return texts.select("key", sketch("text").alias("_s")).select("key", "_s.size", "_s.sketch")
+            keys, sizes, bins = batch.column(0).to_pylist(), [], []
+            for key, t in zip(keys, batch.column(1).to_pylist(), strict=True):
+                elements = shingle_set(t)
+                sizes.append(len(elements) if set_key(elements) == key else None)
+                counts = np.bincount((elements >> np.uint64(20)).astype(np.int64) & (BINS - 1), minlength=BINS)
+                bins.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+            out = pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary())], ["key", "text", "size", "sketch"])
+            yield out.filter(out.column(2).is_valid())
+
+    return rows.mapInArrow(sketch, "key bigint, text string, size bigint, sketch binary")
 
 
 def possible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:

@@ -75,32 +75,35 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (xor-shift, multiply)."""
     h = h ^ (h >> np.uint64(32))
-    h = h * _ODD[0]
-    h = h ^ (h >> np.uint64(29))
-    h = h * _ODD[1]
-    return h ^ (h >> np.uint64(32))
+    h *= _ODD[0]
+    h ^= h >> np.uint64(29)
+    h *= _ODD[1]
+    h ^= h >> np.uint64(32)
+    return h
 
 
 _IS_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-_PLACES = np.random.default_rng(20240501).integers(1 << 63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: What to keep of 8 bytes of which a word has the first 0 to 8.
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def hash_words(data: bytes) -> np.ndarray:
     """64-bit hashes of the words (maximal runs of bytes other than ASCII white space) of a text, in order.
 
-    A word's hash is the sum of its bytes times odd random numbers by their place in it, scrambled with its length.
+    A word's hash is the sum of its scrambled 8-byte pieces, each with its place, scrambled with its length.
     """
-    raw = np.frombuffer(data, np.uint8)
-    at = np.flatnonzero(~_IS_SPACE[raw])
-    if not len(at):
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = _IS_SPACE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
         return np.empty(0, np.uint64)
-    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
-    lengths = np.diff(first, append=len(at))
-    place = at - np.repeat(at[first], lengths)
-    weights = _PLACES[0][place & 255]
-    if lengths.max() > 256:
-        weights = weights * _PLACES[1][(place >> 8) & 255] + (place >> 16).astype(np.uint64)
-    values = (raw[at].astype(np.uint64) + np.uint64(1)) * weights
+    eights = np.ndarray(len(data), "<u8", data + bytes(8), strides=(1,))  # the 8 bytes from each place on
+    pieces = (lengths + 7) >> 3
+    first = np.cumsum(pieces) - pieces
+    place = np.arange(int(pieces.sum())) - np.repeat(first, pieces)
+    values = eights[np.repeat(starts, pieces) + 8 * place] & _KEEP[np.minimum(np.repeat(lengths, pieces) - 8 * place, 8)]
+    values = mix(values + place.astype(np.uint64) * _ODD[2])
     return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64) * _ODD[3])
 
 

@@ -52,7 +52,8 @@ def shingle_set(text: str | None) -> np.ndarray:
     words = hash_words((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
     if not len(words):
         return words
-    return np.unique(ngrams(words, min(SHINGLE, len(words))))
+    ordered = np.sort(ngrams(words, min(SHINGLE, len(words))))  # faster than np.unique
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])]
 
 
 def set_key(elements: np.ndarray) -> int:
@@ -88,7 +89,7 @@ def signatures(elements: np.ndarray) -> np.ndarray:
         if k == 0:
             continue  # linked sets of this band are equal, and equal sets are one node
         part = (high * np.uint64(n)) >> np.uint64(32)  # ascends with the hashes
-        first = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         filled = part[first]
         sums = mix(np.add.reduceat(scrambled, first) + filled * _B)
         label = mix(np.array([band], np.uint64))[0]

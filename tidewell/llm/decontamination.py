@@ -1,13 +1,13 @@
-"""Operator 9, benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Operator 9, benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Texts and test items are sequences of lower-cased words. Each item's word trigrams are its seeds; a first pass over all
-documents counts in how many each seed occurs, and an item keeps the seeds that are rare beside its others (`rare_seeds`),
-so function words don't start alignments while an item that leaked into many documents keeps its seeds. A second pass
-finds seed hits, turns them into windows of a document, and aligns item and window by words: an alignment of a copy with
-words changed, dropped or added still scores high. A pair counts from a score of `THRESHOLD` times the item's own score.
+Texts and test items are sequences of lower-cased words. Each item's word trigrams are its seeds, all of them: a seed that
+is in many documents may be all that an edited passage in many documents has left, so none is dropped for its frequency.
+Seed hits are turned into windows of a document, and item and window are aligned by words where the words that they share
+allow the score (an exact bound): an alignment of a copy with words changed, dropped or added still scores high. A pair
+counts from a score of `THRESHOLD` times the item's own score.
 
 The test items are the query set: they are broadcast in blocks of at most `BLOCK_BYTES`, each of which is run against all
-documents. Documents are never shuffled; seed counts are summed in the tasks first.
+documents in one pass. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -33,13 +33,13 @@ def words_of(text: str) -> list[bytes]:
 
 
 class SeedIndex:
-    """Items as word numbers, with their seeds in a sorted array; `keep` says which seeds are used, all by default.
+    """Items as word numbers, with their seeds in a sorted array.
 
     A word's number is its place among the words of all items, from 1 on; other words are 0, and equal nothing. A seed
     is the number that its words' numbers make as digits, so seeds are exact.
     """
 
-    def __init__(self, items: list[tuple[int, str]], keep: set[int] | None = None):
+    def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         texts = [words_of(t) for _, t in items]
         self.numbers = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t), 1)}
@@ -51,7 +51,7 @@ class SeedIndex:
         for item, words in enumerate(self.words):
             n = min(SEED_WORDS, len(words))  # an item of fewer words is one seed
             if n:
-                rows.setdefault(n, []).extend((g, item, q) for q, g in enumerate(self.grams(words, n).tolist()) if keep is None or g in keep)
+                rows.setdefault(n, []).extend((g, item, q) for q, g in enumerate(self.grams(words, n).tolist()))
         for n, found in rows.items():
             if found:
                 found.sort()
@@ -84,10 +84,6 @@ class SeedIndex:
                 exact = seeds[place] == grams[at]
                 yield n, at[exact], place[exact]
 
-    def present(self, words: np.ndarray) -> np.ndarray:
-        found = [self.tables[n][0][np.unique(place)] for n, _, place in self.hits(words)]
-        return np.concatenate(found) if found else np.empty(0, np.int64)
-
     def matches(self, text: str, threshold: float = THRESHOLD) -> list[tuple[int, float, int, int]]:
         """(item id, score, first word, end word) of each item that a text holds, by the best of its windows."""
         words = self.read(text)
@@ -151,34 +147,6 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best, *span
 
 
-def rare_seeds(items: list[tuple[int, str]], frequency: dict[int, int]) -> set[int]:
-    """Seeds that are rare for their item: in at most 16 documents more than 8 times its lower quartile."""
-    kept: set[int] = set()
-    for words in SeedIndex(items).words:
-        seeds = SeedIndex.grams(words, min(SEED_WORDS, len(words))).tolist() if len(words) else []
-        if seeds:
-            counts = [frequency.get(g, 0) for g in seeds]
-            limit = 16 + 8 * sorted(counts)[len(counts) // 4]
-            kept |= {g for g, c in zip(seeds, counts, strict=True) if c <= limit}
-    return kept
-
-
-def seed_frequencies(docs: DataFrame, items: list[tuple[int, str]], *, text: str = "text") -> dict[int, int]:
-    """Number of documents (all of them) that hold each seed; at most one number for each seed comes to the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(SeedIndex(items))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = shared.value, {}
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                for g in index.present(index.read(t or "")).tolist():
-                    total[g] = total.get(g, 0) + 1
-        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["seed", "n"])
-
-    rows = docs.select(text).mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
-    return {r["seed"]: r["n"] for r in rows.collect()}  # bounded by BLOCK_BYTES of items
-
-
 def item_blocks(items: DataFrame, max_bytes: int = BLOCK_BYTES, *, item: str = "item_id", text: str = "text") -> Iterator[list[tuple[int, str]]]:
     """The items, in blocks of about max_bytes of text; null ids and items without a text are no queries."""
     rows = items.select(F.col(item).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL").distinct()
@@ -190,8 +158,7 @@ def item_blocks(items: DataFrame, max_bytes: int = BLOCK_BYTES, *, item: str = "
 
 def contamination(docs: DataFrame, items: list[tuple[int, str]], threshold: float = THRESHOLD, *, text: str = "text") -> Column:
     """A column of the items (one block of them) that each text holds: HITS; a null text counts as empty and holds none."""
-    index = SeedIndex(items, rare_seeds(items, seed_frequencies(docs, items, text=text)))
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(SeedIndex(items))
 
     @F.arrow_udf(HITS)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -1,10 +1,15 @@
-"""Operator 9, benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Operator 9, benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
 
-Texts and test items are sequences of lower-cased words. Each item's word trigrams are its seeds, all of them: a seed that
-is in many documents may be all that an edited passage in many documents has left, so none is dropped for its frequency.
-Seed hits are turned into windows of a document, and item and window are aligned by words where the words that they share
-allow the score (an exact bound): an alignment of a copy with words changed, dropped or added still scores high. A pair
-counts from a score of `THRESHOLD` times the item's own score.
+Texts and test items are sequences of lower-cased words, and a pair counts from a score of `THRESHOLD` times the item's own
+score. An item's seeds are its pairs of words that stand next to each other or have one word between them; a text may have
+one word between them too. All are seeds, none is dropped for its frequency. A seed weighs 2 where both sides have its
+words next to each other, else 1. An alignment's score is at most 2 plus the weights of its consecutive matches, since each
+match adds 2 and what parts it from the last costs as much as its seed weighs less than 2. So a text is aligned where
+seeds of the weight that the threshold asks for stand close enough together, and no alignment that reaches the threshold
+is missed: words may be changed, dropped or added anywhere.
+
+What seeds can't reach: items of at most 1 / threshold words (two) can have the score without any pair. An item of one word
+is found by that word, one of two words only where both occur with at most one word between them.
 
 The test items are the query set: they are broadcast in blocks of at most `BLOCK_BYTES`, each of which is run against all
 documents in one pass. Documents are never shuffled.
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEED_WORDS, THRESHOLD, BLOCK_BYTES = 3, 0.5, 32 << 20
+THRESHOLD, BLOCK_BYTES, HITS_AT_ONCE = 0.5, 32 << 20, 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD_BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 _HIT = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
@@ -33,7 +38,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 class SeedIndex:
-    """Items as word numbers, with their seeds in a sorted array.
+    """Items as word numbers, with their seeds in a sorted array and the items that have each.
 
     A word's number is its place among the words of all items, from 1 on; other words are 0, and equal nothing. A seed
     is the number that its words' numbers make as digits, so seeds are exact.
@@ -43,64 +48,77 @@ class SeedIndex:
         self.ids = [i for i, _ in items]
         texts = [words_of(t) for _, t in items]
         self.numbers = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t), 1)}
-        if len(self.numbers) >= 1 << 21:
-            raise ValueError("too many words in a block of items for seeds of 63 bits")
         self.words = [np.array([self.numbers[w] for w in t], np.int64) for t in texts]
-        self.tables: dict[int, tuple] = {}
-        rows: dict[int, list[tuple[int, int, int]]] = {}
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        weights: dict[tuple[int, int], int] = {}
         for item, words in enumerate(self.words):
-            n = min(SEED_WORDS, len(words))  # an item of fewer words is one seed
-            if n:
-                rows.setdefault(n, []).extend((g, item, q) for q, g in enumerate(self.grams(words, n).tolist()))
-        for n, found in rows.items():
-            if found:
-                found.sort()
-                seeds, first = np.unique(np.array([g for g, _, _ in found], np.int64), return_index=True)
-                self.tables[n] = (seeds, np.append(first, len(found)), np.array([(i, q) for _, i, q in found], np.int64))
+            for distance in (0,) if len(words) == 1 else (2, 1):  # the nearer pair of the same words has the last word
+                weights.update(((g, item), 2 if distance == 1 else 1) for g in self.grams(words, distance).tolist())
+        rows = sorted((g, item, w) for (g, item), w in weights.items())
+        self.distances = (0, 1, 2) if 1 in self.sizes else (1, 2)
+        self.seeds, first = np.unique(np.array([g for g, _, _ in rows], np.int64), return_index=True)
+        self.first = np.append(first, len(rows))
+        self.items, self.weights = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
 
     def read(self, text: str) -> np.ndarray:
         words = words_of(text)
         return np.fromiter(map(self.numbers.get, words, repeat(0)), np.int64, len(words))
 
     @staticmethod
-    def grams(words: np.ndarray, n: int) -> np.ndarray:
-        """The seeds at each place; 0 where one of the n words is no item's."""
-        if len(words) < n:
-            return np.empty(0, np.int64)
-        m = len(words) - n + 1
-        value, known = words[:m].copy(), words[:m] > 0
-        for i in range(1, n):
-            value = (value << 21) + words[i : i + m]
-            known &= words[i : i + m] > 0
-        return np.where(known, value, 0)
-
-    def hits(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(seed length, positions in words, rows of the seed table) of what occurs in a text."""
-        for n, (seeds, _, _) in self.tables.items():
-            grams = self.grams(words, n)
+    def grams(words: np.ndarray, distance: int) -> np.ndarray:
+        """The seeds of words so far apart at each place (of one word for 0); 0 where one of them is no item's."""
+        if not distance:
+            return words
+        one, two = words[:-distance], words[distance:]
+        return np.where((one > 0) & (two > 0), (one << 31) + two, 0)
+
+    def hits(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(positions in words, items, weights) of the seeds in a text, in parts of about HITS_AT_ONCE."""
+        for distance in self.distances if len(self.seeds) else ():
+            grams = self.grams(words, distance)
             at = np.flatnonzero(grams)
-            if len(at):
-                place = np.minimum(np.searchsorted(seeds, grams[at]), len(seeds) - 1)
-                exact = seeds[place] == grams[at]
-                yield n, at[exact], place[exact]
+            place = np.minimum(np.searchsorted(self.seeds, grams[at]), len(self.seeds) - 1)
+            exact = self.seeds[place] == grams[at]
+            at, place = at[exact], place[exact]
+            many = self.first[place + 1] - self.first[place]
+            upto = np.cumsum(many)
+            cuts = np.searchsorted(upto, np.arange(HITS_AT_ONCE, upto[-1], HITS_AT_ONCE)) if len(at) else ()
+            for p, s, n in zip(np.split(at, cuts), np.split(place, cuts), np.split(many, cuts), strict=True):
+                row = np.repeat(self.first[s] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                yield np.repeat(p, n), self.items[row], self.weights[row] if distance == 1 else np.ones(len(row), np.int64)
+
+    def windows(self, words: np.ndarray, threshold: float) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(item, parts of words) that together hold every alignment of the item with a score from the threshold on."""
+        needs = np.maximum(np.ceil(2 * threshold * self.sizes - 2 - 1e-9), 1)
+        sums = np.zeros(len(self.words))
+        for _, items, weights in self.hits(words):
+            sums += np.bincount(items, weights, len(sums))
+        enough = sums >= needs
+        if not enough.any():
+            return
+        parts = [(p[keep], i[keep], w[keep]) for p, i, w in self.hits(words) if (keep := enough[i]).any()]
+        at, items, weights = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((-weights, at, items))
+        at, items, weights = at[order], items[order], weights[order]
+        own = np.append(True, (items[1:] != items[:-1]) | (at[1:] != at[:-1]))  # the heaviest of each position
+        at, items, weights = at[own], items[own], weights[own]
+        for item, start, n in zip(*(x.tolist() for x in np.unique(items, return_index=True, return_counts=True)), strict=True):
+            p, upto = at[start : start + n], np.append(0, np.cumsum(weights[start : start + n]))
+            span = max(int((3 - 2 * threshold) * self.sizes[item] + 1e-9), 1)  # an alignment has no more words of the text
+            last = np.searchsorted(upto, upto[:-1] + needs[item]) - 1
+            j = np.flatnonzero(last < n)
+            j = j[p[last[j]] - p[j] < span]
+            if len(j):
+                yield item, list(zip(np.maximum(p[last[j]] + 1 - span, 0).tolist(), np.minimum(p[j] + span, len(words)).tolist(), strict=True))
 
     def matches(self, text: str, threshold: float = THRESHOLD) -> list[tuple[int, float, int, int]]:
         """(item id, score, first word, end word) of each item that a text holds, by the best of its windows."""
-        words = self.read(text)
-        windows: dict[int, list[tuple[int, int]]] = {}
-        for n, at, place in self.hits(words):
-            _, first, rows = self.tables[n]
-            for p, s in zip(at.tolist(), place.tolist(), strict=True):
-                for item, q in rows[first[s] : first[s + 1]].tolist():
-                    size = len(self.words[item])
-                    pad = 8 + size // 3
-                    windows.setdefault(item, []).append((max(0, p - q - pad), min(len(words), p - q + size + pad)))
-        found = []
-        for item, parts in windows.items():
+        words, found = self.read(text), []
+        for item, parts in self.windows(words, threshold):
             own, best = self.words[item], (0.0, 0, 0)
             for start, end in merged(parts):
                 window = words[start:end]
-                if np.isin(own, window).sum() >= threshold * len(own):  # a score can't be higher than that
+                if np.isin(own, window).sum() >= threshold * len(own) - 1e-9:  # a score can't be higher than that
                     score, a, b = align(own, window)
                     best = max(best, (score / (MATCH * len(own)), start + a, start + b))
             if best[0] >= threshold:

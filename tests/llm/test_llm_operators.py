@@ -367,6 +367,26 @@ def test_secrets_equal_plain_expressions(spark, docs, odd):
     assert [r.text for r in secret_scan.mask_secrets(odd).where("doc_id <= 2").orderBy("doc_id").collect()] == [None, ""]
 
 
+def test_trigram_queries_come_from_the_expression():
+    rule = lambda p, *flags: secret_scan.Rule("x", re.compile(p, *flags))
+    assert rule("ab(c|de?)f+g").query() == [["abc", "bcf"], ["abd", "bde", "def"], ["abd", "bdf"]]
+    assert rule("x*abc(?=q)[a-z]").query() == [["abc"]] and rule("(?:abc)*|abcd").query() == [[]]
+    assert rule("(?i)mask").query() == [[]] and rule("(?ai)mask").query() == rule("MASK").query() == [["ask", "mas"]]
+    assert rule("x(?i:token)").query() == [["xto"]]
+    queries = {r.kind: r.query() for r in secret_scan.RULES}
+    assert queries.pop("hex") == [[]] and all(t for q in queries.values() for t in q)
+    expressions = ["(?i)to[kK]en", "(?i)straße=|ſecret", "a(?:bc|)d{2,3}ef", "(ab){2}c", "(?x) a b c # abc", "ab[^c]|bc.a", "(?i:S)abc", "(a|b)\\1bca", "(?>ab|a)bc", "a{0}bcd|e?abc", "(?<=a)bcd", "\\x00abc", "K(?i:k)abc"]
+    rules = tuple(secret_scan.Rule(str(i), re.compile(e)) for i, e in enumerate(expressions))
+    rnd = random.Random(7)
+    texts = ["STRASSE= straße= STRAßE= ſecret SECRET", "to\u212aen TOKEN", "ſabc Sabc", "", "ab", *("".join(rnd.choice("aabbccdefABC \0ſ\u212aİΣ") for _ in range(rnd.randint(0, 60))) for _ in range(3000))]
+    for size in (1, 5, 1 << 20):
+        index = secret_scan.BlockIndex(texts, rules, size)
+        for r in rules:
+            assert {i for i, t in enumerate(texts) if r.pattern.search(t)} <= set(index.candidates(r)), r.pattern
+            held = [i for i, t in enumerate(texts) if any(all(g in t.lower() for g in q) for q in r.query())]
+            assert index.candidates(r) == (held if r.query() != [[]] else list(range(len(texts))))
+
+
 def test_fold_and_scratch(spark, odd):
     rows = odd.select("doc_id", held_out(F.col("doc_id")).alias("h")).where("doc_id IS NOT NULL").collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)

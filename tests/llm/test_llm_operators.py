@@ -262,6 +262,27 @@ def test_classifiers_on_the_held_out_fold(spark, docs, labels, name, label, leas
     assert sum(r.predicted == r[label] for r in rows) >= least * len(rows)
 
 
+def test_verdicts_by_thresholds_of_languages(spark, odd):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    folds = {r.doc_id: (r.h, r.c) for r in labels.select("doc_id", held_out(F.col("doc_id")).alias("h"), toxicity.for_calibration(F.col("doc_id")).alias("c")).collect()}
+    assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) and not (h and c) for i, (h, c) in folds.items())
+    rows = toxicity.toxicity_verdicts(docs, labels, least=5).collect()
+    assert len(rows) == docs.count() and all(r.verdict == (r.score >= r.threshold) for r in rows)
+    for language in {r.lang for r in rows}:
+        known = [(r.score, toxic[r.doc_id]) for r in rows if r.lang == language and folds.get(r.doc_id, (0, 0))[1]]
+        f1 = lambda k, known=known: 2 * sum(y for s, y in known if s >= k / 20) / (sum(s >= k / 20 for s, _ in known) + sum(y for _, y in known))
+        wanted = max(range(1, 20), key=lambda k: (f1(k), -abs(k - 10), k)) / 20 if len(known) >= 5 and any(y for _, y in known) else 0.5
+        assert {r.threshold for r in rows if r.lang == language} == {wanted}
+    tested = [r for r in rows if folds.get(r.doc_id, (0, 0))[0]]
+    assert sum(r.verdict == toxic[r.doc_id] for r in tested) >= 0.85 * len(tested)
+    flipped = labels.withColumn("toxic", F.when(held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert sorted(toxicity.toxicity_verdicts(docs, flipped, least=5).collect()) == sorted(rows)
+    odd = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert [r.threshold for r in toxicity.toxicity_verdicts(odd, labels).collect()] == [0.5] * len(ODD)
+
+
 def test_classifiers_take_odd_rows(spark, docs, labels, odd):
     from tidewell.llm.compression_quality import quality_scores
 

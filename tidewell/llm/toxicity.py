@@ -5,7 +5,8 @@ of its buckets' (inflected forms share their stem's). Filters of several widths
 the maximum over all positions is pooled, and a logistic layer gives the score. Training is Adam on a bounded sample of
 labelled rows (`FIT_ROWS`, see common.labelled_sample). One coordinate starts from the log-odds of its bucket among those
 rows where they are significant, so that few epochs suffice. The score never sees language, source, id or labels;
-thresholds for a verdict are calibrated for each language behind it.
+`toxicity_verdicts` puts thresholds behind it that are calibrated for each language, on labelled rows that are neither held out
+nor seen by its network.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import Remembered, labelled_sample, sigmoid
+from tidewell.llm.common import Remembered, held_out, labelled_sample, sigmoid
 
 FIT_ROWS, BUCKETS, WIDTH, FILTERS, WIDTHS, EPOCHS = 8000, 1 << 17, 8, 6, (1, 2, 3), 4
 #: Lengths of the beginnings that longer words are hashed by too.
@@ -212,3 +213,27 @@ def language_thresholds(scored: DataFrame, labels: DataFrame, *, language: str =
     f1 = F.transform(F.sequence(F.lit(1), F.lit(19)), lambda k: F.struct((2.0 * total("_hits", k) / (total("_n", k) + F.col("_y"))).alias("f1"), (-F.abs(k - 10)).alias("near"), k.alias("k")))
     best = F.when((F.col("_n") >= least) & (F.col("_y") > 0), F.array_max(f1)["k"] / 20).otherwise(F.lit(0.5))
     return wide.select(language, best.alias("threshold"))
+
+
+def for_calibration(doc_id: Column) -> Column:
+    """True for a quarter of the ids outside the held-out fold, from which thresholds and no networks are fitted."""
+    return ~held_out(doc_id) & (F.crc32(F.concat(F.lit("calibration "), doc_id.cast("string")).cast("binary")) % 4 == 0)
+
+
+def toxicity_verdicts(docs: DataFrame, labels: DataFrame, *, language: str = "lang", label: str = "toxic", id: str = "doc_id", text: str = "text", least: int = 50, **fit) -> DataFrame:
+    """id, language, score, threshold (of the language) and verdict (1 from the threshold on, else 0) of every whole text.
+
+    The network learns from labelled rows outside the held-out fold and the calibration fold, so scores differ a little from
+    those of toxicity_scores; thresholds come from the calibration fold (see language_thresholds for `least`), 0.5 where it
+    has no row of a language. One row for each row of docs, null languages and ids too.
+    """
+    calibrating = F.coalesce(for_calibration(F.col(id)), F.lit(False))
+    model = fit_toxicity(docs, labels.where(~calibrating), label=label, id=id, text=text, **fit)
+    chosen = labels.where(calibrating).select(id, label)
+    known = docs.select(id, language, text).join(chosen.select(id), id, "left_semi").dropDuplicates([id])
+    thresholds = language_thresholds(known.select(id, language, toxicity_score(F.col(text), model).alias("score")), chosen, language=language, label=label, id=id, least=least)
+    scored = docs.select(id, language, toxicity_score(F.col(text), model).alias("score"))
+    thresholds = thresholds.select(F.col(language).alias("_language"), "threshold")  # a row for each language
+    out = scored.join(F.broadcast(thresholds), F.col(language).eqNullSafe(F.col("_language")), "left").drop("_language")
+    out = out.withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
+    return out.withColumn("verdict", (F.col("score") >= F.col("threshold")).cast("int"))

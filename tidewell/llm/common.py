@@ -127,12 +127,13 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     return pairs if n % 2 == 0 else mix(pairs[:-1] * _ODD[3] + words[n - 1 :])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, max_bytes: int = 1 << 18, balance: bool = False, id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, max_bytes: int = 1 << 16, balance: bool = False, id: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
     """At most `limit` labelled texts (text, 0 or 1) outside the held-out fold, for fitting a model on the driver.
 
     The rows are those with the smallest hash of their id, so the choice is the same in each run and on each cluster;
     with `balance`, half of the limit goes to either label. Texts of over `max_bytes` bytes are passed over here, so that
-    the sample takes at most limit * max_bytes bytes; null ids, labels and texts too. Each id counts once.
+    the sample takes at most limit * max_bytes bytes (half a GB for 8,000 rows); null ids, labels and texts too. Each id
+    counts once.
     """
     known = labels.select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label"), F.xxhash64(F.col(id)).alias("_order"))
     known = known.where(F.col("_label").isin(0, 1) & ~held_out(F.col("_id"))).dropDuplicates(["_id"])

@@ -17,6 +17,7 @@ documents in one pass. Documents are never shuffled.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -27,14 +28,16 @@ from pyspark.sql import functions as F
 
 THRESHOLD, BLOCK_BYTES, HITS_AT_ONCE = 0.5, 32 << 20, 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
-_WORD_BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+_SIGNS = {c: " " for c in range(128) if not chr(c).isalnum()}
+_WORD = re.compile(r"[^\W_]+")
 _HIT = pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
 HITS = "array<struct<item_id:bigint,score:double,start:bigint,end:bigint>>"
 
 
-def words_of(text: str) -> list[bytes]:
-    """Runs of letters and digits, in lower case."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits of any script, in lower case; typographic signs part words as plain ones do."""
+    lower = text.lower()
+    return lower.translate(_SIGNS).split() if lower.isascii() else _WORD.findall(lower)  # the same, but faster
 
 
 class SeedIndex:
@@ -120,7 +123,7 @@ class SeedIndex:
                 window = words[start:end]
                 if np.isin(own, window).sum() >= threshold * len(own) - 1e-9:  # a score can't be higher than that
                     score, a, b = align(own, window)
-                    best = max(best, (score / (MATCH * len(own)), start + a, start + b))
+                    best = max(best, (score / (MATCH * len(own)), start + a, start + b), key=lambda x: x[0])
             if best[0] >= threshold:
                 found.append((self.ids[item], *best))
         return sorted(found)
@@ -190,8 +193,10 @@ def contamination(docs: DataFrame, items: list[tuple[int, str]], threshold: floa
 def contaminated_pairs(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, id: str = "doc_id", text: str = "text", **columns) -> DataFrame:
     """(id, item_id, score, first_word, end_word) for each document and each test item that it holds a copy of.
 
-    Repeated rows of docs give their pairs each; an empty table on either side gives no pairs. Only id and text of docs
-    are read, so other columns can't clash.
+    Null and empty texts, and items without words, are in no pair; texts are aligned whole, however long, in windows around
+    their seeds. Of windows with the same score the first in the text is given. Repeated rows of docs give their pairs each,
+    repeated items count once; an empty table on either side gives no pairs. Only id and text of docs are read, so
+    other columns can't clash.
     """
     rows = docs.select(F.col(id), F.col(text).alias("_text"))
     parts = [rows.select(id, F.explode(contamination(rows, block, threshold, text="_text")).alias("_hit")) for block in item_blocks(items, **columns)]
@@ -202,7 +207,8 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, *, threshold: float =
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, threshold: float = THRESHOLD, text: str = "text", **columns) -> DataFrame:
-    """The rows of docs, all columns unchanged, whose texts hold no test item."""
+    """The rows of docs, all columns unchanged and of whatever names, whose texts hold no test item (see contaminated_pairs).
+    Null and empty texts and rows with null ids stay, repeated rows share their fate; an empty table gives an empty one."""
     kept = docs
     for block in item_blocks(items, **columns):
         kept = kept.where(F.size(contamination(docs, block, threshold, text=text)) == 0)

@@ -193,7 +193,8 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = MORE, *, id: str =
 
 
 def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with each secret in its texts replaced by a mark (overlapping spans by one); null texts stay null."""
+    """docs with each secret in its texts replaced by a mark (overlapping spans by one); null texts stay null, empty ones empty.
+    All other columns, of whatever names, stay as they are, so do repeated rows; an empty table gives an empty one."""
 
     @F.arrow_udf("string")
     def mask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -2,11 +2,11 @@
 
 Words and the beginnings of longer words are hashed to buckets with an embedding each, and a word's embedding is the sum
 of its buckets' (inflected forms share their stem's). Filters of several widths run over the sequence of a text's words,
-the maximum over all positions is pooled, and a logistic layer gives the score. Training is Adam on a bounded sample of
-labelled rows (`FIT_ROWS`, see common.labelled_sample). One coordinate starts from the log-odds of its bucket among those
-rows where they are significant, so that few epochs suffice. The score never sees language, source, id or labels;
-`toxicity_verdicts` puts thresholds behind it that are calibrated for each language, on labelled rows that are neither held out
-nor seen by its network.
+the maximum over all positions is pooled, and a logistic layer gives the score. Embeddings, filters and the layer start from random
+numbers and are trained by Adam on a bounded sample of labelled rows (`FIT_ROWS`, see common.labelled_sample), with words left
+out at random; a fifth of the sample chooses the epoch and the cut at a score of 0.5. The score never sees language, source, id
+or labels; `toxicity_verdicts` puts thresholds behind it that are calibrated for each language, on labelled rows that are neither
+held out nor seen by its network.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import Remembered, held_out, labelled_sample, sigmoid
 
-FIT_ROWS, BUCKETS, WIDTH, FILTERS, WIDTHS, EPOCHS = 8000, 1 << 17, 8, 6, (1, 2, 3), 4
+FIT_ROWS, BUCKETS, WIDTH, FILTERS, WIDTHS, EPOCHS = 8000, 1 << 17, 8, 6, (1, 2, 3), 6
+#: A bucket's embedding stays zero below so many training texts; the share of words that training leaves out.
+LEAST_TEXTS, LEFT_OUT = 4, 0.3
 #: Lengths of the beginnings that longer words are hashed by too.
 STEMS = range(4, 9)
 _LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
@@ -41,101 +43,111 @@ def buckets(word: bytes) -> list[int]:
 
 
 class TextCnn:
-    def __init__(self, seed: int = 11):
-        random = np.random.default_rng(seed)
-        self.embedding = (0.02 * random.standard_normal((BUCKETS, WIDTH))).astype(np.float32)
+    """The network. Texts come as rows of a vocabulary, whose rows are buckets; row and bucket 0 are padding, PAD rows of
+    which stand before a text and PAD + 1 behind it."""
+
+    def __init__(self, seed: int = 3):
+        self.random = random = np.random.default_rng(seed)
+        self.embedding = (0.1 * random.standard_normal((BUCKETS, WIDTH))).astype(np.float32)
         self.embedding[0] = 0
         #: Filter weights by (position in the window, coordinate, filter), for each width.
-        self.filters = [(0.1 * random.standard_normal((w, WIDTH, FILTERS))).astype(np.float32) for w in WIDTHS]
+        self.filters = [(random.standard_normal((w, WIDTH, FILTERS)) / np.sqrt(w * WIDTH)).astype(np.float32) for w in WIDTHS]
         self.biases = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
-        self.out = (0.1 * random.standard_normal((len(WIDTHS), FILTERS))).astype(np.float32)
-        self.bias = np.full(1, -3, np.float32)
-        for filters in self.filters:
-            filters[:, 0, :2] += 1.0 / len(filters)  # the first filters of a width begin with the log-odds
-        self.out[:, :2] += 1.0
+        self.out = (random.standard_normal((len(WIDTHS), FILTERS)) / np.sqrt(FILTERS)).astype(np.float32)
+        self.bias = np.full(1, -2, np.float32)
 
     def activations(self, x: np.ndarray) -> list[np.ndarray]:
-        """(filter, position) for each width; x: embeddings of a text's words, padded by PAD zero rows on either side."""
-        kernel = np.concatenate([f for filters in self.filters for f in filters], axis=1)
-        y, out, row = kernel.T @ x.T, [], 0
+        """(position, filter) for each width; x: embeddings of words in order."""
+        out = []
         for filters in self.filters:
-            n = x.shape[0] - len(filters) + 1
-            act = y[row : row + FILTERS, :n].copy()
+            n = len(x) - len(filters) + 1
+            act = x[:n] @ filters[0]
             for j in range(1, len(filters)):
-                act += y[row + j * FILTERS : row + (j + 1) * FILTERS, j : j + n]
+                act += x[j : j + n] @ filters[j]
             out.append(act)
-            row += len(filters) * FILTERS
         return out
 
-    def logit(self, x: np.ndarray) -> float:
-        best = [np.maximum(a.max(axis=1) + b, 0) for a, b in zip(self.activations(x), self.biases, strict=True)]
-        return float((np.array(best) * self.out).sum() + self.bias[0])
-
-    def train(self, texts: list[np.ndarray], vocabulary: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, batch: int = 32, rate: float = 0.01, seed: int = 5) -> None:
-        """texts: rows of the vocabulary (0: padding), whose rows are buckets."""
-        self._start_from_odds(texts, vocabulary, labels)
+    def pooled(self, x: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(text, width, filter): the maxima over each text, with the places where they stand."""
+        every, best, places = self.activations(x), [], []
+        for act, bias in zip(every, self.biases, strict=True):
+            at, where = 0, []
+            for n in lengths:
+                where.append(at + act[at : at + n - PAD].argmax(axis=0))
+                at += n
+            places.append(np.array(where))
+            best.append(act[places[-1], np.arange(FILTERS)] + bias)
+        return np.stack(best, axis=1), places
+
+    def head(self, best: np.ndarray) -> np.ndarray:
+        return (np.maximum(best, 0) * self.out).sum(axis=(1, 2)).astype(float) + self.bias[0]
+
+    def logits(self, texts: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+        vectors, out = self.embedding[vocabulary].sum(axis=1), [np.empty(0)]
+        for i in range(0, len(texts), 64):
+            part = texts[i : i + 64]
+            out.append(self.head(self.pooled(vectors[np.concatenate(part)], [len(t) for t in part])[0]))
+        return np.concatenate(out)
+
+    def train(self, texts: list[np.ndarray], vocabulary: np.ndarray, labels: np.ndarray, batch: int = 32, rate: float = 0.01) -> Iterator[int]:
+        """One epoch after the other; yields their numbers."""
+        counts = np.zeros(BUCKETS, np.int64)
+        for t in texts:
+            counts[np.unique(vocabulary[t])] += 1
+        still = counts < LEAST_TEXTS
+        still[0] = True
+        self.embedding[still] = 0
         parameters = [*self.filters, *self.biases, self.out, self.bias]
-        moments = [[np.zeros_like(p), np.zeros_like(p)] for p in parameters]
-        slow = [np.zeros_like(self.embedding), np.zeros_like(self.embedding)]
-        random, step = np.random.default_rng(seed), 0
-        for _ in range(epochs):
-            order = random.permutation(len(texts))
+        moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
+        slow, step = (np.zeros_like(self.embedding), np.zeros_like(self.embedding)), 0
+        for epoch in range(EPOCHS):
+            order = self.random.permutation(len(texts))
             for i in range(0, len(order), batch):
-                if step % 25 == 0:
-                    vectors = self.embedding[vocabulary].sum(axis=1)
-                gradients, touched = [np.zeros_like(p) for p in parameters], {}
                 rows = order[i : i + batch]
-                for r in rows:
-                    self._gradient(texts[r], vectors, labels[r], gradients, touched, 1 / len(rows))
+                part = [np.where(self.random.random(len(texts[r])) < LEFT_OUT, 0, texts[r]) for r in rows]
+                gradients, words, by_word = self._gradients(part, vocabulary, labels[rows])
                 step += 1
                 for p, g, m in zip(parameters, gradients, moments, strict=True):
                     p -= self._adam(g, m, slice(None), step, rate)
-                for word, g in touched.items():  # only the words that were maxima somewhere
-                    at = vocabulary[word][vocabulary[word] > 0]
-                    self.embedding[at] -= self._adam(g, slow, at, step, 0.1 * rate)
+                own, place = np.unique(vocabulary[words].ravel(), return_inverse=True)
+                by_bucket = np.zeros((len(own), WIDTH), np.float32)
+                np.add.at(by_bucket, place, np.repeat(by_word, vocabulary.shape[1], axis=0))
+                moves = ~still[own]
+                self.embedding[own[moves]] -= self._adam(by_bucket[moves], slow, own[moves], step, rate)
+            yield epoch
 
     @staticmethod
-    def _adam(g: np.ndarray, moments: list[np.ndarray], at, step: int, rate: float) -> np.ndarray:
+    def _adam(g: np.ndarray, moments: tuple[np.ndarray, np.ndarray], at, step: int, rate: float) -> np.ndarray:
         first, second = moments
         first[at] = 0.9 * first[at] + 0.1 * g
         second[at] = 0.999 * second[at] + 0.001 * g * g
         return rate * (first[at] / (1 - 0.9**step)) / (np.sqrt(second[at] / (1 - 0.999**step)) + 1e-8)
 
-    def _start_from_odds(self, texts: list[np.ndarray], vocabulary: np.ndarray, labels: np.ndarray) -> None:
-        counts = np.zeros((2, BUCKETS))
-        for ids, y in zip(texts, labels, strict=True):
-            counts[int(y), np.unique(vocabulary[ids])] += 1
-        share = labels.mean()
-        expected = counts.sum(axis=0) * share
-        odds = np.log((counts[1] + 0.5) / (counts[0] + 0.5) * (1 - share) / share)
-        clear = (counts[1] - expected) / np.sqrt(expected + 0.5) > 4
-        self.embedding[:, 0] = np.where(clear, np.clip(odds, 0, 4), 0)
-        self.embedding[0] = 0
-
-    def _gradient(self, ids: np.ndarray, vectors: np.ndarray, label: float, gradients: list, touched: dict, weight: float) -> None:
-        x = vectors[ids]
-        every = self.activations(x)
-        where = [a.argmax(axis=1) for a in every]
-        best = np.array([np.maximum(a[np.arange(FILTERS), w] + b, 0) for a, w, b in zip(every, where, self.biases, strict=True)])
-        delta = weight * (float(sigmoid(np.float64((best * self.out).sum() + self.bias[0]))) - label)
-        gradients[-2] += delta * best
-        gradients[-1] += delta
-        back = delta * self.out * (best > 0)
-        for k, width in enumerate(WIDTHS):
-            gradients[len(WIDTHS) + k] += back[k]
-            for f in np.flatnonzero(back[k]):
-                at = where[k][f]
-                gradients[k][:, :, f] += back[k, f] * x[at : at + width]
-                for j in range(width):
-                    if word := int(ids[at + j]):
-                        touched[word] = touched.get(word, 0) + back[k, f] * self.filters[k][j, :, f]
+    def _gradients(self, texts: list[np.ndarray], vocabulary: np.ndarray, labels: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of the parameters; and of the embeddings of those words that were maxima somewhere, which come with them."""
+        words, flat = np.unique(np.concatenate(texts), return_inverse=True)
+        x = self.embedding[vocabulary[words]].sum(axis=1)[flat]
+        best, places = self.pooled(x, [len(t) for t in texts])
+        delta = ((sigmoid(self.head(best)) - labels) / len(texts)).astype(np.float32)
+        back = delta[:, None, None] * self.out * (best > 0)
+        by_word, kernels = np.zeros((len(words), WIDTH), np.float32), []
+        for k, filters in enumerate(self.filters):
+            kernel = np.empty_like(filters)
+            for j in range(len(filters)):
+                at = places[k] + j
+                kernel[j] = np.einsum("tfd,tf->df", x[at], back[:, k])
+                np.add.at(by_word, flat[at].ravel(), (back[:, k, :, None] * filters[j].T).reshape(-1, WIDTH))
+            kernels.append(kernel)
+        hit = np.flatnonzero(by_word.any(axis=1))
+        out = np.einsum("t,tkf->kf", delta, np.maximum(best, 0))
+        return [*kernels, *back.sum(axis=0), out, delta.sum(keepdims=True)], words[hit], by_word[hit]
 
 
 class ToxicityModel:
     """A trained network with its shift: the logit at which the labels part best becomes a score of 0.5."""
 
     def __init__(self, sample: list[tuple[str, int]]):
-        self.network, labels = TextCnn(), np.array([y for _, y in sample], float)
+        self.network, labels = TextCnn(), np.array([y for _, y in sample], np.float32)
         self.prior, self.shift, self._vectors = float(labels.mean()) if len(labels) else 0.0, None, None
         if 0 < labels.sum() < len(labels):
             rows: dict[bytes, int] = {}
@@ -143,10 +155,23 @@ class ToxicityModel:
             vocabulary = np.array([[0] * (1 + len(STEMS)), *map(buckets, rows)], np.int32)
             texts = [np.array([0] * PAD + t + [0] * (PAD + 1), np.int32) for t in texts]
             train = np.arange(len(texts)) % 5 != 0
-            self.network.train([t for t, x in zip(texts, train, strict=True) if x], vocabulary, labels[train])
-            check = ~train if 0 < labels[~train].sum() < (~train).sum() else train
-            vectors = self.network.embedding[vocabulary].sum(axis=1)
-            self.shift = best_cut(np.array([self.network.logit(vectors[t]) for t, x in zip(texts, check, strict=True) if x]), labels[check])
+            train |= not 0 < labels[~train].sum() < (~train).sum()
+            check = ~train if (~train).any() else train
+            seen, unseen = ([t for t, x in zip(texts, part, strict=True) if x] for part in (train, check))
+            best = (-1.0, None, 0.0)
+            for _ in self.network.train(seen, vocabulary, labels[train]):
+                logits = self.network.logits(unseen, vocabulary)
+                if (right := area(logits, labels[check])) > best[0]:
+                    best = (right, self._weights(copy=True), best_cut(logits, labels[check]))
+            self._weights(best[1])
+            self.shift = best[2]
+
+    def _weights(self, new: tuple | None = None, copy: bool = False) -> tuple:
+        net = self.network
+        if new:
+            net.embedding, net.filters, net.biases, net.out, net.bias = new
+        own = (net.embedding, net.filters, net.biases, net.out, net.bias)
+        return tuple([x.copy() for x in p] if isinstance(p, list) else p.copy() for p in own) if copy else own
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_vectors": None}
@@ -157,7 +182,9 @@ class ToxicityModel:
             self._vectors = Remembered(lambda word: self.network.embedding[buckets(word)].sum(axis=0).tobytes(), 200_000)
         pad = bytes(4 * WIDTH * PAD)
         data = b"".join([pad, *map(self._vectors.__getitem__, words_of(text)), pad, bytes(4 * WIDTH)])
-        return self.network.logit(np.frombuffer(data, np.float32).reshape(-1, WIDTH))
+        every = self.network.activations(np.frombuffer(data, np.float32).reshape(-1, WIDTH))
+        best = [a[: len(data) // (4 * WIDTH) - PAD].max(axis=0) + b for a, b in zip(every, self.network.biases, strict=True)]
+        return float(self.network.head(np.array([best]))[0])
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.shift is None:
@@ -165,6 +192,13 @@ class ToxicityModel:
         return sigmoid(np.array([self.logit(t) for t in texts], float) - self.shift)
 
 
+def area(values: np.ndarray, labels: np.ndarray) -> float:
+    """Area under the curve of hits over false alarms: how likely a 1 has a higher value than a 0; ties count half."""
+    ordered = np.sort(values[labels == 0])
+    above = values[labels == 1]
+    return float((np.searchsorted(ordered, above, "left") + np.searchsorted(ordered, above, "right")).mean() / (2 * len(ordered)))
+
+
 def best_cut(values: np.ndarray, labels: np.ndarray) -> float:
     """The middle between two neighbours that gives the best F1 for calling what lies above it 1; the middle one of equals."""
     order = np.argsort(-values, kind="stable")

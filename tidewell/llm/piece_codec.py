@@ -2,10 +2,11 @@
 
 The model at hand is a BPE model, not a unigram one, so the lattice has no sum of piece scores to maximise. In its place an
 arc costs one token, and a pair of tokens that BPE would not leave side by side (pieces.py) costs minus infinity; the one
-path that is left is the library's encoding. The rest is the Viterbi scan in the max-plus semiring: a word that is longer
-than `CHUNK` characters is split into chunks; a chunk yields the matrix from the pieces that can cross its left end to
-those that can cross its right end; matrices combine associatively; the best state at each cut follows, and each chunk
-is traced back by itself between its two states. Words, which no piece spans, are cut without any state.
+path that is left is the library's encoding. The rest is the Viterbi scan in the max-plus semiring: a text is split into
+chunks of `CHUNK` characters, anywhere in a word; a chunk yields the matrix from the pieces that can cross its left end to
+those that can cross its right end; matrices combine associatively; the best state at each cut follows, and each chunk is
+traced back by itself between its two states. Between two word boundaries of a chunk, which no piece crosses, every path is
+the same, and words' tokens are remembered.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import Remembered
 from tidewell.llm.pieces import META, Automaton, Pieces
 
-#: Characters in a chunk of a long word; it changes no result. It must exceed the longest piece.
-CHUNK = 512
+#: Characters in a chunk of a text; it changes no result.
+CHUNK = 1 << 13
 
 
 def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -32,72 +34,119 @@ def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1, initial=-np.inf)
 
 
+class Chunk(NamedTuple):
+    """A chunk's transfer matrix from entries to exits, and what its traceback needs: the first certain end of a token (None
+    without any), where its last word begins, the ids between them, those of the spaces before that word, and whether
+    the word's first token is among these."""
+
+    text: str
+    start: int
+    stop: int
+    entries: list[tuple[int, int, str]]
+    exits: list[tuple[int, int, str]]
+    matrix: np.ndarray
+    first: int | None
+    last: int | None
+    inner: bytes
+    run: bytes
+    merged: int = 0
+
+
 class PieceCodec:
     """Encodes to and decodes from arrays of little-endian 32-bit ids, as bytes."""
 
     def __init__(self, pieces: Pieces, chunk: int = CHUNK):
-        self.pieces, self.automaton = pieces, Automaton(pieces)
-        self.chunk = max(chunk, pieces.longest + 1)
+        self.pieces, self.automaton, self.chunk = pieces, Automaton(pieces), chunk
         self.spaced = Remembered(lambda word: self._pack(self.word(META + word)))
         self.bare = Remembered(lambda word: self._pack(self.word(word)), 50_000)
         self.newline = self._pack(pieces.fallback("\n"))
         self.lone = self._pack([pieces.ids[META]])
-        self._known = re.compile(f"({pieces.known})(.?)", re.S)
+        self._known, self._word = re.compile(f"({pieces.known})(.?)", re.S), re.compile(f"[^{META}\n]*")
 
     @staticmethod
     def _pack(ids) -> bytes:
         return np.asarray(ids, "<u4").tobytes()
 
-    def _cut_states(self, text: str, at: int) -> list[tuple[int, int, str]]:
-        """The pieces (start, end, piece) that can cover a cut, or end there."""
-        if at == 0:
-            return [(0, 0, "")]
-        last = min(len(text), at + self.pieces.longest - 1)
-        return [(i, j, p) for j in range(at, last + 1) for i, p in self.pieces.ending(text, j) if i < at]
+    def _ids(self, tokens: list[str]) -> bytes:
+        return self._pack([self.pieces.ids[t] for t in tokens])
 
-    def _transfer(self, text: str, right: int, entries: list, exits: list) -> np.ndarray:
-        """Minus the tokens on the path from each entry to each exit; minus infinity without a path."""
+    def chunk_of(self, text: str, start: int, stop: int) -> Chunk:
+        entries, exits = self.pieces.covering(text, start), self.pieces.covering(text, stop)
         matrix = np.full((len(entries), len(exits)), -np.inf)
+        first = self.pieces.first_certain(text, start, stop)
+        chunk = Chunk(text, start, stop, entries, exits, matrix, first, None, b"", b"")
+        if first is None:
+            for i, (_, end, piece) in enumerate(entries):
+                if end >= stop:  # one piece over the whole chunk
+                    matrix[i] = [0 if x == entries[i] else -np.inf for x in exits]
+                else:
+                    matrix[i] = self._to_exits(text, end, stop, piece, exits)
+            return chunk
+        last = spaces = self.pieces.last_certain(text, stop, first)
+        while spaces + 1 < stop and text[spaces : spaces + 2] == META + META:
+            spaces += 1
+        run, merged = b"", 0
+        if spaces > last:  # how the spaces merge shows in the whole word
+            known = self._known.match(text, spaces, spaces + 1 + len(self._word.match(text, spaces + 1)[0]))[1]
+            merged = int(self.automaton.path(known)[0] == META)
+            run = self._pack(self.pieces.space_run(spaces - last + merged))
+        inner = self.joined(text[first:last]) if last > first else b""
+        chunk = chunk._replace(last=spaces, inner=inner, run=run, merged=merged)
+        tails = np.zeros(1) if last == stop else self._to_exits(text, spaces, stop, "", exits)
+        tails -= len(inner) // 4 + len(run) // 4 - merged
         for i, (_, end, piece) in enumerate(entries):
-            last = self.pieces.forward(text, end, piece, right)
-            steps = {end: 0}
-            for at in sorted(last):
-                if at > end:
-                    steps[at] = steps[last[at][0]] + 1
-            for j, (start, _, token) in enumerate(exits):
-                if start in last and start >= end and self.pieces.fits(last[start][1], token):
-                    matrix[i, j] = -steps[start] - 1
-        return matrix
-
-    def scan(self, text: str) -> list[str]:
-        """The tokens of a long word whose characters are all pieces."""
-        cuts = [*range(0, len(text) - self.pieces.longest, self.chunk), len(text)]
-        states = [self._cut_states(text, at) for at in cuts]
-        states[-1] = [x for x in states[-1] if x[1] == len(text)]
-        matrices = [self._transfer(text, cuts[i + 1], states[i], states[i + 1]) for i in range(len(cuts) - 1)]
-        ahead = list(accumulate(matrices, max_plus))
-        behind = list(accumulate(matrices[::-1], lambda a, b: max_plus(b, a)))[::-1]
-        chosen = [0]
-        for i in range(1, len(cuts) - 1):
-            chosen.append(int(np.argmax(ahead[i - 1][0] + behind[i].max(axis=1))))
-        chosen.append(int(np.argmax(ahead[-1][0])))
-        tokens: list[str] = []
-        for i in range(len(cuts) - 1):  # each chunk by itself
-            (_, end, piece), (start, _, token) = states[i][chosen[i]], states[i + 1][chosen[i + 1]]
-            last, at, part = self.pieces.forward(text, end, piece, cuts[i + 1]), start, [token]
-            while at > end:
-                at, token = last[at]
-                part.append(token)
-            tokens += part[::-1]
-        return tokens
+            state, count = self.automaton.run(text[end:first], Automaton.behind(piece))
+            if state[1][-1]:
+                matrix[i] = tails - count
+        return chunk
+
+    def _to_exits(self, text: str, start: int, stop: int, before: str, exits: list[tuple[int, int, str]]) -> np.ndarray:
+        """Minus the tokens from behind a piece to each exit, its own piece included; minus infinity without a path."""
+        out = np.full(len(exits), -np.inf)
+        taken = self.automaton.walk(text[start:stop], Automaton.behind(before))
+        counts = list(accumulate([x[1] for x in taken], initial=0))
+        for j, (at, _, piece) in enumerate(exits):
+            if at >= start and (at == start or taken[at - start - 1][2]):
+                token = text[at - taken[at - start - 1][2] : at] if at > start else before
+                if self.pieces.fits(token, piece):
+                    out[j] = -counts[at - start] - 1
+        return out
+
+    def _traced(self, text: str, start: int, stop: int, before: str) -> list[str]:
+        part = text[start:stop]
+        return self.automaton.traced(part, self.automaton.walk(part, Automaton.behind(before)), len(part))
+
+    def traceback(self, chunk: Chunk, entry: int, exit: int) -> bytes:
+        """The ids of a chunk behind its entry's piece, up to and with its exit's."""
+        text, (_, end, before), (at, upto, piece) = chunk.text, chunk.entries[entry], chunk.exits[exit]
+        if chunk.first is None:
+            return b"" if end >= chunk.stop else self._ids([*self._traced(text, end, at, before), piece])
+        head = self._ids(self._traced(text, end, chunk.first, before))
+        if not piece:
+            return head + chunk.inner
+        tail = [*self._traced(text, chunk.last, at, ""), piece]
+        return head + chunk.inner + chunk.run + self._ids(tail[chunk.merged :])
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text."""
+        if not text:
+            return b""
+        text = META + text.replace(" ", META)
+        cuts = self.pieces.cuts(text, self.chunk)
+        chunks = [self.chunk_of(text, a, b) for a, b in zip(cuts, cuts[1:])]
+        if len(chunks) == 1:
+            return self.traceback(chunks[0], 0, 0)
+        ahead = list(accumulate([c.matrix for c in chunks], max_plus))
+        behind = list(accumulate([c.matrix for c in chunks[::-1]], lambda a, b: max_plus(b, a)))[::-1]
+        chosen = [0, *[int(np.argmax(ahead[i][0] + behind[i + 1].max(axis=1))) for i in range(len(chunks) - 1)], 0]
+        return b"".join([self.traceback(c, chosen[i], chosen[i + 1]) for i, c in enumerate(chunks)])  # each by itself
 
     def word(self, text: str) -> list[int]:
         """Ids of a word, with or without its meta space."""
         ids: list[int] = []
         for known, other in self._known.findall(text):
             if known:
-                tokens = self.automaton.path(known) if len(known) <= self.chunk else self.scan(known)
-                ids += map(self.pieces.ids.__getitem__, tokens)
+                ids += map(self.pieces.ids.__getitem__, self.automaton.path(known))
             if other:
                 ids += self.pieces.fallback(other)
         return ids
@@ -126,10 +175,9 @@ class PieceCodec:
         parts = rest.split(META)
         return first + b"".join(self._spaced_words(parts) if "" in parts else map(self.spaced.__getitem__, parts))
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        return self.newline.join(map(self._line, (META + text.replace(" ", META)).split("\n")))
+    def joined(self, text: str) -> bytes:
+        """The ids of a text that begins and ends where tokens end for certain, word by word."""
+        return self.newline.join(map(self._line, text.split("\n")))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""

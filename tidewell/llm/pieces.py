@@ -39,7 +39,9 @@ class Pieces:
         if any(META in p.lstrip(META) for p in self.ids) or len(self.byte_ids) < 256:
             raise ValueError("pieces with inner meta spaces, or without byte fallback, aren't supported")
         self.chars = {p for p in self.ids if len(p) == 1}
-        self.known = "[" + re.escape("".join(sorted(self.chars))) + "]*"
+        known = re.escape("".join(sorted(self.chars)))
+        self.known = f"[{known}]*"
+        self._edge = re.compile(f"(?<=[^{META}]){META}|(?=[^{known}])|(?<=[^{known}])|\\Z", re.S)
         self.prefixes = {p[:i] for p in self.ids for i in range(len(p) + 1)}
         self.longest = max(map(len, self.ids))
         #: What decoding puts for each id: the piece's bytes, or the byte itself, or nothing.
@@ -83,15 +85,49 @@ class Pieces:
         low = max(first, at - self.longest)
         return [(i, text[i:at]) for i in range(low, at) if text[i:at] in self.ids]
 
-    def forward(self, text: str, start: int, before: str, stop: int) -> dict[int, tuple[int, str]]:
-        """For each position in (start, stop] that a path from (start, before) reaches: its one last token, with its start."""
-        last: dict[int, tuple[int, str]] = {start: (start, before)}
-        for at in range(start + 1, stop + 1):
-            for i, piece in self.ending(text, at, start):
-                if i in last and self.fits(last[i][1], piece):
-                    last[at] = (i, piece)
-                    break
-        return last
+    def certain(self, text: str, at: int) -> bool:
+        """Whether a token ends here for certain: at either end of a text, by a character without a piece, and before the
+        first of some meta spaces."""
+        return at in (0, len(text)) or text[at] not in self.chars or text[at - 1] not in self.chars or (text[at] == META != text[at - 1])
+
+    def first_certain(self, text: str, at: int, stop: int) -> int | None:
+        """The first such place from `at` to `stop`, if any."""
+        found = 0 if at == 0 else self._edge.search(text, at).start()
+        return found if found <= stop else None
+
+    def last_certain(self, text: str, at: int, first: int) -> int:
+        """The last such place up to `at`; one is at `first` or behind it."""
+        while at > first and not self.certain(text, at):
+            at -= 1
+        return at
+
+    def word_start(self, text: str, at: int, reach: int) -> int | None:
+        """Where the word begins (with its meta space) that a place within it is in; None if further back than `reach`."""
+        for i in range(at - 1, max(-1, at - 1 - reach), -1):
+            if text[i] == META:
+                return i
+            if text[i] not in self.chars:
+                return i + 1
+        return 0 if at <= reach else None
+
+    def cuts(self, text: str, chunk: int) -> list[int]:
+        """Places to cut a text into chunks: multiples of `chunk`, anywhere in a word, but never behind the first of several meta
+        spaces, nor between those and a word: then before them."""
+        out = [0]
+        for at in range(chunk, len(text), chunk):
+            if text[at - 1] == META and (text[at] == META or text[at - 2 : at - 1] == META):
+                while at and text[at - 1] == META:
+                    at -= 1
+            if at > out[-1]:
+                out.append(at)
+        return [*out, len(text)]
+
+    def covering(self, text: str, at: int) -> list[tuple[int, int, str]]:
+        """The pieces (start, end, piece) that can cover a cut, or end there; one empty piece where a token ends for certain."""
+        if self.certain(text, at):
+            return [(at, at, "")]
+        start, last = self.word_start(text, at, self.longest), min(len(text), at + self.longest - 1)
+        return [(i, j, p) for j in range(at, last + 1) for i, p in self.ending(text, j, start or 0) if i < at]
 
     def space_run(self, length: int) -> tuple[int, ...]:
         """Ids of a run of meta spaces that nothing else has merged with: leftmost merges first."""
@@ -115,12 +151,16 @@ class Automaton:
     """The lattice's forward pass over words, as a deterministic transducer that is compiled as far as texts need it.
 
     A state keeps what later characters can still ask for: the longest suffix of the text so far that begins a piece, and
-    for each position in it the last token of the encoding up to there, with its token count relative to the current one.
-    Those are finitely many; a character leads to one next state, and its transition is annotated with the change of the
-    token count and the length of the token that now is the last (0 for a character without a piece, whose bytes are
-    counted). Transitions are compiled when first taken; when there are more than `limit` of them, all are forgotten.
+    for each position in it the last token of the encoding up to there, with its token count relative to that of the last
+    position that has one. A position that no path reaches, as there are behind a piece that a word doesn't really have, has
+    none. States are finitely many; a character leads to one next state, and its transition is annotated with the change of
+    the token count and the length of the token that now is the last (0 for none, and for a character without a piece,
+    whose bytes are counted). Transitions are compiled when first taken; when there are more than `limit` of them, all are
+    forgotten. So across walks a state is known by its meaning, not its number.
     """
 
+    START, LOST = ("", (("", 0),)), ("", (None,))
+
     def __init__(self, pieces: Pieces, limit: int = 1_000_000):
         self.pieces, self.limit = pieces, limit
         self._reset()
@@ -131,7 +171,7 @@ class Automaton:
         self.ends: dict[tuple[str, int], tuple[str, int]] = {}  # equal ones share memory
         self.steps: list[dict[str, tuple[int, int, int]]] = []
         self.size = 0
-        self.start = self._number(("", (("", 0),)))
+        self.start = self._number(self.START)
 
     def _number(self, meaning: tuple) -> int:
         number = self.numbers.get(meaning)
@@ -141,30 +181,35 @@ class Automaton:
             self.steps.append({})
         return number
 
+    @staticmethod
+    def behind(piece: str) -> tuple:
+        """The state behind a piece, whatever was before it."""
+        return ("", ((piece, 0),))
+
     def _compile(self, state: int, char: str) -> tuple[int, int, int]:
         pieces = self.pieces
-        if char not in pieces.chars:
-            return self.start, len(char.encode("utf-8", "surrogatepass")), 0
         suffix, ends = self.meanings[state]
+        if char not in pieces.chars:
+            return (self.start, len(char.encode("utf-8", "surrogatepass")), 0) if ends[-1] else (self._number(self.LOST), 0, 0)
         text, ids, fits = suffix + char, pieces.ids, pieces.fits
-        for at in range(len(text)):  # exactly one token can end here
+        length = count = 0
+        for at in range(len(text)):  # at most one token can end here, from the start of a word exactly one
             token = text[at:]
-            if token in ids and fits(ends[at][0], token):
+            if ends[at] and token in ids and fits(ends[at][0], token):
+                length, count = len(token), ends[at][1] + 1
                 break
-        else:
-            raise AssertionError("a prefix without an encoding")
-        count = ends[at][1] + 1
-        ends = (*ends, (token, count))
+        ends = (*ends, (token, count) if length else None)
         cut = 0
         while text[cut:] not in pieces.prefixes or len(text) - cut >= pieces.longest:
             cut += 1
-        return self._number((text[cut:], tuple([self.ends.setdefault(e := (t, n - count), e) for t, n in ends[cut:]]))), count, len(token)
+        left = tuple([self.ends.setdefault(e := (x[0], x[1] - count), e) if x else None for x in ends[cut:]])
+        return self._number((text[cut:], left) if any(left) else self.LOST), count, length
 
-    def walk(self, text: str) -> list[tuple[int, int, int]]:
-        """The transitions that a word takes."""
+    def walk(self, text: str, meaning: tuple | None = None) -> list[tuple[int, int, int]]:
+        """The transitions that a word takes, from the start or from a state."""
         if self.size > self.limit:
             self._reset()
-        state, taken, steps = self.start, [], self.steps
+        state, taken, steps = self._number(meaning) if meaning else self.start, [], self.steps
         for char in text:
             step = steps[state].get(char)
             if step is None:
@@ -174,10 +219,20 @@ class Automaton:
             taken.append(step)
         return taken
 
-    def path(self, text: str) -> list[str]:
-        """The tokens of a word whose characters are all pieces: the last token, then the one before it, and so on."""
-        lengths, at, tokens = [x[2] for x in self.walk(text)], len(text), []
+    def run(self, text: str, meaning: tuple) -> tuple[tuple, int]:
+        """The state behind a text, and the tokens up to its last position that has one."""
+        taken = self.walk(text, meaning)
+        return (self.meanings[taken[-1][0]] if taken else meaning), sum([x[1] for x in taken])
+
+    @staticmethod
+    def traced(text: str, taken: list[tuple[int, int, int]], at: int) -> list[str]:
+        """The tokens of text[:at], whose transitions were taken: the last, then the one before it, and so on."""
+        tokens = []
         while at:
-            tokens.append(text[at - lengths[at - 1] : at])
-            at -= lengths[at - 1]
+            tokens.append(text[at - taken[at - 1][2] : at])
+            at -= taken[at - 1][2]
         return tokens[::-1]
+
+    def path(self, text: str) -> list[str]:
+        """The tokens of a word whose characters are all pieces."""
+        return self.traced(text, self.walk(text), len(text))

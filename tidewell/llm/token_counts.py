@@ -2,17 +2,18 @@
 
 `pieces.Automaton` is the deterministic transducer: its transitions are annotated with emitted-token counts.
 
-A chunk of text acts on states as a map (state -> state, tokens). After a word boundary every state has become the same
-one, so a chunk's map is held as `ChunkMap`: the text before its first boundary (still to be run from whatever state
-enters), the tokens of its inner words (a constant), and the text after its last boundary. `compose` is associative;
-long texts are cut into chunks of `CHUNK` characters, mapped one by one and folded by a tree-shaped prefix scan.
+A text is cut into chunks of `CHUNK` characters, anywhere in a word. A chunk acts on states as a map (state -> state, tokens),
+whose domain is the states that can stand at its left end: the one behind the beginning of the word that is cut, or in a word too
+long to look back to its beginning, those behind each piece that may be there. Up to the chunk's first word boundary the map
+runs the transducer from each of them; there every state becomes the same one, so the words up to the last boundary add a
+constant, and the beginning of the last word leads to the exit state. Maps compose associatively and are folded by a tree-shaped
+scan; a text's tokens are what the whole map emits from the start state.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import Remembered
 from tidewell.llm.pieces import META, Automaton, Pieces
 
-#: Characters in a chunk of a long text; it changes no result.
-CHUNK = 1 << 16
-#: Where a chunk can be cut for certain, whatever stands before it.
-_BOUNDARY = re.compile(f"(?<=[^{META}]){META}|\n")
+#: Characters in a chunk of a text, and how far a chunk looks back for the beginning of a word; they change no result.
+CHUNK, REACH = 1 << 13, 48
+#: (state -> state, tokens): what a chunk does to each state that can stand at its left end.
+ChunkMap = dict[tuple, tuple[tuple, int]]
 
 
 class CountTransducer:
@@ -32,6 +33,7 @@ class CountTransducer:
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.automaton = pieces, Automaton(pieces)
+        self._word = re.compile(f"[^{META}\n]*")
         self.spaced, self.bare = Remembered(lambda word: self.run(META + word)), Remembered(self.run, 50_000)
 
     def run(self, text: str) -> int:
@@ -71,47 +73,48 @@ class CountTransducer:
         word, meta, rest = text.partition(META)
         return (self.bare[word] if word else 0) + (self.inner(rest.split(META)) if meta else 0)
 
-    def chunk_map(self, text: str) -> ChunkMap:
-        first = _BOUNDARY.search(text)
-        if not first:
-            return ChunkMap(text, 0, "", False)
-        at = first.start()
-        last = max(text.rfind("\n") + 1, at)
-        spaces = list(_BOUNDARY.finditer(text, max(last, len(text) - 256))) or list(_BOUNDARY.finditer(text, last))
-        last = max(last, spaces[-1].start()) if spaces else last
-        return ChunkMap(text[:at], self.closed(text[at:last]), text[last:], True)
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
+    def states(self, text: str, at: int) -> list[tuple]:
+        """The states that can stand at a cut."""
+        if self.pieces.certain(text, at):
+            return [Automaton.START]
+        start = self.pieces.word_start(text, at, REACH)
+        if start is not None:
+            return [self.automaton.run(text[start:at], Automaton.START)[0]]
+        covers = self.pieces.covering(text, at - REACH + self.pieces.longest)
+        found = [self.automaton.run(text[end:at], Automaton.behind(piece))[0] for _, end, piece in covers if end <= at]
+        return [x for x in dict.fromkeys(found) if x != Automaton.LOST]
+
+    def chunk_map(self, text: str, start: int, stop: int) -> ChunkMap:
+        first = self.pieces.first_certain(text, start, stop)
+        if first is None:
+            return {s: self.automaton.run(text[start:stop], s) for s in self.states(text, start)}
+        last = self.pieces.last_certain(text, stop, first)
+        spaces = last
+        while spaces + 1 < stop and text[spaces : spaces + 2] == META + META:
+            spaces += 1
+        exit, tail = self.automaton.run(text[spaces:stop], Automaton.START)
+        if spaces > last:  # how the spaces merge shows in the whole word
+            word = self._word.match(text, spaces + 1)[0]
+            tail += len(self.pieces.space_run(spaces + 1 - last)) - 1 if self.first_is_meta(word) else len(self.pieces.space_run(spaces - last))
+        inner = self.closed(text[first:last])
+        heads = {s: self.automaton.run(text[start:first], s) for s in self.states(text, start)}
+        return {s: (exit, n + inner + tail) for s, (end, n) in heads.items() if end[1][-1]}
+
+    @staticmethod
+    def compose(a: ChunkMap, b: ChunkMap) -> ChunkMap:
         """First a, then b; associative."""
-        if a.cut and b.cut:
-            return ChunkMap(a.head, a.inner + self.closed(a.tail + b.head) + b.inner, b.tail, True)
-        if a.cut:
-            return ChunkMap(a.head, a.inner, a.tail + b.head, True)
-        return ChunkMap(a.head + b.head, b.inner, b.tail, b.cut)
-
-    def close(self, x: ChunkMap) -> int:
-        return self.closed(x.head) + x.inner + self.closed(x.tail)
+        return {s: (b[t][0], n + b[t][1]) for s, (t, n) in a.items() if t in b}
 
     def count(self, text: str, chunk: int = CHUNK) -> int:
         """Tokens of a whole text."""
         if not text:
             return 0
         text = META + text.replace(" ", META)
-        if len(text) <= chunk:
-            return self.closed(text)
-        maps = [self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]
+        cuts = self.pieces.cuts(text, chunk)
+        maps = [self.chunk_map(text, a, b) for a, b in zip(cuts, cuts[1:])]
         while len(maps) > 1:  # a level of the scan's tree
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return self.close(maps[0])
-
-
-class ChunkMap(NamedTuple):
-    """head: before the first boundary; inner: tokens of the closed words; tail: behind the last boundary; cut: any?"""
-
-    head: str
-    inner: int
-    tail: str
-    cut: bool
+        return maps[0][Automaton.START][1]
 
 
 _loaded: dict[str, CountTransducer] = {}

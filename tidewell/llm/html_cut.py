@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,11 +24,12 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([a-zA-Z-]+)")
-_SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
-#: Elements whose text is never shown as text.
-DROPPED = frozenset("script style noscript template svg math iframe object canvas video audio head title textarea select".split())
+#: Elements that hold plain characters up to their end tag, or to the end of the page; none of it is shown as text.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+#: Elements whose text isn't shown as text; without an end tag they end with their parent.
+SILENT = frozenset("noscript template svg canvas video audio select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -39,6 +40,8 @@ CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 ENDS_P = BLOCKS - {"br", "button", "body", "html"}
 BOILERPLATE_TAGS = frozenset("nav footer aside form dialog menu button fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
+#: Elements whose names are often made from the words of a title, so that only a name as a whole counts.
+TITLED = frozenset("h1 h2 h3 h4 h5 h6 p section article li dt dd td th blockquote figure".split())
 BOILERPLATE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
     "widget widgets footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
@@ -58,6 +61,7 @@ class Element(NamedTuple):
     boilerplate: bool
     content: bool
     link: bool
+    silent: bool = False
 
 
 class Block(NamedTuple):
@@ -72,41 +76,53 @@ class Block(NamedTuple):
 
 def _element(tag: str, attributes: str, number: int, above: Element) -> Element:
     boilerplate, content = above.boilerplate, above.content
-    names: set[str] = set()
+    whole: set[str] = set()
+    parts: set[str] = set()
     if attributes and not attributes.isspace():
         found = {}
         for m in _ATTRIBUTE.finditer(attributes):
             found.setdefault((m[1] or m[5]).lower(), next((v for v in (m[2], m[3], m[4]) if v is not None), "").lower())
-        names = {*_SPLIT.split(found.get("class", "")), *_SPLIT.split(found.get("id", ""))}
+        whole = {*found.get("class", "").split(), found.get("id", "").strip()}
+        if tag in BLOCKS and tag not in TITLED:  # of short names, each word counts
+            parts = {x for name in whole if len(words := _SPLIT.split(name.strip("-_"))) <= 3 for x in words}
         if found.get("role") in BOILERPLATE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
             boilerplate = True
         content = content or found.get("role") in ("main", "article")
+    names = whole | parts
     outer = tag in ("html", "body", "main", "article")
     if tag in BOILERPLATE_TAGS or not outer and names & BOILERPLATE_NAMES or outer and names & {"comment", "comments", "ad", "advert"}:
         boilerplate = True
-    if (tag == "header" or "header" in names) and not content and not names & CONTENT_NAMES:
+    if (tag == "header" or "header" in parts) and not content and not names & CONTENT_NAMES:
         boilerplate = True
-    return Element(tag, number, boilerplate, content or tag in ("article", "main"), above.link or tag == "a")
+    return Element(tag, number, boilerplate, content or tag in ("article", "main"), above.link or tag == "a", above.silent or tag in SILENT)
 
 
 def read_blocks(page: str) -> list[Block]:
     """The blocks of a page, in order, with character references decoded and white space made single."""
     top = Element("", 0, False, False, False)
-    stack, blocks, parts, count, linked, shown = [top], [], [], 1, 0, 0
+    stack, blocks, count = [top], [], 1
+    parts: list[str] = []
+    beside: list[str] = []  # boilerplate within a line, as an advert in a paragraph
+    linked = shown = 0
 
     def flush() -> None:
         nonlocal linked, shown
-        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip(" ") if parts else ""
-        if text:
-            own = stack[-1]
-            at = next((x for x in reversed(stack) if x.tag in BLOCKS or not x.tag), top)
-            blocks.append(Block(text, at.number, len(stack), at.tag, own.boilerplate, own.content, linked / max(shown, 1)))
-        parts.clear()
+        at = next((x for x in reversed(stack) if x.tag in BLOCKS or not x.tag), top)
+        for own, boilerplate in ((parts, at.boilerplate), (beside, True)):
+            text = " ".join(html.unescape("".join(own)).split()) if own else ""
+            if text:
+                blocks.append(Block(text, at.number, len(stack), at.tag, boilerplate, at.content, linked / max(shown, 1)))
+            own.clear()
         linked = shown = 0
 
-    def pop_to(tags: tuple[str, ...], limits: tuple[str, ...] | frozenset = ()) -> None:
+    opened: Counter[str] = Counter()
+
+    def pop_to(tag: str, limits: tuple[str, ...] | frozenset = ()) -> None:
+        if not opened[tag]:
+            return
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
+            if stack[i].tag == tag:
+                opened.subtract([x.tag for x in stack[i:]])
                 del stack[i:]
                 return
             if stack[i].tag in limits:
@@ -116,11 +132,15 @@ def read_blocks(page: str) -> list[Block]:
     while at < end:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
-        if text:
-            parts.append(text)
-            size = len(text) - text.count(" ")
-            shown += size
-            linked += size * stack[-1].link
+        own = stack[-1]
+        if text and not own.silent:
+            if own.boilerplate and own.tag not in BLOCKS and not next((x.boilerplate for x in reversed(stack) if x.tag in BLOCKS), False):
+                beside.append(text)
+            else:
+                parts.append(text)
+                size = len(text) - text.count(" ")
+                shown += size
+                linked += size * own.link
         if not m:
             break
         at = m.end()
@@ -130,24 +150,25 @@ def read_blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in BLOCKS:
                 flush()
-            pop_to((tag,))
+            pop_to(tag)
+            continue
+        if tag in RAW:
+            if not m[3].endswith("/"):
+                close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = close.end() if close else end
             continue
-        if tag in DROPPED:
-            if m[3].endswith("/"):
-                continue
-            if tag == "head":  # its own elements are dropped each; a body may follow without an end tag
-                continue
-            close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else end
+        if tag == "head":  # its own elements are left out each; a body may follow without an end tag
             continue
         if tag in BLOCKS:
             flush()
+            pop_to("svg")  # drawings end where text begins
             if tag in ENDS_P:
-                pop_to(("p",), frozenset(("table", "td", "th", "button", "article", "section", "div", "li", "body")))
+                pop_to("p", frozenset(("table", "td", "th", "button", "article", "section", "div", "li", "body")))
             if tag in CLOSES:
-                pop_to((tag,), CLOSES[tag])
+                pop_to(tag, CLOSES[tag])
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(_element(tag, m[3], count, stack[-1]))
+            opened[tag] += 1
             count += 1
     flush()
     return blocks
@@ -185,39 +206,63 @@ def smoothness(blocks: list[Block]) -> dict[tuple[int, int], float]:
 
 
 def minimum_cut(leanings: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
-    """Whether each node is on the source's side: shortest augmenting paths until the flow is at its maximum.
+    """Whether each node is on the source's side of a maximum flow, which is found in phases: all shortest paths at once.
 
     Leanings are what is left of terminal capacities once the flow straight through a node is taken off. A node that
-    nothing decides falls to the sink's side.
+    nothing decides falls to the sink's side. On the long chains that pages are, flow stays near where it begins, so there are few phases,
+    each of which passes over the edges once.
     """
-    left = list(leanings)
-    residual: list[dict[int, float]] = [{} for _ in left]
-    for (a, b), capacity in edges.items():
-        residual[a][b] = residual[b][a] = capacity
-    tiny = 1e-9
+    left, tiny = list(leanings), 1e-9
+    near: list[list[int]] = [[] for _ in left]  # edges 2k and 2k + 1 are the two directions of one
+    ends, capacity = [], []
+    for (a, b), c in edges.items():
+        near[a].append(len(ends))
+        near[b].append(len(ends) + 1)
+        ends += [b, a]
+        capacity += [c, c]
     while True:
-        before: dict[int, int] = {i: -1 for i, x in enumerate(left) if x > tiny}
-        queue, sink = deque(before), -1
-        while queue and sink < 0:
-            a = queue.popleft()
-            for b, capacity in residual[a].items():
-                if capacity > tiny and b not in before:
-                    before[b] = a
-                    if left[b] < -tiny:
-                        sink = b
+        level, sinks = [-1] * len(left), False
+        layer = sources = [i for i, x in enumerate(left) if x > tiny]
+        for a in sources:
+            level[a] = 0
+        while layer and not sinks:
+            after = []
+            for a in layer:
+                for e in near[a]:
+                    b = ends[e]
+                    if level[b] < 0 and capacity[e] > tiny:
+                        level[b] = level[a] + 1
+                        sinks = sinks or left[b] < -tiny
+                        after.append(b)
+            layer = after
+        if not sinks:
+            return [x >= 0 for x in level]
+        tried = [0] * len(left)  # edges of each node that lead nowhere in this phase
+        for source in sources:
+            path, a = [], source
+            while left[source] > tiny:
+                if left[a] < -tiny:
+                    flow = min([left[source], -left[a], *[capacity[e] for e in path]])
+                    left[source] -= flow
+                    left[a] += flow
+                    for e in path:
+                        capacity[e] -= flow
+                        capacity[e ^ 1] += flow
+                    path, a = [], source
+                    continue
+                while tried[a] < len(near[a]):
+                    e = near[a][tried[a]]
+                    if capacity[e] > tiny and level[ends[e]] == level[a] + 1:
                         break
-                    queue.append(b)
-        if sink < 0:
-            return [i in before for i in range(len(left))]
-        path = [sink]
-        while before[path[-1]] >= 0:
-            path.append(before[path[-1]])
-        flow = min([left[path[-1]], -left[sink], *(residual[path[i + 1]][path[i]] for i in range(len(path) - 1))])
-        left[path[-1]] -= flow
-        left[sink] += flow
-        for i in range(len(path) - 1):
-            residual[path[i + 1]][path[i]] -= flow
-            residual[path[i]][path[i + 1]] += flow
+                    tried[a] += 1
+                if tried[a] < len(near[a]):
+                    path.append(near[a][tried[a]])
+                    a = ends[path[-1]]
+                elif path:
+                    a = ends[path.pop() ^ 1]
+                    tried[a] += 1
+                else:
+                    break
 
 
 def extract(page: str) -> str:
@@ -242,7 +287,7 @@ def main_text(page: Column) -> Column:
 
 
 def page_texts(pages: DataFrame, *, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """id, url, text and its code points (n_chars) of every page.
+    """id, url, text and its code points (n_chars) of every page. White space is what Unicode calls so.
 
     One row for each row of pages, repeated ones and null ids too; empty and null pages have an empty text. Only the three
     columns are read, so others can't clash; nothing is shuffled.

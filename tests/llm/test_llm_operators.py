@@ -109,7 +109,13 @@ def test_records_come_back_in_order(spark, docs, odd, tmp_path):
         assert np.frombuffer(words.encode(text), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     path = str(tmp_path / "r")
     out = token_records.token_records(odd, queries.tokenizer_file("byte_bpe_50k.json"), path=path)
-    assert out.count() == len(ODD) - 1
+    rows = sorted(out.collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [1, 2, 3, 4, 4, 5, 7, None]  # without an id: last
+    assert [r.start for r in rows] == [0, *np.cumsum([r.n_tokens for r in rows])[:-1].tolist()]
+    token_records.write_records(odd, f"{path}/small", queries.tokenizer_file("byte_bpe_50k.json"), file_bytes=1 << 12)
+    token_records.write_index(spark, f"{path}/small", f"{path}/small_index")
+    small = token_records.record_starts(spark.read.schema(token_records.INDEX).parquet(f"{path}/small_index"))
+    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, rows), key=str)
     index = spark.read.schema(token_records.INDEX).parquet(f"{path}/index")
     assert {r.doc_id: len(r.ids) for r in token_records.read_records(spark, f"{path}/records", index.where("doc_id IN (1, 7)")).collect()} == {r.doc_id: r.n_tokens for r in out.where("doc_id IN (1, 7)").collect()}
     assert token_records.token_records(odd.where("false"), queries.tokenizer_file("byte_bpe_50k.json")).count() == 0

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,16 +31,22 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/tidewell-{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors. What the write has
-    shuffled is deleted when it is done, for nothing reads it again."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within, what a query has shuffled is deleted when it is done; for writes, whose results are read back from files."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    with shuffles_deleted(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,10 +1,11 @@
 """Operator 3, token-id output: length-delimited binary records with masked checksums and a separate offset index.
 
 A record is: payload length (8 bytes, little-endian), masked CRC-32 of those 8 bytes (4), payload, masked CRC-32 of the
-payload (4), and a line feed. The payload is the document's id (8 bytes, signed), the number of bytes of a token id (1)
-and the ids, little-endian. A file holds the records of a range of document ids in ascending order, and file names
-ascend with the ranges. The index (Parquet) has for each record its file, offset and length, so that readers can fetch
-records in any order; it is built from the files, by reading the frames back and checking both checksums.
+payload (4), and a line feed. The payload is the document's id (8 bytes, signed), the number of bytes of a token id (1,
+with the highest bit set where a document has no id) and the ids, little-endian. A file holds the records of a range of
+document ids in ascending order, and the numbers in file names ascend with the ranges. There are so many files that each
+has about `FILE_BYTES` bytes of text. The index (Parquet) has for each record its file, offset and length, so that readers can
+fetch records in any order; it is built from the files, by reading the frames back and checking both checksums.
 """
 
 from __future__ import annotations
@@ -19,12 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import Remembered, scratch_path
+from tidewell.llm.common import Remembered, scratch_path, shuffles_deleted
 
 #: Fixed value: the constant that masks checksums, so that a checksum of data that holds checksums stays sound.
 MASK = 0xA282EAD8
 HEAD, TAIL = 12, 5
+#: Bytes of text in a file, at which a file is far from the 2 GB that one value of a row can hold.
+FILE_BYTES = 64 << 20
+NO_ID = 0x80
 #: Characters that are white space to the tokenizer's pattern; a word ends where one of them follows another character.
+_NUMBER = re.compile(r"part-(\d+)")
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _WORDS = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 
@@ -54,14 +59,13 @@ def frames(data: bytes) -> Iterator[tuple[int, memoryview]]:
         at += HEAD + size + TAIL
 
 
-def payload_of(doc_id: int, ids: np.ndarray) -> bytes:
-    width = 2 if ids.dtype.itemsize == 2 else 4
-    return struct.pack("<qB", doc_id, width) + ids.tobytes()
+def payload_of(doc_id: int | None, ids: bytes, width: int) -> bytes:
+    return struct.pack("<qB", doc_id or 0, width | (NO_ID if doc_id is None else 0)) + ids
 
 
-def ids_of(payload: memoryview) -> tuple[int, np.ndarray]:
+def ids_of(payload: memoryview) -> tuple[int | None, np.ndarray]:
     doc_id, width = struct.unpack("<qB", payload[:9])
-    return doc_id, np.frombuffer(payload[9:], f"<u{width}")
+    return None if width & NO_ID else doc_id, np.frombuffer(payload[9:], f"<u{width & ~NO_ID}")
 
 
 class WordTokens:
@@ -80,21 +84,24 @@ class WordTokens:
             raise ValueError("a byte-level tokenizer without a normaliser is needed")
         self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}  # fixed values: bytes that byte-level keeps as they are
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: 256 + i for i, b in enumerate(rest)}
+        self.space = chr(self.letters[32])
         self.words = Remembered(self._word, 350_000)
 
     def _pack(self, ids) -> bytes:
-        return np.asarray(ids, self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _word(self, word: str) -> bytes:
         if word[0] == "\n" and word[1:] and not word[1].isspace():  # a single line feed is a pre-token by itself
             return self.words["\n"] + self.words[word[1:]]
         bare = word[1:] if word[0] == " " else word
         if bare.isalpha():
-            return self._pack([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
+            spelt = word.encode().decode("latin-1").translate(self.letters) if not word.isascii() else word if bare is word else self.space + bare
+            return self._pack([t.id for t in self.model.tokenize(spelt)])
         if bare[-1:] in (".", ",", "!") and bare[:-1].isalpha():  # letters end before signs
             return self.words[word[:-1]] + self.words[word[-1]]
         return self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
@@ -114,32 +121,35 @@ def word_tokens(tokenizer_file: str) -> WordTokens:
     return _loaded[tokenizer_file]
 
 
-def write_records(docs: DataFrame, path: str, tokenizer_file: str, *, end_id: int = 0, files: int | None = None, id: str = "doc_id", text: str = "text") -> None:
+def write_records(docs: DataFrame, path: str, tokenizer_file: str, *, end_id: int = 0, file_bytes: int = FILE_BYTES, id: str = "doc_id", text: str = "text") -> None:
     """Writes the ids of every whole text (null: empty), each with `end_id` behind, to record files under path.
 
-    Files take consecutive ranges of document ids (`files` of them; the session's shuffle partitions by default), so the
-    one shuffle moves texts, not ids. Rows without an id can't be ordered and are left out; repeated rows make repeated
-    records, in no fixed order among themselves; an empty table gives no records. Only id and text of docs are read.
+    Files take consecutive ranges of document ids, as many as make about `file_bytes` of text each, and at least the session's
+    shuffle partitions; so the one shuffle moves texts, not ids. Rows without an id come last; repeated rows make repeated
+    records, in no fixed order among themselves, and can fill several files; an empty table gives no records. Only id and
+    text of docs are read.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = word_tokens(tokenizer_file)
-        end = np.asarray([end_id], own.dtype).tobytes()
+        end = own._pack([end_id])
         for batch in batches:
             out = []
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(own.encode(t or "") + end, own.dtype)
-                out.append(frame(payload_of(key, ids))[:-1])  # the writer puts the line feed
+                out.append(frame(payload_of(key, own.encode(t or "") + end, own.width))[:-1])  # the writer puts the line feed
             yield pa.record_batch([pa.array(out, pa.binary())], ["record"])
 
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    rows = rows.repartitionByRange(files, "id").sortWithinPartitions("id")
-    rows.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
+    place = (F.asc_nulls_last("id"), F.asc("place"))  # a number, so that rows of one id can be parted
+    rows = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(files, *place).sortWithinPartitions(*place)
+    with shuffles_deleted(spark):
+        rows.select("id", "text").mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "none").text(path)
 
 
-INDEX = "file string, offset bigint, length bigint, doc_id bigint, place bigint, n_tokens bigint, start_in_file bigint, ids_crc32 bigint"
+INDEX = "file string, number bigint, offset bigint, length bigint, doc_id bigint, place bigint, n_tokens bigint, start_in_file bigint, ids_crc32 bigint"
 
 
 def write_index(spark: SparkSession, path: str, index_path: str) -> None:
@@ -150,20 +160,21 @@ def write_index(spark: SparkSession, path: str, index_path: str) -> None:
         for batch in batches:
             for i in range(batch.num_rows):
                 name, data = batch.column(0)[i].as_py().rpartition("/")[2], batch.column(1)[i].as_buffer()
-                rows, before = [], 0
+                number, rows, before = int(_NUMBER.search(name)[1]), [], 0
                 for place, (offset, payload) in enumerate(frames(data)):
                     doc_id, ids = ids_of(payload)
-                    rows.append((name, offset, HEAD + len(payload) + TAIL, doc_id, place, len(ids), before, zlib.crc32(ids.astype("<u4"))))
+                    rows.append((name, number, offset, HEAD + len(payload) + TAIL, doc_id, place, len(ids), before, zlib.crc32(ids.astype("<u4"))))
                     before += len(ids)
                 if rows:
-                    yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], ["file", "offset", "length", "doc_id", "place", "n_tokens", "start_in_file", "ids_crc32"])
+                    yield pa.record_batch([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(zip(*rows, strict=True))], ["file", "number", "offset", "length", "doc_id", "place", "n_tokens", "start_in_file", "ids_crc32"])
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     found.mapInArrow(index, INDEX).write.parquet(index_path)
 
 
 def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """(doc_id, ids) of the records that the rows of an index name, in whatever order or selection those come."""
+    """(doc_id, ids) of the records that the rows of an index name, in whatever order or selection those come. Spark reads a
+    file once and whole (files are bounded, see FILE_BYTES); of it, only the named ranges are looked at."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,14 +195,14 @@ def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
 
 
 def record_starts(index: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of an index whose files ascend by name.
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of an index whose files ascend by number.
 
     Offsets are a two-level prefix sum: within a file the index has them, and one row for each file is summed over files.
     """
-    files = index.groupBy("file").agg(F.sum("n_tokens").alias("_in_file"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("_in_file").over(before), F.lit(0)).alias("_before"))
-    return index.join(files, "file").select("doc_id", (F.col("_before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
+    files = index.groupBy("number").agg(F.sum("n_tokens").alias("_in_file"))
+    before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("number", F.coalesce(F.sum("_in_file").over(before), F.lit(0)).alias("_before"))
+    return index.join(files, "number").select("doc_id", (F.col("_before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_records(docs: DataFrame, tokenizer_file: str, *, path: str | None = None, end_id: int = 0, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -23,11 +25,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the cluster shares, which the session names as spark.checkpoint.dir."""
+    """A new path in the folder that the cluster shares, which the session names as spark.checkpoint.dir. Where that is unset, a
+    session on this machine alone gets a temporary one, as in tests; on a cluster it is an error."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
-        raise ValueError("the session needs spark.checkpoint.dir, a folder that driver and executors share")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("the session needs spark.checkpoint.dir, a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tidewell-")
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tidewell-{label}-{uuid.uuid4().hex}"
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.timestamps import minmax, normalize_millis, validate_series
 from tidewell.operators import anomalies, scaling, series, uplink, vectors
+from tidewell.plans import saved
 from tidewell.plans.apps import anomalies as anomaly_app
 from tidewell.plans.apps import forecast
 from tidewell.sources.readers import jdbc_options, read
@@ -150,3 +151,122 @@ def test_sources_and_apps(spark):
         forecast(spark, settings)
     with pytest.raises(ValueError):
         validate_series(read(spark, settings), "s_name")
+
+
+def test_interpolation_of_a_long_series_is_linear_in_its_rows(spark):
+    rows = spark.range(60_000).select(F.col("id").alias("t"), F.when(F.col("id") % 1000 == 0, F.col("id") * 2.0).alias("v"))
+    out = series.interpolate(rows, "t", "v").where("v IS NOT NULL").agg(F.count("*"), F.max(F.abs(F.col("v") - F.unix_millis("t") * 2))).first()
+    assert out[0] == 59_001 and out[1] < 1e-6
+    clash = spark.createDataFrame([(1, 1.0, 5), (2, None, 6), (3, 3.0, 7)], "t long, v double, _row int")
+    assert [(r.v, r["_row"]) for r in series.interpolate(clash, "t", "v").orderBy("t").collect()] == [(1, 5), (2, 6), (3, 7)]
+
+
+def test_grid_of_many_blocks(spark):
+    df = spark.createDataFrame([(7,), (7 + 3 * 25_000,)], "t long")
+    out = series.time_grid(df, "t", 3)
+    assert out.agg(F.count("*"), F.min("t"), F.max("t"), F.countDistinct("t")).first() == (25_001, 7, 7 + 75_000, 25_001)
+
+
+def test_arrays_of_different_sizes_are_an_error(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "t long, a array<double>")
+    with pytest.raises(Exception, match="different sizes"):
+        series.difference(df, "t", "a")[0].collect()
+
+
+def test_lags_of_arrays(spark):
+    df = spark.createDataFrame([(i, [float(i), -float(i)]) for i in range(1, 5)], "t long, a array<double>")
+    out = series.lagging(df, "t", "a", lag=2).orderBy("t").collect()
+    assert [(r.features, r.label) for r in out] == [([[1, -1], [2, -2]], [3, -3]), ([[2, -2], [3, -3]], [4, -4])]
+
+
+def test_ranks_with_an_outlier_and_ties(spark):
+    values = spark.range(20_000).select((F.col("id") % 5000).cast("double").alias("x")).union(spark.createDataFrame([(1e12,), (-1e12,)], "x double"))
+    ordered = sorted([float(i % 5000) for i in range(20_000)] + [1e12, -1e12])
+    percents = (0, 1, 25, 50, 75, 99.9, 100)
+    wanted = [ordered[min(len(ordered), max(1, int(p / 100 * len(ordered) + 0.5))) - 1] for p in percents]
+    assert list(anomalies.nearest_ranks(values, "x", percents).first()) == wanted
+    same = spark.range(1000).select(F.lit(3.0).alias("x"))
+    assert list(anomalies.nearest_ranks(same, "x", (25, 75)).first()) == [3.0, 3.0]
+
+
+def test_places_of_many_categories(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "LOOKED_AT", 100)
+    rows = spark.range(3000).select(F.concat(F.lit("k"), F.md5(F.col("id").cast("string"))).alias("c")).union(spark.createDataFrame([(None,)], "c string"))
+    got = {r.c: r.vector[0] for r in vectors.index_vector(rows, ["c"]).collect()}
+    assert got == {k: i for i, k in enumerate([None, *sorted(k for k in got if k)])}
+
+
+def test_random_numbers_are_the_same_on_each_cluster(spark):
+    rows = spark.range(1000).select("id", F.col("id").cast("double").alias("v"))
+    one, two = ({r.id: r.x for r in scaling.randomize(x, "v", "x", 5, key="id").collect()} for x in (rows, rows.repartition(7)))
+    assert one == two and all(0 <= x < 999 for x in one.values()) and 450 < sum(one.values()) / 1000 < 550
+    assert {r.id: r.x for r in scaling.randomize(rows, "v", "x", 6, key="id").collect()} != one
+    out = scaling.randomize(rows, "v", "x", 5, True).first()
+    assert abs(out.v - out.v_rand - out.x) < 1e-9
+
+
+def test_vector_conversions(spark):
+    df = vectors.vectorize(spark.createDataFrame([(1, [1.0, 2.0])], "id int, a array<double>"), "a", "x").withColumn("xs", F.array("x", "x"))
+    out = vectors.flatten_vectors(vectors.devectorize(df, "x", "y"), "xs", "z").first()
+    assert (out.y, out.z) == ([1.0, 2.0], [1.0, 2.0, 1.0, 2.0])
+
+
+def test_saved_models_undo_in_another_session(spark, tmp_path):
+    df = spark.createDataFrame([(i, float(i * i), [float(i), 2.0 * i]) for i in range(6)], "t long, v double, a array<double>")
+    out, model = scaling.diff_scale(df, "t", "v", 1)
+    things = [model, scaling.fit_scaler(df, "a"), series.difference(df, "t", "v", 2)[1], saved.Step("documentize", {"columns": ["t"], "separator": ":"})]
+    for i, thing in enumerate(things):
+        saved.save(spark, thing, str(tmp_path / str(i)))
+        assert saved.load(spark, str(tmp_path / str(i))) == thing
+    back = scaling.undo_diff_scale(out, saved.load(spark, str(tmp_path / "0")))
+    assert [(r.v, round(r.restored, 9)) for r in back.orderBy("t").collect()] == [(i * i, i * i) for i in range(1, 6)]
+    assert saved.load(spark, str(tmp_path / "3")).apply(df).orderBy("t").first().document == ["t:0"]
+    with pytest.raises(ValueError):
+        saved.Step("other")
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd/x").write_text('{"kind": "other"}')
+    with pytest.raises(ValueError):
+        saved.load(spark, str(tmp_path / "odd"))
+
+
+def test_kmeans_places_rows_with_the_nearest_centre(spark):
+    import numpy as np
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    model, placed, scores = anomalies.cluster(rows, "embedding", {"k": "4", "maxIter": "5", "initSteps": "2", "tol": "1e-4"})
+    centres = np.array(model.clusterCenters())
+    for r in placed.collect():
+        away = ((centres - np.array(r.embedding)) ** 2).sum(axis=1)
+        assert away[r["_cluster"]] <= away.min() + 1e-9
+    assert -1 <= scores["silhouette_euclidean"] <= 1 and scores["perplexity"] == 0.0
+
+
+V3 = (
+    '{"end_device_ids":{"device_id":"d","dev_eui":"e","join_eui":"j","dev_addr":"a","application_ids":{"application_id":"app"}},"received_at":"r","correlation_ids":["c"],'
+    '"uplink_message":{"received_at":"n","consumed_airtime":"1s","locations":{"user":{"latitude":1.5,"longitude":2,"altitude":9}},"session_key_id":"s","frm_payload":"p","decoded_payload":{"k":"x","n":[1]},'
+    '"rx_metadata":[{"gateway_ids":{"gateway_id":"g","eui":"e"},"time":"t","timestamp":12}],"settings":{"data_rate":{"lora":{"bandwidth":125000,"spreading_factor":7}},"coding_rate":"4/5"}}}'
+)
+
+
+def test_uplink_v3_drops_and_defaults(spark):
+    mandatory = ['"device_id":"d",', '"dev_eui":"e",', '"join_eui":"j",', '"received_at":"r",', '"received_at":"n",', '"consumed_airtime":"1s",', '"latitude":1.5,', '"longitude":2,', '"session_key_id":"s",', '"frm_payload":"p",', '"decoded_payload":{"k":"x","n":[1]},']
+    rows = [(i, V3.replace(part, "")) for i, part in enumerate(mandatory)]
+    rows += [(100, V3), (101, V3.replace('"lora":{"bandwidth":125000,"spreading_factor":7}', '"fsk":{"bit_rate":5}')), (102, V3[:-1]), (103, V3.replace('"latitude":1.5', '"latitude":"x"')), (104, None)]
+    rows += [(105, V3.replace('"correlation_ids":["c"],', "").replace(',"settings":{"data_rate":{"lora":{"bandwidth":125000,"spreading_factor":7}},"coding_rate":"4/5"}', ""))]
+    rows += [(106, V3.replace('"timestamp":12', '"timestamp":12,"location":{"latitude":3,"longitude":4.5,"altitude":1}').replace('"session_key_id"', '"f_cnt":null,"f_port":3,"session_key_id"'))]
+    out = {r.id: r for r in uplink.parse_v3(spark.createDataFrame(rows, "id int, value string")).collect()}
+    assert sorted(out) == [100, 101, 105, 106]
+    r = out[100]
+    assert (r.device_id, r.application_id, r.correlation_ids, r.device_latitude, r.device_altitude, r.f_cnt, r.f_port) == ("d", "app", ["c"], 1.5, "9.0", 0, 0)
+    assert [tuple(a) for a in r.attributes] == [("k", "String", '"x"'), ("n", "List", "[1]")]
+    assert (r.transmission.modulation, r.transmission.bandwidth, r.transmission.spreading_factor) == ("lora", 125000, 7)
+    assert (r.gateways[0].gateway_id, r.gateways[0].rssi, r.gateways[0].gateway_latitude, r.gateways[0].gateway_altitude) == ("g", None, 0.0, "0.0")
+    assert (out[101].transmission.modulation, out[101].transmission.bandwidth, out[101].transmission.spreading_factor) == ("fsk", None, None)
+    assert (out[105].correlation_ids, out[105].transmission) == ([], None)
+    assert (out[106].gateways[0].gateway_longitude, out[106].gateways[0].gateway_altitude, out[106].f_cnt, out[106].f_port) == (4.5, "1.0", 0, 3)
+
+
+def test_a_message_is_parsed_once(spark):
+    rows = spark.createDataFrame([(1, V3)], "id int, value string")
+    for f in (uplink.parse_v2, uplink.parse_v3):
+        assert f(rows)._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1

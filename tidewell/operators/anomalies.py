@@ -14,25 +14,27 @@ from tidewell.operators.series import _ordered
 from tidewell.operators.vectors import vectorize
 
 NUMBERS = (T.ByteType, T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType)
-BINS = 4096
+#: Of approximate percentiles: their rank error is a share of the rows of one by ACCURACY; MARGIN such shares are looked at.
+ACCURACY, MARGIN = 10_000, 10
 
 
 def nearest_ranks(df: DataFrame, column: str, percents: Sequence[float]) -> DataFrame:
     """One row with q<i> for each percentage: the element at rank round(share * n), halves up, within 1..n; nulls count as
-    0, and so does an empty table. No global sort: values are counted in equal bins, and only the bin that a rank falls
-    into is ordered, by its distinct values."""
+    0, and so does an empty table. No global sort: approximate percentiles give two bounds around each rank, values below are
+    counted, and only those between the bounds (a five-hundredth of the rows, and their distinct values) are ordered. So it
+    doesn't matter how values are spread."""
     values = df.select(F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias("_v"))
-    ends = values.agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.count("*").alias("_n"))
-    place = F.when(F.col("_b") > F.col("_a"), F.floor((F.col("_v") - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0)) * (BINS - 1))).otherwise(0)
-    counts = values.crossJoin(F.broadcast(ends)).groupBy(place.alias("_bin"), "_v").agg(F.count("*").alias("_c"))
-    bins = counts.groupBy("_bin").agg(F.sum("_c").alias("_in"))
-    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # BINS rows at most
-    bins = bins.withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
-    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.greatest(F.lit(1), F.least("_n", F.floor(F.lit(p / 100) * F.col("_n") + 0.5))).alias("k")) for i, p in enumerate(percents)])
-    wanted = ends.select(F.explode(ranks).alias("_r")).select("_r.i", "_r.k")
-    hit = bins.join(F.broadcast(wanted), (F.col("k") > F.col("_before")) & (F.col("k") <= F.col("_before") + F.col("_in"))).select("_bin", "i", "k", "_before")
-    inside = counts.join(F.broadcast(hit), "_bin").withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy("i").orderBy("_v")))
-    found = inside.where(F.col("_upto") >= F.col("k"))
+    shares = [min(1.0, max(0.0, p / 100 + d * MARGIN / ACCURACY)) for p in percents for d in (-1, 1)]
+    ends = values.agg(F.percentile_approx("_v", F.array(*map(F.lit, shares)), ACCURACY).alias("_q"), F.count("*").alias("_n"))
+    near = values.crossJoin(F.broadcast(ends))  # one row
+    inside = [F.col("_v").between(F.get("_q", F.lit(2 * i)), F.get("_q", F.lit(2 * i + 1))) for i in range(len(percents))]
+    below = near.agg(*[F.count_if(F.col("_v") < F.get("_q", F.lit(2 * i))).alias(f"_b{i}") for i in range(len(percents))], F.max("_n").alias("_n"))
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_b{i}").alias("b"), F.greatest(F.lit(1), F.least("_n", F.floor(F.lit(p / 100) * F.col("_n") + 0.5))).alias("k")) for i, p in enumerate(percents)])
+    wanted = below.select(F.explode(ranks).alias("_r")).select("_r.*")  # a row for each percentage
+    hits = near.select("_v", F.explode(F.array_compact(F.array(*[F.when(x, F.lit(i)) for i, x in enumerate(inside)]))).alias("i"))
+    counts = hits.groupBy("i", "_v").agg(F.count("*").alias("_c"))
+    upto = counts.join(F.broadcast(wanted), "i").withColumn("_upto", F.col("b") + F.sum("_c").over(Window.partitionBy("i").orderBy("_v")))
+    found = upto.where(F.col("_upto") >= F.col("k"))
     return found.agg(*[F.coalesce(F.min(F.when(F.col("i") == i, F.col("_v"))), F.lit(0.0)).alias(f"q{i}") for i in range(len(percents))])
 
 

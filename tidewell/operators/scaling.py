@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,11 +78,22 @@ def undo_diff_scale(df: DataFrame, model: DiffScalerModel, column: str = "scaled
     return (undo_difference(out, model.diff, "_rescaled", output) if model.diff else out.withColumn(output, F.col("_rescaled"))).drop("_rescaled")
 
 
-def randomize(df: DataFrame, column: str, output: str, seed: int, with_difference: bool = False) -> DataFrame:
-    """A random column in [0, max - min); with_difference: the column minus it, and it as {column}_rand."""
+def uniform(df: DataFrame, seed: int, key: str | Sequence[str] | None = None) -> Column:
+    """A number in [0, 1) for each row, from 52 bits of a digest of the seed and the key columns (of all columns without a
+    key): the same on each cluster and in each run."""
+    names = [key] if isinstance(key, str) else list(key or df.columns)
+    text = F.to_json(F.struct(*names)) if key is None else F.concat_ws("|", *[F.col(c).cast("string") for c in names])
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), text).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def randomize(df: DataFrame, column: str, output: str, seed: int, with_difference: bool = False, key: str | Sequence[str] | None = None) -> DataFrame:
+    """A random column in [0, max - min); with_difference: the column minus it, and it as {column}_rand. `key`
+    are columns that tell rows apart: rows alike in them (in all columns by default) get the same number."""
+    random = uniform(df, seed, key)
     ends = df.agg((F.max(column).cast("double") - F.min(column).cast("double")).alias("_band"))
     out = df.crossJoin(F.broadcast(ends))  # one row
-    random = F.rand(seed) * F.col("_band")
+    value = random * F.col("_band")
     if not with_difference:
-        return out.withColumn(output, random).drop("_band")
-    return out.withColumn(f"{column}_rand", random).withColumn(output, F.col(column) - F.col(f"{column}_rand")).drop("_band")
+        return out.withColumn(output, value).drop("_band")
+    return out.withColumn(f"{column}_rand", value).withColumn(output, F.col(column) - F.col(f"{column}_rand")).drop("_band")

@@ -6,10 +6,10 @@ spread over tasks by group; a single series without a group is ordered in one ta
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,34 +31,46 @@ def normalize(df: DataFrame, time: str, interval: str) -> DataFrame:
     return df.select(*[c for c in df.columns if c != time], normalize_millis(F.col(time), interval).alias(time))
 
 
+#: Steps of a grid that one row of the first level stands for; it changes no result.
+GRID_BLOCK = 10_000
+
+
 def time_grid(df: DataFrame, time: str, step: int) -> DataFrame:
-    """min, min + step, ... up to the maximum, in epoch milliseconds; empty for an empty table."""
+    """min, min + step, ... up to the maximum, in epoch milliseconds; empty for an empty table. Blocks of the grid are dealt out
+    first, so that no row holds all of it."""
     if step <= 0:
         raise ValueError("the step must be positive")
     ends = df.agg(F.min(F.col(time).cast("long")).alias("_a"), F.max(F.col(time).cast("long")).alias("_b")).where("_a IS NOT NULL")
-    return ends.select(F.explode(F.sequence("_a", "_b", F.lit(step).cast("long"))).alias(time))
+    width = F.lit(step * GRID_BLOCK).cast("long")
+    blocks = ends.select("_b", F.explode(F.sequence("_a", "_b", width)).alias("_from")).repartition("_from")
+    upto = F.least(F.col("_b"), F.col("_from") + width - step)
+    return blocks.select(F.explode(F.sequence("_from", upto, F.lit(step).cast("long"))).alias(time))
 
 
-def _filled(value: str, window, group_free_row: Column) -> Column:
-    """Linear in row position between the nearest values before and after; gaps at either end stay null."""
-    row = group_free_row
+def _filled(value: str, window: WindowSpec, backwards: WindowSpec, row: Column) -> Column:
+    """Linear in row position between the nearest values before and after; gaps at either end stay null. What comes after is
+    the last of a window in falling order, which grows by a row at a time as the one before does."""
     v = F.col(value).cast("double")
-    before, after = window.rowsBetween(Window.unboundedPreceding, -1), window.rowsBetween(0, Window.unboundedFollowing)
     known_row = F.when(v.isNotNull(), row)
-    a, b = F.last(v, ignorenulls=True).over(before), F.first(v, ignorenulls=True).over(after)
-    m, n = F.last(known_row, ignorenulls=True).over(before), F.first(known_row, ignorenulls=True).over(after)
+
+    def nearest(x: Column, ordered: WindowSpec) -> Column:
+        return F.last(x, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    a, b, m, n = nearest(v, window), nearest(v, backwards), nearest(known_row, window), nearest(known_row, backwards)
     return F.when(v.isNull(), a + (b - a) / (n - m) * (row - m)).otherwise(v)
 
 
 def interpolate(df: DataFrame, time: str, values: str | Sequence[str], group: str | None = None, tiebreak: str | None = None) -> DataFrame:
-    """Fills gaps of value columns; all share one window. The time column becomes a timestamp, values become doubles."""
+    """Fills gaps of value columns; all share two windows, one for each direction. The time column becomes a timestamp, values
+    become doubles. Rows of the same time keep one order in both directions, by their place in the first."""
     values = [values] if isinstance(values, str) else list(values)
     for value in values:
         validate_series(df, time, value, group)
     df = df.withColumn(time, as_timestamp(df, time))
-    window = _ordered(time, group, tiebreak)
-    rows = df.withColumn("_row", F.row_number().over(window))
-    return rows.select(*[_filled(c, window, F.col("_row")).alias(c) if c in values else F.col(c) for c in df.columns])
+    row = "_row" + "_" * max(map(len, df.columns))  # no column has this name
+    rows = df.withColumn(row, F.row_number().over(_ordered(time, group, tiebreak)))
+    ways = [Window.partitionBy(*_by(group)).orderBy(x) for x in (F.asc(row), F.desc(row))]
+    return rows.select(*[_filled(c, *ways, F.col(row)).alias(c) if c in values else F.col(c) for c in df.columns])
 
 
 def prepare(df: DataFrame, time: str, interval: str, step: int, value: str | None = None) -> DataFrame:
@@ -102,12 +114,21 @@ class DiffModel:
         return f"{self.value}_diff_{self.order}"
 
 
+def _paired(df: DataFrame, a: str, b: str, f: Callable[[Column, Column], Column]) -> Column:
+    """f of two columns, element by element where they are arrays; arrays of different sizes are an error."""
+    kind = df.schema[a].dataType
+    if not isinstance(kind, T.ArrayType):
+        return f(F.col(a), F.col(b))
+    unequal = F.raise_error(F.lit(f"arrays of different sizes in {a} and {b}")).cast(kind)
+    return F.when(F.size(a) != F.size(b), unequal).otherwise(F.zip_with(a, b, f))
+
+
 def _minus(df: DataFrame, a: str, b: str) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y) if isinstance(df.schema[a].dataType, T.ArrayType) else F.col(a) - F.col(b)
+    return _paired(df, a, b, lambda x, y: x - y)
 
 
 def _plus(df: DataFrame, a: str, b: str) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y) if isinstance(df.schema[a].dataType, T.ArrayType) else F.col(a) + F.col(b)
+    return _paired(df, a, b, lambda x, y: x + y)
 
 
 def difference(df: DataFrame, time: str, value: str, order: int = 1, offset: int = 1, group: str | None = None, tiebreak: str | None = None) -> tuple[DataFrame, DiffModel]:

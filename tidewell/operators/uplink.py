@@ -64,13 +64,11 @@ def _get(v: Column, path: str, what: str, default=None) -> Column:
 def attributes(v: Column, path: str, text: Column) -> Column:
     """array<struct<attr_name, attr_type, attr_value>> of an object: value texts are JSON, so strings keep their quotes.
 
-    v: the message as a variant, for the kinds; text: the object as JSON text, for numbers as they were written.
+    v: the message as a variant, for the kinds; text: the object as JSON text, for numbers as they were written, and for
+    the order of its keys.
     """
-    kinds = F.try_variant_get(v, path, "map<string,variant>")
-    texts = F.from_json(text, "map<string,string>")
 
-    def one(key: Column) -> Column:
-        value = F.element_at(kinds, key)
+    def one(key: Column, as_text: Column, value: Column) -> Column:
         kind = F.schema_of_variant(value)
         whole = F.try_variant_get(value, "$", "bigint")
         tag = (
@@ -81,10 +79,10 @@ def attributes(v: Column, path: str, text: Column) -> Column:
             .when(kind.startswith("OBJECT"), "Map")
             .when(_number_kind(kind) & ~_oversized(kind), "Double")
         )
-        as_json = F.when(kind == "STRING", F.to_json(value)).otherwise(F.element_at(texts, key))
+        as_json = F.when(kind == "STRING", F.to_json(value)).otherwise(as_text)
         return F.struct(key.alias("attr_name"), tag.alias("attr_type"), as_json.alias("attr_value"))
 
-    return F.transform(F.map_keys(texts), one)
+    return F.map_values(F.map_zip_with(F.from_json(text, "map<string,string>"), F.try_variant_get(v, path, "map<string,variant>"), one))
 
 
 def _oversized(kind: Column) -> Column:
@@ -97,8 +95,12 @@ def _attributes_fit(column: str) -> Column:
 
 
 def _parsed(messages: DataFrame, value: str) -> DataFrame:
-    rows = messages.withColumn("_v", F.try_parse_json(value)).where(_kind(F.col("_v"), "$").startswith("OBJECT"))
-    return rows.withColumn("_m", F.from_json(value, "map<string,string>"))
+    """Messages that are JSON objects, with _v, the parsed variant, and _m, the texts of its keys' values. The generator makes
+    one row of each; it is there because the optimiser doesn't move expressions over it, so a message is parsed once, not once
+    for each of the many expressions on _v."""
+    once = F.explode(F.array(F.struct(F.try_parse_json(value).alias("v"), F.from_json(value, "map<string,string>").alias("m"))))
+    rows = messages.select(*messages.columns, once.alias("_x"))
+    return rows.select(*messages.columns, F.col("_x.v").alias("_v"), F.col("_x.m").alias("_m")).where(_kind(F.col("_v"), "$").startswith("OBJECT"))
 
 
 def _gateways_v2(v: Column) -> Column:

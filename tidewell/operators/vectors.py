@@ -59,12 +59,28 @@ def frequency_vector(df: DataFrame, columns: Sequence[str], output: str = "vecto
     return _looked_up(df, columns, tables, output)
 
 
+#: Strings that are looked at to part the categories into ranges, and the number of ranges; they change no result.
+LOOKED_AT, RANGES = 4096, 64
+
+
+def _numbered(keys: DataFrame) -> DataFrame:
+    """(_key, _value) with each distinct key's place: keys are numbered within ranges, and ranges get the sum of those before.
+
+    A bounded number of keys, those with the least hash, comes to the driver to choose the ranges' bounds."""
+    seen = sorted(r[0] for r in keys.where("_key IS NOT NULL").orderBy(F.xxhash64("_key"), "_key").limit(LOOKED_AT).collect())
+    bounds = F.array(*[F.lit(seen[len(seen) * i // RANGES]) for i in range(1, RANGES)]) if len(seen) == LOOKED_AT else F.array().cast("array<string>")
+    placed = keys.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col("_key"))))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # RANGES rows at most
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy("_key")) - 1)
+    return numbered.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range").select("_key", (F.col("_before") + F.col("_place")).alias("_value"))
+
+
 def index_vector(df: DataFrame, columns: Sequence[str], output: str = "vector") -> DataFrame:
     """A dense vector of each category's place (from 0) in the order of its column's distinct values. Nulls raise nothing
-    and stay null in the order's front. Only distinct values are ordered in one task."""
+    and stay null in the order's front."""
     _check_strings(df, columns)
-    tables = [df.select(F.col(c).alias("_key")).distinct().withColumn("_value", F.row_number().over(Window.orderBy("_key")) - 1) for c in columns]
-    return _looked_up(df, columns, tables, output)
+    return _looked_up(df, columns, [_numbered(df.select(F.col(c).alias("_key")).distinct()) for c in columns], output)
 
 
 def tfidf_vector(df: DataFrame, columns: Sequence[str], output: str = "vector", features: int = 1 << 18) -> DataFrame:
@@ -95,4 +111,4 @@ def devectorize(df: DataFrame, column: str, output: str) -> DataFrame:
 
 def flatten_vectors(df: DataFrame, column: str, output: str) -> DataFrame:
     """array<vector> (as locality-sensitive hashing gives it) as one array<double>."""
-    return df.withColumn(output, F.flatten(F.transform(column, vector_to_array)))
+    return df.withColumn(output, F.flatten(F.transform(column, lambda x: vector_to_array(x))))

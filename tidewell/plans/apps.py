@@ -25,9 +25,10 @@ def anomalies(spark: SparkSession, settings: Mapping[str, str]) -> DataFrame:
 
 
 def forecast(spark: SparkSession, settings: Mapping[str, str]) -> DataFrame:
-    """model.type (DL, ML or TS; DL by default) has no forecasting model behind it: the source is checked, no more."""
-    kind = settings.get("model.type", "DL")
+    """model.type (DL, ML or TS; DL by default) and model.algo have no forecasting model behind them: the source is checked, no
+    more."""
+    kind, algo = settings.get("model.type", "DL"), settings.get("model.algo", "")
     if kind not in ("DL", "ML", "TS"):
         raise ValueError(f"unknown model.type {kind!r}")
     read(spark, settings)
-    raise NotImplementedError(f"there is no {kind} forecasting model; lag vectors for one come from operators.series.lagging")
+    raise NotImplementedError(f"there is no {kind} forecasting model{f' {algo!r}' if algo else ''}; lag vectors for one come from operators.series.lagging")

@@ -77,6 +77,24 @@ def prepare_5min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(to_millis(F.col("t")).alias("t"), "v")
 
 
+@query(
+    f"{EVENTS}, n AS (SELECT (t // 300000) * 300000 AS t, v, CASE WHEN event_id % 3 > 0 THEN event_id END AS k, event_id FROM e), "
+    "b AS (SELECT t, max(v) AS v, CAST(max(k) AS BIGINT) AS k FROM n GROUP BY 1), "
+    "g AS (SELECT unnest(range((SELECT min(t) FROM b), (SELECT max(t) FROM b) + 1, 300000)) AS t), j AS (SELECT g.t, b.v, b.k::DOUBLE AS k, row_number() OVER (ORDER BY g.t) AS r FROM g LEFT JOIN b ON g.t = b.t), "
+    "w AS (SELECT *, last_value(v IGNORE NULLS) OVER p AS va, first_value(v IGNORE NULLS) OVER n AS vz, last_value(k IGNORE NULLS) OVER p AS ka, first_value(k IGNORE NULLS) OVER n AS kz, "
+    "last_value(CASE WHEN v IS NOT NULL THEN r END IGNORE NULLS) OVER p AS var, first_value(CASE WHEN v IS NOT NULL THEN r END IGNORE NULLS) OVER n AS vzr, "
+    "last_value(CASE WHEN k IS NOT NULL THEN r END IGNORE NULLS) OVER p AS kar, first_value(CASE WHEN k IS NOT NULL THEN r END IGNORE NULLS) OVER n AS kzr FROM j "
+    "WINDOW p AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) "
+    "SELECT t, CASE WHEN v IS NULL THEN va + (vz - va) / (vzr - var) * (r - var) ELSE v END AS v, CASE WHEN k IS NULL THEN ka + (kz - ka) / (kzr - kar) * (r - kar) ELSE k END AS k FROM w"
+)
+def prepare_all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All numeric columns at once; a string and a short column beside them are pruned by their types."""
+    rows = series.normalize(events(spark, sf_dir).select("v", F.when(F.col("event_id") % 3 > 0, F.col("event_id")).alias("k"), "event_type", "t"), "t", "5min")
+    buckets = rows.groupBy("t").agg(F.max("v").alias("v"), F.max("k").alias("k"), F.max("event_type").alias("s"), F.count("*").cast("short").alias("h"))
+    out = series.prepare(buckets, "t", "5min", 300_000)
+    return out.select(to_millis(F.col("t")).alias("t"), *[c for c in out.columns if c != "t"])
+
+
 def series_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: hourly maxima, on a grid without gaps, as lag vectors with the next value as label."""
     hourly = series.normalize(events(spark, sf_dir).select("v", "t"), "t", "1h").groupBy("t").agg(F.max("v").alias("v"))
@@ -141,6 +159,16 @@ def lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", *[F.get("features", F.lit(i)).alias(f"f{i + 1}") for i in range(2)])
 
 
+@query(
+    f"{EVENTS}, w AS (SELECT event_id, list([v, event_id::DOUBLE]) OVER ({BY_USER} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS a FROM e) "
+    "SELECT event_id, a[1][1] AS f11, a[1][2] AS f12, a[2][1] AS f21, a[2][2] AS f22, a[3][1] AS l1, a[3][2] AS l2 FROM w WHERE len(a) = 3"
+)
+def lag_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).withColumn("a", F.array(F.col("v"), F.col("event_id").cast("double")))
+    out = series.lagging(rows, "t", "a", lag=2, group="user_id", tiebreak="event_id")
+    return out.select("event_id", *[F.get(F.get("features", F.lit(i)), F.lit(j)).alias(f"f{i + 1}{j + 1}") for i in range(2) for j in range(2)], *[F.get("label", F.lit(j)).alias(f"l{j + 1}") for j in range(2)])
+
+
 @query("SELECT event_id, round((value - (SELECT min(value) FROM events)) / ((SELECT max(value) FROM events) - (SELECT min(value) FROM events)), 9) AS v_scaled FROM events")
 def minmax_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("event_id", "v")
@@ -166,16 +194,28 @@ def diff_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("event_id", F.round("scaled", 9).alias("scaled"), F.round("restored", 6).alias("restored"))
 
 
-def _scaled_sql(i: int) -> str:
-    x = f"CAST(embedding[{i}] AS DOUBLE)"
-    return f"round(({x} - (SELECT min({x}) FROM embeddings)) / ((SELECT max({x}) FROM embeddings) - (SELECT min({x}) FROM embeddings)), 9) AS s{i}"
+DIMENSIONS = "x AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
 
 
-@query(f"SELECT vec_id, {_scaled_sql(1)}, {_scaled_sql(64)} FROM embeddings")
+def _dimensions(df: DataFrame, *arrays: str) -> DataFrame:
+    """A row for each element of arrays of the same size, with its place from 1 on."""
+    rows = df.select(*[c for c in df.columns if c not in arrays], F.posexplode(F.arrays_zip(*arrays)).alias("i", "_e"))
+    return rows.select(*[c for c in df.columns if c not in arrays], (F.col("i") + 1).cast("long").alias("i"), *[F.col(f"_e.{c}") for c in arrays])
+
+
+@query(f"WITH {DIMENSIONS}, m AS (SELECT i, min(v) AS a, max(v) AS b FROM x GROUP BY 1) SELECT vec_id, x.i, round((v - a) / (b - a), 9) AS s FROM x JOIN m ON x.i = m.i")
 def scale_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
     out = scaling.scale(rows, scaling.fit_scaler(rows, "embedding"), "s")
-    return out.select("vec_id", *[F.round(F.get("s", F.lit(i - 1)), 9).alias(f"s{i}") for i in (1, 64)])
+    return _dimensions(out.select("vec_id", "s"), "s").withColumn("s", F.round("s", 9))
+
+
+@query(f"WITH {DIMENSIONS} SELECT vec_id, i, round(v, 6) AS v FROM x")
+def scale_multi_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    model = scaling.fit_scaler(rows, "embedding")
+    out = scaling.unscale(scaling.scale(rows, model), model, output="v")
+    return _dimensions(out.select("vec_id", "v"), "v").withColumn("v", F.round("v", 6))
 
 
 SPLIT = f"{EVENTS}, x AS (SELECT min(t) + ceil(0.8::DOUBLE * (max(t) - min(t))) AS edge FROM e)"
@@ -191,9 +231,13 @@ def time_split_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.time_split(events(spark, sf_dir).select("event_id", "t"), "t", "80:20")[1]
 
 
-@query(None)
+@query(
+    "WITH x AS (SELECT event_id, value AS v, ('0x' || substr(md5('3|' || event_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496 * ((SELECT max(value) FROM events) - (SELECT min(value) FROM events)) AS r FROM events) "
+    "SELECT event_id, v, round(r, 9) AS v_rand, round(v - r, 9) AS noisy FROM x"
+)
 def randomize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scaling.randomize(events(spark, sf_dir).select("event_id", "v"), "v", "noisy", seed=3, with_difference=True)
+    out = scaling.randomize(events(spark, sf_dir).select("event_id", "v"), "v", "noisy", seed=3, with_difference=True, key="event_id")
+    return out.select("event_id", "v", F.round("v_rand", 9).alias("v_rand"), F.round("noisy", 9).alias("noisy"))
 
 
 RANKS = "r AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS k, count(*) OVER () AS n FROM lineitem)"
@@ -258,35 +302,38 @@ def index_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _elements(vectors.index_vector(read(spark, sf_dir, "part"), ["p_brand", "p_type"]), "p_partkey")
 
 
-@query(None)
+@query(
+    "WITH n AS (SELECT count(*) AS n FROM part), b AS (SELECT p_brand, count(*) AS d FROM part GROUP BY 1), t AS (SELECT p_type, count(*) AS d FROM part GROUP BY 1) "
+    "SELECT p_partkey, round(ln((n + 1.0) / (b.d + 1)) + ln((n + 1.0) / (t.d + 1)), 6) AS total, CAST(2 AS INT) AS terms FROM part JOIN b USING (p_brand) JOIN t USING (p_type), n"
+)
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = vectors.tfidf_vector(read(spark, sf_dir, "part"), ["p_brand", "p_type"])
-    return out.select("p_partkey", F.round(F.aggregate(vector_to_array("vector"), F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
-
-
-X = "CAST(embedding[1] AS DOUBLE)"
+    weights = F.unwrap_udt("vector")["values"]  # of the terms alone; the vector has a place for each bucket
+    return out.select("p_partkey", F.round(F.aggregate(weights, F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size(weights).alias("terms"))
 
 
 @query(
-    f"SELECT round(avg({X}), 6) AS mean, round(var_samp({X}), 6) AS variance, count(*) AS count, max({X}) AS max, min({X}) AS min, "
-    f"round(sum(abs({X})), 6) AS norm_l1, round(sqrt(sum({X} * {X})), 6) AS norm_l2, CAST(sum(({X} <> 0)::INT) AS DOUBLE) AS non_zeros FROM embeddings"
+    f"WITH {DIMENSIONS}, w AS (SELECT i, v, 1.0 + vec_id % 3 AS w FROM x), s AS (SELECT i, sum(w) AS sw, sum(w * w) AS sww, sum(w * v) AS swv, sum(w * v * v) AS swvv, sum(w * abs(v)) AS l1, "
+    "count(*) AS count, max(v) AS max, min(v) AS min, CAST(sum((v <> 0)::INT * w) AS DOUBLE) AS n FROM w GROUP BY 1) "
+    "SELECT i, round(swv / sw, 6) AS mean, round((swvv - swv * swv / sw) / (sw - sww / sw), 5) AS variance, round(sqrt((swvv - swv * swv / sw) / (sw - sww / sw)), 5) AS std, count, max, min, "
+    'round(l1, 5) AS "normL1", round(sqrt(swvv), 5) AS "normL2", round(swv, 5) AS sum, CAST((SELECT count(*) FROM x AS y WHERE y.i = s.i AND y.v <> 0) AS DOUBLE) AS "numNonZeros" FROM s'
 )
 def summarizer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = vectors.summarize(read(spark, sf_dir, "embeddings"), "embedding", ["mean", "variance", "count", "max", "min", "normL1", "normL2", "numNonZeros"])
+    rows = read(spark, sf_dir, "embeddings").withColumn("w", 1.0 + F.col("vec_id") % 3)
+    out = vectors.summarize(rows, "embedding", vectors.METRICS, "w")
+    arrays = [m for m in vectors.METRICS if m != "count"]
+    out = _dimensions(out.select("count", *[vector_to_array(m).alias(m) for m in arrays]), *arrays)
+    places = {"mean": 6, "variance": 5, "std": 5, "normL1": 5, "normL2": 5, "sum": 5}
+    return out.select("i", "count", *[(F.round(m, places[m]) if m in places else F.col(m)).alias(m) for m in arrays])
 
-    def first(name: str):
-        return F.get(vector_to_array(name), F.lit(0))
 
-    return out.select(
-        F.round(first("mean"), 6).alias("mean"),
-        F.round(first("variance"), 6).alias("variance"),
-        "count",
-        first("max").alias("max"),
-        first("min").alias("min"),
-        F.round(first("normL1"), 6).alias("norm_l1"),
-        F.round(first("normL2"), 6).alias("norm_l2"),
-        first("numNonZeros").alias("non_zeros"),
-    )
+@query(f"WITH {DIMENSIONS} SELECT vec_id, CAST(i + 64 * h AS BIGINT) AS i, v FROM x, (SELECT unnest([0, 1]) AS h)")
+def vector_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays to vectors and back, once by itself and once as an array of two vectors."""
+    rows = vectors.vectorize(read(spark, sf_dir, "embeddings"), "embedding", "x", cast=True)
+    pairs = rows.withColumn("xs", F.array("x", "x"))
+    flat = vectors.flatten_vectors(vectors.devectorize(pairs, "x", "x"), "xs", "v").where(F.slice("v", 1, 64) == F.col("x"))
+    return _dimensions(flat.select("vec_id", "v"), "v")
 
 
 SCORE = "avg(CASE WHEN n = 1 THEN 0 WHEN a * n / (n - 1) < b THEN 1 - a * n / (n - 1) / b WHEN a * n / (n - 1) > b THEN b / (a * n / (n - 1)) - 1 ELSE 0 END)"
@@ -348,15 +395,27 @@ def uplink_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT event_id, event_type AS device_id, CAST(event_id AS INT) AS f_cnt, CAST(0 AS INT) AS f_port, value AS device_latitude, '9.0' AS device_altitude, 'lora' AS modulation, "
-    "CAST(125000 AS BIGINT) AS bandwidth, json_extract_string(props, '$.k') AS attr_value, CAST(12 AS BIGINT) AS gateway_time FROM events"
+    "SELECT event_id, event_type AS device_id, CAST(event_id AS INT) AS f_cnt, CAST(CASE WHEN event_id % 3 = 0 THEN 7 ELSE 0 END AS INT) AS f_port, value AS device_latitude, '9.0' AS device_altitude, "
+    "CASE WHEN event_id % 4 = 0 THEN 'fsk' ELSE 'lora' END AS modulation, CASE WHEN event_id % 4 <> 0 THEN CAST(125000 AS BIGINT) END AS bandwidth, CASE WHEN event_id % 4 <> 0 THEN CAST(7 AS INT) END AS spreading_factor, "
+    "json_extract_string(props, '$.k') AS attr_value, g AS gateway_id, CAST(12 AS BIGINT) AS gateway_time, CASE WHEN g = 'b' THEN 3.5 ELSE 0 END::DOUBLE AS gateway_latitude "
+    "FROM events, (SELECT unnest(['a', 'b']) AS g) WHERE event_id % 5 <> 0 AND event_id % 7 <> 0"
 )
 def uplink_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of which a fifth lack a mandatory key and a seventh are no JSON, a quarter of another modulation, each with two
+    gateways, one of them without a location."""
+    gateway = '{"gateway_ids":{"gateway_id":"%s","eui":"e"},"time":"t","timestamp":12,"rssi":-1,"channel_rssi":-1,"snr":1.5,"uplink_token":"u","channel_index":2%s}'
+    other = F.col("event_id") % 4 == 0
     text = F.concat(
         F.lit('{"end_device_ids":{"device_id":"'), F.col("event_type"), F.lit('","dev_eui":"e","join_eui":"j","dev_addr":"a","application_ids":{"application_id":"app"}},"received_at":"r","uplink_message":{"received_at":"n","consumed_airtime":"1s",'),
-        F.lit('"locations":{"user":{"latitude":'), F.col("v").cast("string"), F.lit(',"longitude":2,"altitude":9}},"session_key_id":"s","frm_payload":"p","f_cnt":'), F.col("event_id").cast("string"), F.lit(',"decoded_payload":'), F.col("props"),
-        F.lit(',"rx_metadata":[{"gateway_ids":{"gateway_id":"g","eui":"e"},"time":"t","timestamp":12,"rssi":-1,"channel_rssi":-1,"snr":1.5,"uplink_token":"u","channel_index":2}],"settings":{"data_rate":{"lora":{"bandwidth":125000,"spreading_factor":7}},"coding_rate":"4/5","data_rate_index":5,"frequency":"868"}}}'),
+        F.lit('"locations":{"user":{"latitude":'), F.col("v").cast("string"), F.lit(',"longitude":2,"altitude":9}},"session_key_id":"s","f_cnt":'), F.col("event_id").cast("string"), F.lit(',"decoded_payload":'), F.col("props"),
+        F.when(F.col("event_id") % 5 != 0, F.lit(',"frm_payload":"p"')).otherwise(F.lit("")), F.when(F.col("event_id") % 3 == 0, F.lit(',"f_port":7')).otherwise(F.lit("")),
+        F.lit(f',"rx_metadata":[{gateway % ("a", "")},{gateway % ("b", ""","location":{"latitude":3.5}""")}],"settings":{{"data_rate":'),
+        F.when(other, F.lit('{"fsk":{"bit_rate":50000}}')).otherwise(F.lit('{"lora":{"bandwidth":125000,"spreading_factor":7}}')),
+        F.lit(',"coding_rate":"4/5","data_rate_index":5,"frequency":"868"}}'), F.when(F.col("event_id") % 7 != 0, F.lit("}")).otherwise(F.lit("")),
     )
     out = uplink.parse_v3(events(spark, sf_dir).select("event_id", text.alias("value")))
-    attribute, gateway = F.get("attributes", F.lit(0)), F.get("gateways", F.lit(0))
-    return out.select("event_id", "device_id", "f_cnt", "f_port", "device_latitude", "device_altitude", "transmission.modulation", "transmission.bandwidth", attribute["attr_value"].alias("attr_value"), gateway["timestamp"].alias("gateway_time"))
+    rows = out.withColumn("g", F.explode("gateways"))
+    return rows.select(
+        "event_id", "device_id", "f_cnt", "f_port", "device_latitude", "device_altitude", "transmission.modulation", "transmission.bandwidth", "transmission.spreading_factor",
+        F.get("attributes", F.lit(0))["attr_value"].alias("attr_value"), "g.gateway_id", F.col("g.timestamp").alias("gateway_time"), "g.gateway_latitude",
+    )

@@ -33,3 +33,10 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
     masked = P.secret_scans(spark, spark.createDataFrame([(1, "token = abcdef123456", "en", "s", 20), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long"), SF)
     assert [(r.text, r.n_chars) for r in masked.orderBy("doc_id").collect()] == [("[secret]", 8), (None, None)]
     assert secret_scan.scan_block([]) == []
+
+
+def test_shingle_join_equals_its_sql(spark):
+    from tests.oracle import connect, same_rows
+    from tidewell.llm import queries
+
+    same_rows(queries.op4_shingle_join(spark, SF), connect(SF), queries.ORACLES["op4_shingle_join"])

@@ -15,7 +15,7 @@ from tidewell.llm.secret_scan import secret_report
 from tidewell.llm.shingle_join import shingle_components
 from tidewell.llm.token_counts import with_token_counts
 from tidewell.llm.token_records import token_records
-from tidewell.llm.toxicity import toxicity_scores
+from tidewell.llm.toxicity import toxicity_verdicts
 
 
 def tokenizer_file(name: str) -> str:
@@ -49,12 +49,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-def _with_prediction(scores: DataFrame, threshold: float) -> DataFrame:
-    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def _with_prediction(scores: DataFrame, threshold: float, *more: str) -> DataFrame:
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_prediction(toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")), 0.5)
+    """predicted has the one threshold 0.5, verdict that of the text's language."""
+    return _with_prediction(toxicity_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")), 0.5, "lang", "threshold", "verdict")
 
 
 def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import Remembered, held_out, labelled_sample, sigmoid
+from tidewell.llm.common import Remembered, held_out, labelled_sample, materialise, sigmoid
 
 FIT_ROWS, BUCKETS, WIDTH, FILTERS, WIDTHS, EPOCHS = 8000, 1 << 17, 8, 6, (1, 2, 3), 6
 #: A bucket's embedding stays zero below so many training texts; the share of words that training leaves out.
@@ -237,7 +237,8 @@ def language_thresholds(scored: DataFrame, labels: DataFrame, *, language: str =
     """(language, threshold): for each language the multiple of 0.05 that gives the best F1 on the labelled rows of
     `scored` (id, language, score); 0.5 for languages with fewer than `least` labelled rows or no toxic one. Counts by
     language and score step are all that is shuffled."""
-    rows = scored.join(labels.select(id, F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1)).dropDuplicates([id]), id)
+    known = labels.select(id, F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1)).dropDuplicates([id])
+    rows = scored.select(id, language, "score").dropDuplicates([id]).join(known, id)
     steps = rows.groupBy(language, F.floor(F.col("score") * 20).cast("int").alias("_step")).agg(F.count("*").alias("_n"), F.sum("_y").alias("_hits"))
     wide = steps.groupBy(language).agg(F.collect_list(F.struct("_step", "_n", "_hits")).alias("_steps"), F.sum("_n").alias("_n"), F.sum("_hits").alias("_y"))
 
@@ -259,15 +260,13 @@ def toxicity_verdicts(docs: DataFrame, labels: DataFrame, *, language: str = "la
 
     The network learns from labelled rows outside the held-out fold and the calibration fold, so scores differ a little from
     those of toxicity_scores; thresholds come from the calibration fold (see language_thresholds for `least`), 0.5 where it
-    has no row of a language. One row for each row of docs, null languages and ids too.
+    has no row of a language. One row for each row of docs, null languages and ids too; null and empty texts have the score
+    of no words. Texts are scored once: scores are written to the shared folder, and only they are joined.
     """
     calibrating = F.coalesce(for_calibration(F.col(id)), F.lit(False))
     model = fit_toxicity(docs, labels.where(~calibrating), label=label, id=id, text=text, **fit)
-    chosen = labels.where(calibrating).select(id, label)
-    known = docs.select(id, language, text).join(chosen.select(id), id, "left_semi").dropDuplicates([id])
-    thresholds = language_thresholds(known.select(id, language, toxicity_score(F.col(text), model).alias("score")), chosen, language=language, label=label, id=id, least=least)
-    scored = docs.select(id, language, toxicity_score(F.col(text), model).alias("score"))
-    thresholds = thresholds.select(F.col(language).alias("_language"), "threshold")  # a row for each language
-    out = scored.join(F.broadcast(thresholds), F.col(language).eqNullSafe(F.col("_language")), "left").drop("_language")
+    scored = materialise(docs.select(id, language, toxicity_score(F.col(text), model).alias("score")), "scores")
+    thresholds = language_thresholds(scored, labels.where(calibrating).select(id, label), language=language, label=label, id=id, least=least)
+    out = scored.join(thresholds.select(F.col(language).alias("_language"), "threshold"), F.col(language).eqNullSafe(F.col("_language")), "left").drop("_language")
     out = out.withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
     return out.withColumn("verdict", (F.col("score") >= F.col("threshold")).cast("int"))

@@ -270,3 +270,15 @@ def test_a_message_is_parsed_once(spark):
     rows = spark.createDataFrame([(1, V3)], "id int, value string")
     for f in (uplink.parse_v2, uplink.parse_v3):
         assert f(rows)._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = spark.createDataFrame([(i, float(i), "a", 9) for i in range(6)], "t long, v double, c string, z int")
+    for name in ("_row", "_edge", "_low", "_high", "_w", "_band", "_list", "_key", "_value", "_words", "_rescaled"):
+        df = rows.withColumnRenamed("z", name)
+        outs = [
+            series.interpolate(df, "t", "v"), series.time_split(df, "t")[0], anomalies.tukey_distance(df, "v"), anomalies.change_points(df, "t", "v", 2, 0.5), scaling.randomize(df, "v", "x", 1),
+            series.lagging(df, "t", "v", lag=2), vectors.frequency_vector(df, ["c"]), vectors.index_vector(df, ["c"]), scaling.undo_diff_scale(*scaling.diff_scale(df, "t", "v", 1)),
+        ]
+        assert all(set(df.columns) <= set(x.columns) for x in outs)
+    assert {r[name] for x in outs for r in x.collect()} == {9}

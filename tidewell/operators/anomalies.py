@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.operators.series import _ordered
+from tidewell.operators.series import _ordered, unused
 from tidewell.operators.vectors import vectorize
 
 NUMBERS = (T.ByteType, T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType)
@@ -42,10 +42,11 @@ def tukey_distance(df: DataFrame, column: str, output: str = "tukey_dist") -> Da
     """A value minus the fence (Q25 - 1.5 IQR or Q75 + 1.5 IQR) that it lies beyond, 0 inside them, null for null."""
     if not isinstance(df.schema[column].dataType, NUMBERS):
         raise ValueError(f"{column!r} is no numerical column")
-    v, low, high = F.col(column).cast("double"), F.col("_low"), F.col("_high")
-    fences = nearest_ranks(df, column, (25, 75)).select((F.col("q0") - 1.5 * (F.col("q1") - F.col("q0"))).alias("_low"), (F.col("q1") + 1.5 * (F.col("q1") - F.col("q0"))).alias("_high"))
+    names = [unused(df, "_low"), unused(df, "_high")]
+    v, low, high = F.col(column).cast("double"), *map(F.col, names)
+    fences = nearest_ranks(df, column, (25, 75)).select((F.col("q0") - 1.5 * (F.col("q1") - F.col("q0"))).alias(names[0]), (F.col("q1") + 1.5 * (F.col("q1") - F.col("q0"))).alias(names[1]))
     distance = F.when(v < low, v - low).when(v > high, v - high).when(v.isNotNull(), F.lit(0.0))
-    return df.crossJoin(F.broadcast(fences)).withColumn(output, distance).drop("_low", "_high")  # one row
+    return df.crossJoin(F.broadcast(fences)).withColumn(output, distance).drop(*names)  # one row
 
 
 def change_points(df: DataFrame, time: str, value: str, window: int = 30, threshold: float | None = None, group: str | None = None, tiebreak: str | None = None, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -56,10 +57,11 @@ def change_points(df: DataFrame, time: str, value: str, window: int = 30, thresh
     """
     if window < 2 or threshold is None or not 0 < threshold < 1:
         raise ValueError("the window must be 2 or more, the threshold between 0 and 1")
-    rows = df.withColumn("_w", F.collect_list(value).over(_ordered(time, group, tiebreak).rowsBetween(-window, window)))
-    rows = rows.where(F.size("_w") == 2 * window + 1)
-    value_of = score(F.slice("_w", 1, window), F.slice("_w", window + 1, window)) if score else F.lit(0.0)
-    return rows.withColumn("cp_score", value_of.cast("double")).withColumn("is_cp", F.col("cp_score") > threshold).drop("_w")
+    name = unused(df, "_w")
+    rows = df.withColumn(name, F.collect_list(value).over(_ordered(time, group, tiebreak).rowsBetween(-window, window)))
+    rows = rows.where(F.size(name) == 2 * window + 1)
+    value_of = score(F.slice(name, 1, window), F.slice(name, window + 1, window)) if score else F.lit(0.0)
+    return rows.withColumn("cp_score", value_of.cast("double")).withColumn("is_cp", F.col("cp_score") > threshold).drop(name)
 
 
 def mean_shift(before: Column, after: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions.timestamps import minmax
-from tidewell.operators.series import DiffModel, difference, undo_difference
+from tidewell.operators.series import DiffModel, difference, undo_difference, unused
 
 
 @dataclass(frozen=True)
@@ -74,8 +74,9 @@ def diff_scale(df: DataFrame, time: str, value: str, order: int = 0, offset: int
 
 
 def undo_diff_scale(df: DataFrame, model: DiffScalerModel, column: str = "scaled", output: str = "restored") -> DataFrame:
-    out = unscale(df, model.scaler, column, "_rescaled")
-    return (undo_difference(out, model.diff, "_rescaled", output) if model.diff else out.withColumn(output, F.col("_rescaled"))).drop("_rescaled")
+    name = unused(df, "_rescaled")
+    out = unscale(df, model.scaler, column, name)
+    return (undo_difference(out, model.diff, name, output) if model.diff else out.withColumn(output, F.col(name))).drop(name)
 
 
 def uniform(df: DataFrame, seed: int, key: str | Sequence[str] | None = None) -> Column:
@@ -91,9 +92,10 @@ def randomize(df: DataFrame, column: str, output: str, seed: int, with_differenc
     """A random column in [0, max - min); with_difference: the column minus it, and it as {column}_rand. `key`
     are columns that tell rows apart: rows alike in them (in all columns by default) get the same number."""
     random = uniform(df, seed, key)
-    ends = df.agg((F.max(column).cast("double") - F.min(column).cast("double")).alias("_band"))
+    band = unused(df, "_band")
+    ends = df.agg((F.max(column).cast("double") - F.min(column).cast("double")).alias(band))
     out = df.crossJoin(F.broadcast(ends))  # one row
-    value = random * F.col("_band")
+    value = random * F.col(band)
     if not with_difference:
-        return out.withColumn(output, value).drop("_band")
-    return out.withColumn(f"{column}_rand", value).withColumn(output, F.col(column) - F.col(f"{column}_rand")).drop("_band")
+        return out.withColumn(output, value).drop(band)
+    return out.withColumn(f"{column}_rand", value).withColumn(output, F.col(column) - F.col(f"{column}_rand")).drop(band)

@@ -22,6 +22,13 @@ def _by(group: str | Sequence[str] | None) -> list[str]:
     return [group] if isinstance(group, str) else list(group or [])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def _ordered(time: str, group: str | Sequence[str] | None, tiebreak: str | None = None):
     return Window.partitionBy(*_by(group)).orderBy(time, *([tiebreak] if tiebreak else []))
 
@@ -67,7 +74,7 @@ def interpolate(df: DataFrame, time: str, values: str | Sequence[str], group: st
     for value in values:
         validate_series(df, time, value, group)
     df = df.withColumn(time, as_timestamp(df, time))
-    row = "_row" + "_" * max(map(len, df.columns))  # no column has this name
+    row = unused(df, "_row")
     rows = df.withColumn(row, F.row_number().over(_ordered(time, group, tiebreak)))
     ways = [Window.partitionBy(*_by(group)).orderBy(x) for x in (F.asc(row), F.desc(row))]
     return rows.select(*[_filled(c, *ways, F.col(row)).alias(c) if c in values else F.col(c) for c in df.columns])
@@ -88,9 +95,10 @@ def time_split(df: DataFrame, time: str, ratio: str = "80:20") -> tuple[DataFram
     if len(parts) != 2 or sum(parts) != 1.0:
         raise ValueError("a ratio is two percentages that sum to 100")
     ends = df.agg(F.min(F.col(time).cast("long")).alias("_a"), F.max(F.col(time).cast("long")).alias("_b"))
-    edge = ends.select((F.col("_a") + F.ceil(F.lit(parts[0]) * (F.col("_b") - F.col("_a")))).alias("_edge"))
+    name = unused(df, "_edge")
+    edge = ends.select((F.col("_a") + F.ceil(F.lit(parts[0]) * (F.col("_b") - F.col("_a")))).alias(name))
     joined = df.crossJoin(F.broadcast(edge))  # one row
-    return joined.where(F.col(time) <= F.col("_edge")).drop("_edge"), joined.where(F.col(time) > F.col("_edge")).drop("_edge")
+    return joined.where(F.col(time) <= F.col(name)).drop(name), joined.where(F.col(time) > F.col(name)).drop(name)
 
 
 @dataclass(frozen=True)
@@ -165,9 +173,10 @@ def lagging(df: DataFrame, time: str, value: str, kind: str = "featuresAndLabels
         raise ValueError(f"unknown kind {kind!r}; known: {', '.join(LAGGING)}")
     validate_series(df, time, value, group)
     start, end = {"featuresAndLabels": (-lag, frame - 1), "pastFeatures": (-lag, -1), "features": (1 - lag, 0)}[kind]
-    rows = df.withColumn("_list", F.collect_list(value).over(_ordered(time, group, tiebreak).rowsBetween(start, end)))
-    rows = rows.where(F.size("_list") == end - start + 1)
+    name = unused(df, "_list")
+    rows = df.withColumn(name, F.collect_list(value).over(_ordered(time, group, tiebreak).rowsBetween(start, end)))
+    rows = rows.where(F.size(name) == end - start + 1)
     if kind != "featuresAndLabels":
-        return rows.withColumnRenamed("_list", features)
-    labels = F.element_at("_list", -1) if frame == 1 else F.slice("_list", lag + 1, frame)
-    return rows.withColumn(features, F.slice("_list", 1, lag)).withColumn(label, labels).drop("_list")
+        return rows.withColumn(features, F.col(name)).drop(name)
+    labels = F.element_at(name, -1) if frame == 1 else F.slice(name, lag + 1, frame)
+    return rows.withColumns({features: F.slice(name, 1, lag), label: labels}).drop(name)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.operators.series import unused
+
 DOCUMENT_TYPES = (T.BooleanType, T.ByteType, T.DateType, T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.StringType, T.TimestampType, T.TimestampNTZType)
 METRICS = ("mean", "variance", "count", "numNonZeros", "max", "min", "normL2", "normL1", "sum", "std")
 
@@ -38,10 +40,12 @@ def _check_strings(df: DataFrame, columns: Sequence[str]) -> None:
 
 def _looked_up(df: DataFrame, columns: Sequence[str], tables: Sequence[DataFrame], output: str) -> DataFrame:
     """tables: (_key, _value) of each column; Spark broadcasts small ones by their measured size, others are shuffled."""
-    for i, (c, table) in enumerate(zip(columns, tables, strict=True)):
-        own = table.select(F.col("_key").alias(f"_key{i}"), F.col("_value").cast("double").alias(f"_value{i}"))
-        df = df.join(own, F.col(c).eqNullSafe(F.col(f"_key{i}")), "left").drop(f"_key{i}")
-    values = [f"_value{i}" for i in range(len(columns))]
+    values = []
+    for c, table in zip(columns, tables, strict=True):
+        key, value = unused(df, "_key"), unused(df, "_value")
+        own = table.select(F.col("_key").alias(key), F.col("_value").cast("double").alias(value))
+        df = df.join(own, F.col(c).eqNullSafe(F.col(key)), "left").drop(key)
+        values.append(value)
     return df.withColumn(output, array_to_vector(F.array(*values))).drop(*values)
 
 
@@ -85,9 +89,10 @@ def index_vector(df: DataFrame, columns: Sequence[str], output: str = "vector")
 
 def tfidf_vector(df: DataFrame, columns: Sequence[str], output: str = "vector", features: int = 1 << 18) -> DataFrame:
     """TF-IDF of the words column=value: hashed term counts times ln((n + 1) / (df + 1))."""
-    words = documentize(df, columns, "_words")
-    counted = HashingTF(numFeatures=features, inputCol="_words", outputCol="_counts").transform(words)
-    return IDF(minDocFreq=1, inputCol="_counts", outputCol=output).fit(counted).transform(counted).drop("_words", "_counts")
+    names = [unused(df, "_words"), unused(df, "_counts")]
+    words = documentize(df, columns, names[0])
+    counted = HashingTF(numFeatures=features, inputCol=names[0], outputCol=names[1]).transform(words)
+    return IDF(minDocFreq=1, inputCol=names[1], outputCol=output).fit(counted).transform(counted).drop(*names)
 
 
 def summarize(df: DataFrame, vector: str, metrics: Sequence[str], weight: str | None = None) -> DataFrame:

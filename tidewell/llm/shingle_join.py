@@ -217,27 +217,20 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def linked_sets(docs: DataFrame, sizes: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(vertex, component) over the keys of the sets that link with another one; sizes: set_sizes(docs)."""
     stars = materialise(starred(signature_rows(docs, text)), "stars")
-    tried = stars.where("key != centre").groupBy(F.least("centre", "key").alias("a"), F.greatest("centre", "key").alias("b"))
-    tried = materialise(tried.agg(F.count("*").alias("shared")), "pairs")
+    tried = materialise(stars.where("key != centre").select(F.least("centre", "key").alias("a"), F.greatest("centre", "key").alias("b")).distinct(), "pairs")
 
     keys = tried.select("a").union(tried.select("b")).distinct().withColumnRenamed("a", "key")
     wanted = sizes.groupBy("key").agg(F.min("id").alias("_id")).join(keys, "key").select("_id", F.col("key").alias("_key"))
-    rows = docs.select(F.col(id).alias("_doc"), F.col(text).alias("text")).join(wanted, F.col("_doc").eqNullSafe(F.col("_id")))
+    # by merging at every size, so that a small input shows how a large one behaves; ids, and so partitions, are even
+    rows = docs.select(F.col(id).alias("_doc"), F.col(text).alias("text")).join(wanted.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")))
     texts = materialise(sketches(rows.select("_key", "text")), "texts")
     if not texts.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():  # repeated rows
         texts = replaced(texts, texts.dropDuplicates(["key"]), "texts")
     sketched = texts.select("key", "size", "sketch")
     likely = materialise(possible(tried, sketched), "likely")
-    # each set with the centre of most of its buckets; then with others where that has left the two in different components
-    first = likely.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("_most")).select("_most.a", "b")
-    links = materialise(verified(first, texts), "links")
+    links = materialise(verified(likely, texts), "links")
     parts = materialise(connected_components(links), "components")
-    rest = materialise(apart(likely.select("a", "b"), parts), "pairs")
-    if not rest.isEmpty():
-        links = replaced(links, links.unionByName(verified(rest, texts)), "links")
-        parts = replaced(parts, connected_components(links), "components")
-    tried = replaced(tried, tried.select("a", "b"), "pairs")
-    discard(likely, rest)
+    discard(likely)
     # all pairs with a centre are compared; what is left of a bucket must hold two sets of different components
     placed = placed_rows(stars, parts)
     for spanning in (True, False):
@@ -328,7 +321,7 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def possible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """The pairs (a, b, shared) that sizes and sketches don't rule out."""
+    """The pairs (a, b) that sizes and sketches don't rule out."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,12 +334,11 @@ def possible(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
                     rows = at[k : k + BLOCK].tolist()
                     apart = folded([x[i] for i in rows], width) ^ folded([y[i] for i in rows], width)
                     distance[rows] = np.bitwise_count(apart).sum(axis=1, dtype=np.int64)
-            yield batch.select([0, 1, 6]).filter(pa.array(may_link(distance, m, n)))
+            yield batch.select([0, 1]).filter(pa.array(may_link(distance, m, n)))
 
     left = sketched.select(F.col("key").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x"))
     right = sketched.select(F.col("key").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y"))
-    rows = pairs.select("a", "b", "shared").join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y", "shared")
-    return rows.mapInArrow(pick, "a bigint, b bigint, shared bigint")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(pick, "a bigint, b bigint")
 
 
 def close_pairs(parts: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray, sides: np.ndarray, spanning: bool) -> np.ndarray:
@@ -463,7 +455,7 @@ def first_of_components(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
     found = shingle_components(docs, id=id, text=text)
     found = materialise(found.select(F.col(id).alias("_id"), "component_id"), "components")
     gone = found.where("component_id != _id").select(F.col("_id").alias(id)).distinct()
-    kept = docs.join(gone, id, "left_anti")
+    kept = docs.join(gone.hint("merge"), id, "left_anti")
     twice = found.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_id").alias(id))
     if twice.isEmpty():
         return kept

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import Remembered, held_out, labelled_sample, materialise, sigmoid
 
 FIT_ROWS, BUCKETS, WIDTH, FILTERS, WIDTHS, EPOCHS = 8000, 1 << 17, 8, 6, (1, 2, 3), 6
+#: Steps of training at least; few rows are passed over more often.
+LEAST_STEPS = 600
 #: A bucket's embedding stays zero below so many training texts; the share of words that training leaves out.
 LEAST_TEXTS, LEFT_OUT = 4, 0.3
 #: Lengths of the beginnings that longer words are hashed by too.
@@ -100,7 +102,7 @@ class TextCnn:
         parameters = [*self.filters, *self.biases, self.out, self.bias]
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parameters]
         slow, step = (np.zeros_like(self.embedding), np.zeros_like(self.embedding)), 0
-        for epoch in range(EPOCHS):
+        for epoch in range(max(EPOCHS, -(-LEAST_STEPS * batch // len(texts)))):
             order = self.random.permutation(len(texts))
             for i in range(0, len(order), batch):
                 rows = order[i : i + batch]

@@ -583,3 +583,20 @@ def test_sketches_rule_out_no_link():
         apart = int(np.bitwise_count(shingle_join.folded([x], width) ^ shingle_join.folded([y], width)).sum())
         assert apart <= len(np.setxor1d(a, b)) and (apart > 0 or size == 5)
         assert not shingle_join.similar(a, b) or shingle_join.may_link(np.array([apart]), np.array([len(a)]), np.array([len(b)]))[0]
+
+
+def test_components_of_random_graphs(spark):
+    rnd = random.Random(11)
+    links = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(170)] + [(1000 + i, 1000 + (i * 7 + 3) % 64) for i in range(64)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    wanted = {v: find(v) for a, b in links if a != b for v in (a, b)}
+    assert {r.vertex: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()} == wanted

@@ -3,7 +3,7 @@
 In a large star each vertex links its larger neighbours to the least of its neighbours and itself; in a small star it
 links its smaller neighbours and itself to the least of them. Both keep the components; they end with a star around the
 least vertex of each, after a number of rounds that grows with the logarithm of the size. Each round is a few
-aggregations and joins on edges, written to the shared folder; only a count comes to the driver.
+aggregations and joins on edges, written to the shared folder; only whether they are stars comes to the driver.
 """
 
 from __future__ import annotations
@@ -29,19 +29,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where("u > v").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each vertex with a smaller neighbour has no other one: then it hangs on the least of its component."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("hangs")).union(edges.select("v", F.lit(0)))
+    return ends.groupBy("x").agg(F.sum("hangs").alias("_h"), F.count("*").alias("_n")).where("_h > 0 AND _n > 1").isEmpty()
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(vertex, component) for each vertex of a link to another one; component is the least vertex. No rows without links;
     links of a vertex to itself and repeated ones change nothing, nulls are passed over."""
     edges = materialise(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("u > v").distinct(), "edges")
-    state = None
-    while True:
+    while not _are_stars(edges):
         new = materialise(_star(_star(edges, True), False), "edges")
         discard(edges)
         edges = new
-        # a star is reached when no centre is itself linked to a smaller vertex and each vertex has one link
-        now = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
     centres = edges.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(centres)

@@ -550,7 +550,7 @@ def test_seeds_find_heavily_edited_copies(spark):
 
 def test_stages_take_columns_of_any_name(spark, labels):
     rows = [(1, "some words that are the same in both", 1, 2, 3), (2, "some words that are the same in both", 1, 2, 3), (None, "other", 1, 2, 3), (None, "other", 1, 2, 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _gone int, component_id int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _gone int, component_id int").select("text", "_gone", "doc_id", "_id", "component_id")
     kept = shingle_join.first_of_components(docs)
     assert kept.columns == docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1]
     assert quality_rules.keep_good(docs, labels).columns == docs.columns

@@ -455,7 +455,7 @@ def first_of_components(docs: DataFrame, *, id: str = "doc_id", text: str = "tex
     found = shingle_components(docs, id=id, text=text)
     found = materialise(found.select(F.col(id).alias("_id"), "component_id"), "components")
     gone = found.where("component_id != _id").select(F.col("_id").alias(id)).distinct()
-    kept = docs.join(gone.hint("merge"), id, "left_anti")
+    kept = docs.join(gone.hint("merge"), id, "left_anti").select(*docs.columns)
     twice = found.groupBy("_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_id").alias(id))
     if twice.isEmpty():
         return kept

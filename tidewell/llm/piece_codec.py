@@ -57,7 +57,7 @@ class PieceCodec:
 
     def __init__(self, pieces: Pieces, chunk: int = CHUNK):
         self.pieces, self.automaton, self.chunk = pieces, Automaton(pieces), chunk
-        self.spaced = Remembered(lambda word: self._pack(self.word(META + word)))
+        self.spaced = Remembered(lambda word: self._pack(self.word(META + word)), 150_000)
         self.bare = Remembered(lambda word: self._pack(self.word(word)), 50_000)
         self.newline = self._pack(pieces.fallback("\n"))
         self.lone = self._pack([pieces.ids[META]])

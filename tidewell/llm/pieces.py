@@ -25,7 +25,7 @@ NEVER = -float("inf")
 class Pieces:
     """The vocabulary of a model file; `limit` bounds the table of tested pairs, which is emptied when full."""
 
-    def __init__(self, model_file: str, limit: int = 1_000_000):
+    def __init__(self, model_file: str, limit: int = 400_000):
         proto = sentencepiece_model_pb2.ModelProto()
         with open(model_file, "rb") as f:
             proto.ParseFromString(f.read())
@@ -161,7 +161,7 @@ class Automaton:
 
     START, LOST = ("", (("", 0),)), ("", (None,))
 
-    def __init__(self, pieces: Pieces, limit: int = 1_000_000):
+    def __init__(self, pieces: Pieces, limit: int = 600_000):
         self.pieces, self.limit = pieces, limit
         self._reset()
 

@@ -45,7 +45,7 @@ PERCENT = 80
 #: Sets in a block, partners of a centre in one group, and how often a signature is hot in a task; they change no result.
 BLOCK, PARTNERS, HOT = 1024, 256, 32
 #: Least and most bits of a sketch, which has 4 for each element; signature rows that a task holds at once.
-LEAST_BITS, MOST_BITS, AT_ONCE = 512, 1 << 17, 1 << 20
+LEAST_BITS, MOST_BITS, AT_ONCE = 512, 1 << 17, 1 << 18
 #: Up to so many differences partitions are split in three again.
 TWO_LEVELS = 16
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)

@@ -208,6 +208,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("_n"))
     dealt = pairs.select("a", "b").join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "_n").cast("int").alias("g"))
     own = many.select("a", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("g"))
+    texts = texts.hint("merge")  # at every size, as large inputs have it
     left = own.join(texts, F.col("a") == F.col("key")).select("a", "g", F.lit(None).cast("bigint").alias("b"), "text")
     right = dealt.join(texts, F.col("b") == F.col("key")).select("a", "g", "b", "text")
     rows = left.unionByName(right).repartition("a", "g").sortWithinPartitions("a", "g", F.asc_nulls_first("b"))

@@ -161,7 +161,7 @@ class Automaton:
 
     START, LOST = ("", (("", 0),)), ("", (None,))
 
-    def __init__(self, pieces: Pieces, limit: int = 600_000):
+    def __init__(self, pieces: Pieces, limit: int = 800_000):
         self.pieces, self.limit = pieces, limit
         self._reset()
 

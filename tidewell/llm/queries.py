@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm import oracles
 from tidewell.llm.common import held_out, read_table
 from tidewell.llm.compression_quality import quality_scores
+from tidewell.llm.conversation_repair import repair_report
 from tidewell.llm.decontamination import contaminated_pairs
 from tidewell.llm.html_cut import page_texts
+from tidewell.llm.license_scan import license_report
 from tidewell.llm.piece_codec import piece_digests
 from tidewell.llm.quality_rules import quality_report
 from tidewell.llm.secret_scan import secret_report
@@ -16,6 +19,7 @@ from tidewell.llm.shingle_join import shingle_components
 from tidewell.llm.token_counts import with_token_counts
 from tidewell.llm.token_records import token_records
 from tidewell.llm.toxicity import toxicity_verdicts
+from tidewell.llm.vector_codes import vector_codes
 
 
 def tokenizer_file(name: str) -> str:
@@ -70,20 +74,30 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_cut, op2_token_counts, op3_token_records, op4_shingle_join, op5_piece_codec, op6_quality_rules, op7_toxicity, op8_compression_quality, op9_decontamination, op10_secret_scan)}
-#: Links by shared shingles, components by reachability. The other nine rest on models, libraries' ids, alignments or spans, which
-#: SQL can't express; tests/llm holds them against brute force, the libraries and labels.
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(read_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_cut, op2_token_counts, op3_token_records, op4_shingle_join, op5_piece_codec, op6_quality_rules, op7_toxicity, op8_compression_quality,
+        op9_decontamination, op10_secret_scan, op11_conversation_repair, op12_license_scan, op13_vector_codes,
+    )
+}
+#: The other nine rest on models, libraries' ids, alignments or spans, which SQL can't express; tests/llm holds them against brute
+#: force, the libraries and labels.
 ORACLES: dict[str, str] = {
-    "op4_shingle_join": r"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
-), s AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w
-), x AS (SELECT doc_id, len(s) AS n, unnest(s) AS e FROM s),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k, any_value(x.n) AS m, any_value(y.n) AS n FROM x JOIN x AS y ON x.e = y.e AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (m + n - k)),
-r AS (SELECT a AS id, b AS c FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.c = l.a),
-c AS (SELECT id, min(c) AS c FROM r GROUP BY 1)
-SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(c.c, s.doc_id)) AS component_id FROM s LEFT JOIN c ON s.doc_id = c.id
-""",
+    "op4_shingle_join": oracles.SHINGLE_JOIN,
+    "op11_conversation_repair": oracles.CONVERSATION_REPAIR,
+    "op12_license_scan": oracles.LICENSE_SCAN,
+    "op13_vector_codes": oracles.VECTOR_CODES,
 }

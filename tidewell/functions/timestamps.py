@@ -51,9 +51,9 @@ def minmax(value: Column, low: Column | float, high: Column | float) -> Column:
 
 def normalize_millis(millis: Column, interval: str) -> Column:
     """Epoch milliseconds, moved to an interval of the session's time zone: minutes and hours are rounded (halves up),
-    5, 15 and 30 minutes, 6 and 12 hours are floored; "1d" floors to 12 hours, "1d_round" rounds at noon."""
+    5, 15 and 30 minutes, 6 and 12 hours are floored; "1d" goes down to midnight or noon, "1d_round" rounds at noon."""
     time = F.timestamp_millis(millis)
-    hour, half_day = F.date_trunc("hour", time), F.date_trunc("day", time)
+    hour, day = F.date_trunc("hour", time), F.date_trunc("day", time)
 
     def down(unit: Column, part: Column, step: int, seconds: int) -> Column:
         return F.unix_millis(unit) - F.pmod(part, F.lit(step)) * seconds * 1000
@@ -66,8 +66,9 @@ def normalize_millis(millis: Column, interval: str) -> Column:
         return F.unix_millis(F.date_trunc("hour", F.timestamp_millis(millis + 1_800_000)))
     if interval in ("6h", "12h"):
         return down(hour, F.hour(time), int(interval[:-1]), 3600)
-    if interval == "1d":
-        return down(hour, F.hour(time), 12, 3600)
+    if interval == "1d":  # by the clock on the wall, also where a day has 23 or 25 hours
+        wall = F.date_trunc("day", time).cast("timestamp_ntz")
+        return F.unix_millis(F.when(F.hour(time) >= 12, wall + F.expr("INTERVAL 12 HOURS")).otherwise(wall).cast("timestamp"))
     if interval == "1d_round":
-        return F.unix_millis(F.when(F.hour(time) >= 12, half_day + F.expr("INTERVAL 1 DAY")).otherwise(half_day))
+        return F.unix_millis(F.when(F.hour(time) >= 12, day + F.expr("INTERVAL 1 DAY")).otherwise(day))
     raise ValueError(f"unknown interval {interval!r}; known: {', '.join(INTERVALS)}")

@@ -3,53 +3,61 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.operators.series import _ordered, unused
+from tidewell.operators.blocks import unused
+from tidewell.operators.ranks import rank_values
+from tidewell.operators.series import windowed_list
 from tidewell.operators.vectors import vectorize
 
 NUMBERS = (T.ByteType, T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType)
-#: Of approximate percentiles: their rank error is a share of the rows of one by ACCURACY; MARGIN such shares are looked at.
-ACCURACY, MARGIN = 10_000, 10
 
 
 def nearest_ranks(df: DataFrame, column: str, percents: Sequence[float]) -> DataFrame:
-    """One row with q<i> for each percentage: the element at rank round(share * n), halves up, within 1..n; nulls count as
-    0, and so does an empty table. No global sort: approximate percentiles give two bounds around each rank, values below are
-    counted, and only those between the bounds (a five-hundredth of the rows, and their distinct values) are ordered. So it
-    doesn't matter how values are spread."""
-    values = df.select(F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias("_v"))
-    shares = [min(1.0, max(0.0, p / 100 + d * MARGIN / ACCURACY)) for p in percents for d in (-1, 1)]
-    ends = values.agg(F.percentile_approx("_v", F.array(*map(F.lit, shares)), ACCURACY).alias("_q"), F.count("*").alias("_n"))
-    near = values.crossJoin(F.broadcast(ends))  # one row
-    inside = [F.col("_v").between(F.get("_q", F.lit(2 * i)), F.get("_q", F.lit(2 * i + 1))) for i in range(len(percents))]
-    below = near.agg(*[F.count_if(F.col("_v") < F.get("_q", F.lit(2 * i))).alias(f"_b{i}") for i in range(len(percents))], F.max("_n").alias("_n"))
-    ranks = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_b{i}").alias("b"), F.greatest(F.lit(1), F.least("_n", F.floor(F.lit(p / 100) * F.col("_n") + 0.5))).alias("k")) for i, p in enumerate(percents)])
-    wanted = below.select(F.explode(ranks).alias("_r")).select("_r.*")  # a row for each percentage
-    hits = near.select("_v", F.explode(F.array_compact(F.array(*[F.when(x, F.lit(i)) for i, x in enumerate(inside)]))).alias("i"))
-    counts = hits.groupBy("i", "_v").agg(F.count("*").alias("_c"))
-    upto = counts.join(F.broadcast(wanted), "i").withColumn("_upto", F.col("b") + F.sum("_c").over(Window.partitionBy("i").orderBy("_v")))
-    found = upto.where(F.col("_upto") >= F.col("k"))
-    return found.agg(*[F.coalesce(F.min(F.when(F.col("i") == i, F.col("_v"))), F.lit(0.0)).alias(f"q{i}") for i in range(len(percents))])
+    """One row with q<i> for each percentage: ranks.rank_values."""
+    values = rank_values(df, column, percents)
+    return df.sparkSession.createDataFrame([tuple(values)], ", ".join(f"q{i} double" for i in range(len(values))))
 
 
-def tukey_distance(df: DataFrame, column: str, output: str = "tukey_dist") -> DataFrame:
-    """A value minus the fence (Q25 - 1.5 IQR or Q75 + 1.5 IQR) that it lies beyond, 0 inside them, null for null."""
+@dataclass(frozen=True)
+class TukeyModel:
+    """The fences of a column: Q25 - 1.5 IQR and Q75 + 1.5 IQR."""
+
+    column: str
+    low: float
+    high: float
+
+
+def _check_number(df: DataFrame, column: str) -> None:
     if not isinstance(df.schema[column].dataType, NUMBERS):
         raise ValueError(f"{column!r} is no numerical column")
-    names = [unused(df, "_low"), unused(df, "_high")]
-    v, low, high = F.col(column).cast("double"), *map(F.col, names)
-    fences = nearest_ranks(df, column, (25, 75)).select((F.col("q0") - 1.5 * (F.col("q1") - F.col("q0"))).alias(names[0]), (F.col("q1") + 1.5 * (F.col("q1") - F.col("q0"))).alias(names[1]))
-    distance = F.when(v < low, v - low).when(v > high, v - high).when(v.isNotNull(), F.lit(0.0))
-    return df.crossJoin(F.broadcast(fences)).withColumn(output, distance).drop(*names)  # one row
 
 
-def change_points(df: DataFrame, time: str, value: str, window: int = 30, threshold: float | None = None, group: str | None = None, tiebreak: str | None = None, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def fit_tukey(df: DataFrame, column: str) -> TukeyModel:
+    _check_number(df, column)
+    a, b = rank_values(df, column, (25, 75))
+    return TukeyModel(column, a - 1.5 * (b - a), b + 1.5 * (b - a))
+
+
+def apply_tukey(df: DataFrame, model: TukeyModel, output: str = "tukey_dist") -> DataFrame:
+    """A value minus the fence that it lies beyond, 0 inside them, null for null; of a batch or a stream, with nothing but the row."""
+    _check_number(df, model.column)
+    v = F.col(model.column).cast("double")
+    return df.withColumn(output, F.when(v < model.low, v - model.low).when(v > model.high, v - model.high).when(v.isNotNull(), F.lit(0.0)))
+
+
+def tukey_distance(df: DataFrame, column: str, output: str = "tukey_dist") -> DataFrame:
+    """Distances from the fences of the table's own values."""
+    return apply_tukey(df, fit_tukey(df, column), output)
+
+
+def change_points(df: DataFrame, time: str, value: str, window: int = 30, threshold: float | None = None, group: str | None = None, tiebreak: str | None = None, score: Callable[[Column, Column], Column] | None = None, bounds: Sequence[int] | None = None) -> DataFrame:
     """cp_score and is_cp (score above the threshold) of rows with `window` values on either side; other rows go.
 
     score compares the values before a row with those from it on (the last one of the window is not among them); without
@@ -58,8 +66,9 @@ def change_points(df: DataFrame, time: str, value: str, window: int = 30, thresh
     if window < 2 or threshold is None or not 0 < threshold < 1:
         raise ValueError("the window must be 2 or more, the threshold between 0 and 1")
     name = unused(df, "_w")
-    rows = df.withColumn(name, F.collect_list(value).over(_ordered(time, group, tiebreak).rowsBetween(-window, window)))
+    rows, halo = windowed_list(df, name, value, -window, window, time, [group] if group else [], tiebreak, bounds)
     rows = rows.where(F.size(name) == 2 * window + 1)
+    rows = halo.kept(rows) if halo else rows
     value_of = score(F.slice(name, 1, window), F.slice(name, window + 1, window)) if score else F.lit(0.0)
     return rows.withColumn("cp_score", value_of.cast("double")).withColumn("is_cp", F.col("cp_score") > threshold).drop(name)
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.functions.timestamps import minmax
-from tidewell.operators.series import DiffModel, difference, undo_difference, unused
+from tidewell.operators.blocks import unused
+from tidewell.operators.series import DiffModel, difference, undo_difference
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.operators.series import unused
+from tidewell.operators.blocks import unused
+from tidewell.sources.pinned import pinned
 
 DOCUMENT_TYPES = (T.BooleanType, T.ByteType, T.DateType, T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.StringType, T.TimestampType, T.TimestampNTZType)
 METRICS = ("mean", "variance", "count", "numNonZeros", "max", "min", "normL2", "normL1", "sum", "std")
@@ -63,21 +64,14 @@ def frequency_vector(df: DataFrame, columns: Sequence[str], output: str = "vecto
     return _looked_up(df, columns, tables, output)
 
 
-#: Strings that are looked at to part the categories into ranges, and the number of ranges; they change no result.
-LOOKED_AT, RANGES = 4096, 64
-
-
 def _numbered(keys: DataFrame) -> DataFrame:
-    """(_key, _value) with each distinct key's place: keys are numbered within ranges, and ranges get the sum of those before.
-
-    A bounded number of keys, those with the least hash, comes to the driver to choose the ranges' bounds."""
-    seen = sorted(r[0] for r in keys.where("_key IS NOT NULL").orderBy(F.xxhash64("_key"), "_key").limit(LOOKED_AT).collect())
-    bounds = F.array(*[F.lit(seen[len(seen) * i // RANGES]) for i in range(1, RANGES)]) if len(seen) == LOOKED_AT else F.array().cast("array<string>")
-    placed = keys.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col("_key"))))
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # RANGES rows at most
+    """(_key, _value) with each distinct key's place: keys are dealt out by ranges, as many as their size asks for, and written down in
+    order; then a key's place is its place in its range plus the keys of the ranges before."""
+    ordered = pinned(keys.repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_at", F.monotonically_increasing_id()))
+    placed = ordered.select("_key", F.shiftright("_at", 33).alias("_range"), (F.col("_at") % (1 << 33)).alias("_place"))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy("_key")) - 1)
-    return numbered.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range").select("_key", (F.col("_before") + F.col("_place")).alias("_value"))
+    return placed.join(sizes.select("_range", before.alias("_before")), "_range").select("_key", (F.col("_before") + F.col("_place")).alias("_value"))
 
 
 def index_vector(df: DataFrame, columns: Sequence[str], output: str = "vector") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.timestamps import INTERVALS, STEPS, minmax, to_millis
-from tidewell.operators import anomalies, scaling, series, uplink, vectors
+from tidewell.operators import anomalies, blocks, scaling, series, uplink, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -98,7 +98,39 @@ def prepare_all_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def series_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: hourly maxima, on a grid without gaps, as lag vectors with the next value as label."""
     hourly = series.normalize(events(spark, sf_dir).select("v", "t"), "t", "1h").groupBy("t").agg(F.max("v").alias("v"))
-    return series.lagging(series.prepare(hourly, "t", "1h", STEPS["1h"], "v"), "t", "v", lag=3)
+    bounds = blocks.grid_bounds(hourly, "t", STEPS["1h"])
+    filled = series.prepare(hourly, "t", "1h", STEPS["1h"], "v", bounds=bounds)  # its times are timestamps
+    return series.lagging(filled, "t", "v", lag=3, bounds=[1000 * b for b in bounds])
+
+
+HOURS = "(t + 1800000) // 3600000 * 3600000"
+
+
+@query(
+    f"{EVENTS}, b AS (SELECT event_type AS k, {HOURS} AS t, max(v) AS v FROM e GROUP BY ALL), g AS (SELECT k, unnest(range(min(t), max(t) + 1, 3600000)) AS t FROM b GROUP BY k), "
+    "j AS (SELECT g.k, g.t, b.v, row_number() OVER (PARTITION BY g.k ORDER BY g.t) AS r FROM g LEFT JOIN b ON g.t = b.t AND g.k = b.k), "
+    "w AS (SELECT *, last_value(v IGNORE NULLS) OVER p AS a, first_value(v IGNORE NULLS) OVER n AS z, "
+    "last_value(CASE WHEN v IS NOT NULL THEN r END IGNORE NULLS) OVER p AS ar, first_value(CASE WHEN v IS NOT NULL THEN r END IGNORE NULLS) OVER n AS zr FROM j "
+    "WINDOW p AS (PARTITION BY k ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n AS (PARTITION BY k ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) "
+    "SELECT k AS event_type, t, CASE WHEN v IS NULL THEN a + (z - a) / (zr - ar) * (r - ar) ELSE v END AS v FROM w"
+)
+def prepare_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of hours for each type of event, over its own span."""
+    hourly = series.normalize(events(spark, sf_dir).select("event_type", "v", "t"), "t", "1h").groupBy("event_type", "t").agg(F.max("v").alias("v"))
+    out = series.prepare(hourly, "t", "1h", STEPS["1h"], "v", "event_type")
+    return out.select("event_type", to_millis(F.col("t")).alias("t"), "v")
+
+
+SINGLE = "ORDER BY t, event_id"
+
+
+@query(f"{EVENTS}, w AS (SELECT *, last_value(CASE WHEN event_id % 7 <> 0 THEN v END IGNORE NULLS) OVER p AS a, first_value(CASE WHEN event_id % 7 <> 0 THEN v END IGNORE NULLS) OVER n AS z, row_number() OVER ({SINGLE}) AS r FROM e WINDOW p AS ({SINGLE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS ({SINGLE} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), "
+       f"k AS (SELECT *, max(CASE WHEN event_id % 7 <> 0 THEN r END) OVER ({SINGLE}) AS ar, min(CASE WHEN event_id % 7 <> 0 THEN r END) OVER (ORDER BY t DESC, event_id DESC) AS zr FROM w) "
+       "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN a + (z - a) / (zr - ar) * (r - ar) ELSE v END AS v FROM k")
+def interpolate_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series."""
+    rows = events(spark, sf_dir).select("event_id", "t", F.when(F.col("event_id") % 7 != 0, F.col("v")).alias("v"))
+    return series.interpolate(rows, "t", "v", tiebreak="event_id").select("event_id", "v")
 
 
 GAPS = f"{EVENTS}, j AS (SELECT event_id, user_id, t, CASE WHEN event_id % 7 = 0 THEN NULL ELSE v END AS v, row_number() OVER ({BY_USER}) AS r FROM e)"
@@ -137,6 +169,27 @@ def undiff2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.undo_difference(out, model, model.output, "restored").select("event_id", F.round("restored", 6).alias("v"))
 
 
+@query(f"{EVENTS}, d AS (SELECT event_id, v - lag(v, 3) OVER ({SINGLE}) AS x FROM e) SELECT event_id, round(x, 6) AS v_diff_1 FROM d WHERE x IS NOT NULL")
+def diff1_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, model = series.difference(events(spark, sf_dir).select("event_id", "t", "v"), "t", "v", 1, 3, tiebreak="event_id")
+    return out.select("event_id", F.round(model.output, 6).alias("v_diff_1"))
+
+
+@query(
+    f"{EVENTS}, d AS (SELECT event_id, t, v - lag(v) OVER ({SINGLE}) AS x FROM e), d2 AS (SELECT event_id, x - lag(x) OVER ({SINGLE}) AS y FROM d WHERE x IS NOT NULL) "
+    "SELECT event_id, round(y, 6) AS v_diff_2 FROM d2 WHERE y IS NOT NULL"
+)
+def diff2_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, model = series.difference(events(spark, sf_dir).select("event_id", "t", "v"), "t", "v", 2, 1, tiebreak="event_id")
+    return out.select("event_id", F.round(model.output, 6).alias("v_diff_2"))
+
+
+@query(f"{EVENTS}, w AS (SELECT event_id, list(v) OVER ({SINGLE} ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING) AS a FROM e) SELECT event_id, a[1] AS f1, a[2] AS f2, a[3] AS f3, a[4] AS l1, a[5] AS l2 FROM w WHERE len(a) = 5")
+def lag_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = series.lagging(events(spark, sf_dir).select("event_id", "t", "v"), "t", "v", lag=3, frame=2, tiebreak="event_id")
+    return out.select("event_id", *[F.get("features", F.lit(i)).alias(f"f{i + 1}") for i in range(3)], *[F.get("label", F.lit(i)).alias(f"l{i + 1}") for i in range(2)])
+
+
 def _lists(start: str, end: str) -> str:
     return f"{EVENTS}, w AS (SELECT event_id, list(v) FILTER (WHERE v IS NOT NULL) OVER ({BY_USER} ROWS BETWEEN {start} AND {end}) AS a FROM e)"
 
@@ -272,6 +325,15 @@ def changepoint_mean_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", F.round("cp_score", 6).alias("cp_score"), "is_cp")
 
 
+@query(
+    f"{EVENTS}, w AS (SELECT event_id, list(v) OVER ({SINGLE} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS a FROM e), s AS (SELECT event_id, (a[4] + a[5] + a[6]) / 3 AS y, (a[1] + a[2] + a[3]) / 3 AS x FROM w WHERE len(a) = 7) "
+    "SELECT event_id, round(abs(y - x) / (abs(y) + abs(x)), 6) AS cp_score, abs(y - x) / (abs(y) + abs(x)) > 0.3 AS is_cp FROM s"
+)
+def changepoint_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = anomalies.change_points(events(spark, sf_dir).select("event_id", "t", "v"), "t", "v", 3, 0.3, tiebreak="event_id", score=anomalies.mean_shift)
+    return out.select("event_id", F.round("cp_score", 6).alias("cp_score"), "is_cp")
+
+
 @query("SELECT p_partkey, 'p_brand=' || p_brand AS w1, 'p_size=' || p_size AS w2, 'p_type=' || p_type AS w3 FROM part")
 def documentize(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = vectors.documentize(read(spark, sf_dir, "part"), ["p_brand", "p_size", "p_type"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.timestamps import INTERVALS, STEPS, minmax, to_millis
@@ -481,3 +481,70 @@ def uplink_v3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "device_id", "f_cnt", "f_port", "device_latitude", "device_altitude", "transmission.modulation", "transmission.bandwidth", "transmission.spreading_factor",
         F.get("attributes", F.lit(0))["attr_value"].alias("attr_value"), "g.gateway_id", F.col("g.timestamp").alias("gateway_time"), "g.gateway_latitude",
     )
+
+
+SHAPES = "event_id % 6 AS shape, event_id::VARCHAR AS n, round(value, 2)::VARCHAR AS x, event_type AS w"
+
+
+@query(
+    f"WITH e AS (SELECT event_id, {SHAPES} FROM events), a AS (SELECT event_id, unnest([{{'k': 'int', 't': 'Int', 'v': n}}, {{'k': 'long', 't': 'Long', 'v': '300000' || lpad(n, 7, '0')}}, {{'k': 'double', 't': 'Double', 'v': n || '.25'}}, "
+    "{'k': 'text', 't': 'String', 'v': '\"' || w || '\"'}, {'k': 'flag', 't': 'Boolean', 'v': (shape % 2 = 0)::VARCHAR}, {'k': 'list', 't': 'List', 'v': '[' || n || ',\"' || w || '\"]'}, {'k': 'map', 't': 'Map', 'v': '{\"in\":' || n || '}'}]) AS a "
+    "FROM e WHERE shape < 4) SELECT event_id, a.k AS attr_name, a.t AS attr_type, a.v AS attr_value FROM a"
+)
+def uplink_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads with values of all kinds; a sixth of the messages has a JSON null in them and a sixth no object, so these go."""
+    rows = events(spark, sf_dir)
+    n, w = F.col("event_id").cast("string"), F.col("event_type")
+    payload = F.concat(
+        F.lit('{"int":'), n, F.lit(',"long":300000'), F.lpad(n, 7, "0"), F.lit(',"double":'), n, F.lit('.25,"text":"'), w, F.lit('","flag":'), (F.col("event_id") % 2 == 0).cast("string"),
+        F.lit(',"list":['), n, F.lit(',"'), w, F.lit('"],"map":{"in":'), n, F.lit("}"), F.when(F.col("event_id") % 6 == 4, F.lit(',"none":null}')).otherwise(F.lit("}")),
+    )
+    text = F.concat(F.lit('{"app_id":"a","dev_id":"d","hardware_serial":"h","is_retry":false,"confirmed":true,"payload_raw":"p","payload_fields":'), F.when(F.col("event_id") % 6 == 5, F.lit("[1]")).otherwise(payload), F.lit("}"))
+    out = uplink.parse_v2(rows.select("event_id", text.alias("value")))
+    return out.select("event_id", F.explode("attributes").alias("a")).select("event_id", "a.*")
+
+
+@query(
+    f"WITH e AS (SELECT event_id, {SHAPES} FROM events WHERE event_id % 6 <> 5), g AS (SELECT *, unnest([1, 2, 3]) AS i FROM e) "
+    "SELECT event_id, CAST(CASE shape WHEN 0 THEN -1 WHEN 1 THEN 0 ELSE event_id END AS INT) AS counter, CAST(CASE WHEN shape = 2 THEN 5 ELSE -1 END AS INT) AS port, CAST(CASE shape WHEN 3 THEN 868 WHEN 4 THEN 0 ELSE 868.5 END AS DOUBLE) AS frequency, "
+    "CASE WHEN shape = 1 THEN NULL WHEN shape = 2 THEN '' ELSE 'SF7' END AS data_rate, CASE WHEN shape = 3 THEN '12.0' ELSE '0.0' END AS device_altitude, CAST(i AS INT) AS i, CASE i WHEN 1 THEN 'a' WHEN 2 THEN '' END AS gtw_id, "
+    "CAST(CASE i WHEN 1 THEN 7000 WHEN 2 THEN 3000000000 + event_id ELSE 0 END AS BIGINT) AS gateway_time, CAST(CASE i WHEN 1 THEN -5 WHEN 2 THEN -1 ELSE 0 END AS INT) AS rssi, CAST(CASE i WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1.5 END AS DOUBLE) AS snr, CASE i WHEN 3 THEN '3.0' ELSE '0.0' END AS altitude FROM g"
+)
+def uplink_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optional keys that are absent, null, or whole numbers where doubles are declared, three gateways with times below and above
+    32 bits and none, and messages whose counter is a text, which go."""
+    k, n = F.col("event_id") % 6, F.col("event_id").cast("string")
+    case = lambda default, **shapes: F.coalesce(*[F.when(k == int(i[1:]), F.lit(x)) for i, x in shapes.items()], default if isinstance(default, Column) else F.lit(default))
+    text = F.concat(
+        F.lit('{"app_id":"a","dev_id":"d","hardware_serial":"h","is_retry":false,"confirmed":true,"payload_raw":"p"'), case(F.concat(F.lit(',"counter":'), n), _0="", _1=',"counter":null', _5=',"counter":"x"'), case("", _2=',"port":5'),
+        F.lit(',"metadata":{"airtime":5'), case(',"frequency":868.5', _3=',"frequency":868', _4=',"frequency":null'), case(',"data_rate":"SF7"', _1=',"data_rate":null', _2=""), case("", _3=',"altitude":12'),
+        F.lit(',"gateways":[{"gtw_id":"a","timestamp":7,"rssi":-5,"snr":2},{"timestamp":'), (F.col("event_id") + 3_000_000_000).cast("string"), F.lit('},{"gtw_id":null,"rssi":null,"snr":1.5,"altitude":3}]}}'),
+    )
+    out = uplink.parse_v2(events(spark, sf_dir).select("event_id", text.alias("value")))
+    rows = out.select("event_id", "counter", "port", "metadata.frequency", "metadata.data_rate", "metadata.device_altitude", F.posexplode("metadata.gateways").alias("i", "g"))
+    return rows.select(*[c for c in rows.columns if c not in ("i", "g")], (F.col("i") + 1).alias("i"), "g.gtw_id", F.col("g.timestamp").alias("gateway_time"), "g.rssi", "g.snr", F.col("g.gateway_altitude").alias("altitude"))
+
+
+@query(
+    f"WITH e AS (SELECT event_id, {SHAPES} FROM events WHERE event_id % 6 <> 5), g AS (SELECT *, unnest([1, 2]) AS i FROM e) "
+    "SELECT event_id, CAST(len(CASE WHEN shape = 0 THEN [] ELSE ['c', n] END) AS INT) AS n_correlations, CAST(CASE shape WHEN 1 THEN 0 WHEN 2 THEN 0 ELSE 9 END AS INT) AS f_port, "
+    "CASE shape WHEN 3 THEN NULL WHEN 4 THEN 'fsk' ELSE 'lora' END AS modulation, CAST(CASE WHEN shape < 3 THEN 125000 END AS BIGINT) AS bandwidth, CAST(CASE shape WHEN 3 THEN NULL WHEN 2 THEN 0 ELSE 5 END AS INT) AS data_rate_index, "
+    "CASE WHEN i = 1 THEN 'g' END AS gateway_id, CASE WHEN i = 1 THEN 'u' || n END AS eui, CASE WHEN i = 1 THEN 't' END AS time, CAST(CASE i WHEN 1 THEN event_id END AS BIGINT) AS gateway_time, CAST(CASE i WHEN 1 THEN -3 ELSE 0 END AS INT) AS rssi, CAST(CASE i WHEN 1 THEN -4 END AS INT) AS channel_rssi, "
+    "CAST(CASE i WHEN 1 THEN 2 END AS DOUBLE) AS snr, CASE WHEN i = 1 THEN 'k' END AS uplink_token, CAST(CASE i WHEN 1 THEN 3 END AS INT) AS channel_index, CAST(CASE i WHEN 1 THEN 3.5 ELSE 0 END AS DOUBLE) AS latitude, CAST(CASE i WHEN 1 THEN 4 ELSE 0 END AS DOUBLE) AS longitude, CASE i WHEN 1 THEN '7.0' ELSE '0.0' END AS altitude FROM g"
+)
+def uplink_v3_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of gateways and transmissions, absent, null or known; messages whose correlation ids are no list go."""
+    k, n = F.col("event_id") % 6, F.col("event_id").cast("string")
+    case = lambda default, **shapes: F.coalesce(*[F.when(k == int(i[1:]), F.lit(x)) for i, x in shapes.items()], default if isinstance(default, Column) else F.lit(default))
+    lora = ',"settings":{"data_rate":{"lora":{"bandwidth":125000,"spreading_factor":7}},"coding_rate":"4/5","data_rate_index":%s,"frequency":"868"}'
+    text = F.concat(
+        F.lit('{"end_device_ids":{"device_id":"d","dev_eui":"e","join_eui":"j","dev_addr":"a","application_ids":{"application_id":"app"}},"received_at":"r"'), case(F.concat(F.lit(',"correlation_ids":["c","'), n, F.lit('"]')), _0="", _5=',"correlation_ids":"c"'),
+        F.lit(',"uplink_message":{"received_at":"n","consumed_airtime":"1s","locations":{"user":{"latitude":1,"longitude":2.5,"altitude":null}},"session_key_id":"s","frm_payload":"p","decoded_payload":{}'), case(',"f_port":9', _1="", _2=',"f_port":null'),
+        case(lora % 5, _2=lora % "null", _3="", _4=(lora % 5).replace('"lora":{"bandwidth":125000,"spreading_factor":7}', '"fsk":{"bit_rate":1}')),
+        F.lit(',"rx_metadata":[{"gateway_ids":{"gateway_id":"g","eui":"u'), n, F.lit('"},"time":"t","timestamp":'), n, F.lit(',"rssi":-3,"channel_rssi":-4,"snr":2,"uplink_token":"k","channel_index":3,"location":{"latitude":3.5,"longitude":4,"altitude":7}},{"rssi":null}]}}'),
+    )
+    out = uplink.parse_v3(events(spark, sf_dir).select("event_id", text.alias("value")))
+    top = out.select("event_id", F.size("correlation_ids").alias("n_correlations"), "f_port", "transmission.modulation", "transmission.bandwidth", "transmission.data_rate_index", F.explode("gateways").alias("g"))
+    names = {"timestamp": "gateway_time", "gateway_latitude": "latitude", "gateway_longitude": "longitude", "gateway_altitude": "altitude"}
+    fields = ("gateway_id", "eui", "time", "timestamp", "rssi", "channel_rssi", "snr", "uplink_token", "channel_index", "gateway_latitude", "gateway_longitude", "gateway_altitude")
+    return top.select(*[c for c in top.columns if c != "g"], *[F.col(f"g.{f}").alias(names.get(f, f)) for f in fields])

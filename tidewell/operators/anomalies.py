@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,6 +102,62 @@ def silhouettes(df: DataFrame, vector: str, cluster: str) -> dict[str, float]:
     return {"silhouette_euclidean": one("squaredEuclidean"), "silhouette_cosine": one("cosine"), "perplexity": 0.0, "likelihood": 0.0}
 
 
+#: Bytes of what is known of all clusters that every task may hold.
+CLUSTER_BYTES = 64 << 20
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _known_clusters(stats: DataFrame, size: int) -> DataFrame:
+    """All clusters as one row with one array; ValueError if that is too large for every task to hold."""
+    clusters = stats.count()
+    if clusters * (size + 4) * 8 > CLUSTER_BYTES:
+        raise ValueError(f"{clusters} clusters of {size} components are more than {CLUSTER_BYTES} bytes")
+    return stats.agg(F.collect_list(F.struct(*stats.columns)).alias("_known"))
+
+
+def silhouette_points(df: DataFrame, vector: str, cluster: str, measure: str = "squaredEuclidean", output: str = "silhouette") -> DataFrame:
+    """Each row's silhouette: (b - a) / max(a, b) for its mean distance a from the others of its cluster and b from the rows of the
+    nearest other cluster; 0 where it is alone. Means come from each cluster's number, sum of vectors and sum of squared norms, so no
+    pair of rows is looked at. Distances are squared Euclidean or cosine; a vector of zeros has no direction, and cosine distance 1
+    from all. vector: an array of numbers; rows with a null one, or without a cluster, go. One cluster alone is an error."""
+    if measure not in ("squaredEuclidean", "cosine"):
+        raise ValueError("measure is squaredEuclidean or cosine")
+    x, norm, known = unused(df, "_x"), unused(df, "_norm"), unused(df, "_known")
+    rows = df.where(F.col(vector).isNotNull() & F.col(cluster).isNotNull()).withColumn(x, F.col(vector).cast("array<double>"))
+    rows = rows.withColumn(norm, _dot(F.col(x), F.col(x)))
+    if measure == "cosine":
+        length = F.sqrt(norm)
+        rows = rows.withColumn(x, F.transform(x, lambda v: F.when(length > 0, v / F.when(length > 0, length)).otherwise(F.lit(0.0)))).withColumn(norm, F.lit(0.5))
+    total = vector_to_array(Summarizer.metrics("sum").summary(array_to_vector(F.col(x)))["sum"])
+    stats = rows.groupBy(F.col(cluster).alias("c")).agg(F.count("*").alias("n"), F.sum(norm).alias("q"), total.alias("s"))
+    first = rows.select(F.size(x)).first()
+    every = _known_clusters(stats, first[0] if first else 0).withColumnRenamed("_known", known)
+    joined = rows.crossJoin(F.broadcast(every))  # one row, its size checked
+    if measure == "cosine":  # 1 - cos; half of the squared distance of directions
+        away = lambda c: F.lit(1.0) - _dot(F.col(x), c["s"]) / c["n"]
+    else:
+        away = lambda c: F.col(norm) + c["q"] / c["n"] - 2 * _dot(F.col(x), c["s"]) / c["n"]
+    means = F.transform(known, lambda c: F.struct((c["c"] == F.col(cluster)).alias("own"), c["n"].alias("n"), away(c).alias("d")))
+    placed = joined.withColumn(known, means)
+    own = F.get(F.filter(known, lambda m: m["own"]), F.lit(0))
+    a = own["d"] * own["n"] / (own["n"] - 1)
+    b = F.array_min(F.transform(F.filter(known, lambda m: ~m["own"]), lambda m: m["d"]))
+    alone = F.when(b.isNull(), F.raise_error(F.lit("silhouettes need two clusters")).cast("double"))
+    score = F.when(own["n"] > 1, F.when(a < b, 1 - a / b).when(a > b, b / a - 1).otherwise(F.lit(0.0))).otherwise(F.lit(0.0))
+    return placed.withColumn(output, F.coalesce(alone, score)).drop(x, norm, known)
+
+
+def nearest_centres(df: DataFrame, vector: str, centres: Sequence[Sequence[float]], output: str = "_cluster") -> DataFrame:
+    """The place (from 0) of the nearest of given centres for each row, the first of equally near ones, null for a null vector."""
+    held = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(float(v)) for v in c]).alias("c")) for i, c in enumerate(centres)])
+    x = F.col(vector).cast("array<double>")
+    away = F.transform(held, lambda c: F.struct(F.aggregate(F.zip_with(x, c["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d).alias("d"), c["i"].alias("i")))
+    return df.withColumn(output, F.when(F.col(vector).isNotNull(), F.array_min(away)["i"]))
+
+
 def cluster(df: DataFrame, column: str, settings: Mapping[str, str], seed: int = 1) -> tuple[KMeansModel, DataFrame, dict[str, float]]:
     """Model, rows with _vector and _cluster, and their silhouettes."""
     rows = vectorize(df, column, "_vector", cast=True)

@@ -432,6 +432,86 @@ def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("vec_id", F.col("_cluster").alias("cluster"))
 
 
+def _points(spark: SparkSession, sf_dir: str, measure: str) -> DataFrame:
+    out = anomalies.silhouette_points(read(spark, sf_dir, "embeddings"), "embedding", "label", measure)
+    return out.select("vec_id", F.round("silhouette", 6).alias("silhouette"))
+
+
+POINT = SCORE.removeprefix("avg(").removesuffix(")")
+
+
+@query(
+    f"{LONG}, s AS (SELECT vec_id, label, sum(v * v) AS q FROM x GROUP BY 1, 2), m AS (SELECT label AS c, i, avg(v) AS y FROM x GROUP BY 1, 2), "
+    "k AS (SELECT label AS c, count(*) AS n, avg(q) AS p FROM s GROUP BY 1), dots AS (SELECT x.vec_id, m.c, sum(x.v * m.y) AS z FROM x JOIN m ON x.i = m.i GROUP BY 1, 2), "
+    f"d AS (SELECT s.vec_id, s.label, k.c, k.n, s.q + k.p - 2 * dots.z AS d FROM s JOIN dots ON s.vec_id = dots.vec_id JOIN k ON k.c = dots.c), {OWN} SELECT vec_id, round({POINT}, 6) AS silhouette FROM o"
+)
+def silhouette_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir, "squaredEuclidean")
+
+
+@query(
+    f"{LONG}, s AS (SELECT vec_id, sqrt(sum(v * v)) AS q FROM x GROUP BY 1), u AS (SELECT x.vec_id, x.label, x.i, x.v / s.q AS v FROM x JOIN s ON x.vec_id = s.vec_id), "
+    "m AS (SELECT label AS c, i, avg(v) AS y, count(*) AS n FROM u GROUP BY 1, 2), "
+    f"d AS (SELECT u.vec_id, u.label, m.c, max(m.n) AS n, 1 - sum(u.v * m.y) AS d FROM u JOIN m ON u.i = m.i GROUP BY 1, 2, 3), {OWN} SELECT vec_id, round({POINT}, 6) AS silhouette FROM o"
+)
+def silhouette_points_cos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _points(spark, sf_dir, "cosine")
+
+
+@query(
+    f"{LONG}, c AS (SELECT vec_id AS c, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings QUALIFY k < 8), "
+    "d AS (SELECT x.vec_id, k, sum((x.v - y.v) * (x.v - y.v)) AS d FROM c JOIN x AS y ON y.vec_id = c JOIN x ON x.i = y.i GROUP BY ALL) SELECT vec_id, CAST(arg_min(k, {'d': d, 'k': k}) AS INT) AS cluster FROM d GROUP BY vec_id"
+)
+def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows placed with the nearest of given centres, the vectors of the eight least ids."""
+    rows = read(spark, sf_dir, "embeddings")
+    centres = [r["embedding"] for r in rows.orderBy("vec_id").limit(8).collect()]
+    return anomalies.nearest_centres(rows, "embedding", centres, "cluster").select("vec_id", "cluster")
+
+
+@query(ORACLES["summarizer"])
+def moments_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of ten slices, each summed up by itself, merged in two steps."""
+    rows = read(spark, sf_dir, "embeddings").select("embedding", (1.0 + F.col("vec_id") % 3).alias("w"), (F.col("vec_id") % 10).alias("slice"), (F.col("vec_id") % 2).alias("half"))
+    states = vectors.moments(rows, "embedding", "w", ["slice", "half"])
+    out = vectors.finish_moments(vectors.merge_moments(vectors.merge_moments(states, ["half"])))
+    arrays = [m for m in vectors.METRICS if m != "count"]
+    places = {"mean": 6, "variance": 5, "std": 5, "normL1": 5, "normL2": 5, "sum": 5}
+    out = _dimensions(out.select("count", *arrays), *arrays)
+    return out.select("i", "count", *[(F.round(m, places[m]) if m in places else F.col(m)).alias(m) for m in arrays])
+
+
+EARLY = "p_partkey % 2 = 0"
+
+
+@query(f"WITH k AS (SELECT p_brand, p_type, p_partkey FROM part WHERE {EARLY}), n AS (SELECT count(*) AS n FROM k) SELECT p_partkey, (SELECT count(*) FROM k WHERE k.p_brand = p.p_brand)::DOUBLE / n AS x1, (SELECT count(*) FROM k WHERE k.p_type = p.p_type)::DOUBLE / n AS x2 FROM part AS p, n WHERE NOT {EARLY}")
+def freq_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares in one half of the parts, for the other half; categories that the first half lacks have 0."""
+    rows = read(spark, sf_dir, "part")
+    return _elements(vectors.apply_categories(rows.where(f"NOT {EARLY}"), vectors.fit_frequency(rows.where(EARLY), ["p_brand", "p_type"])), "p_partkey")
+
+
+@query(
+    "WITH k AS (SELECT DISTINCT o_orderpriority AS c FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS x FROM k), d AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS x FROM (SELECT DISTINCT o_orderstatus AS c FROM orders WHERE o_orderstatus = 'F')) "
+    "SELECT o_orderkey, coalesce(b.x, -1)::DOUBLE AS x1, coalesce(d.x, -1)::DOUBLE AS x2 FROM orders LEFT JOIN b ON o_orderpriority = b.c LEFT JOIN d ON o_orderstatus = d.c"
+)
+def index_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places among the categories of finished orders, for all orders; unknown ones have -1."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return _elements(vectors.apply_categories(rows, vectors.fit_index(rows.where("o_orderstatus = 'F'"), ["o_orderpriority", "o_orderstatus"])), "o_orderkey")
+
+
+@query(
+    "WITH r AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS k, count(*) OVER () AS n FROM orders WHERE o_orderstatus = 'F'), "
+    "q AS (SELECT max(CASE WHEN k = greatest(1, floor(0.25 * n + 0.5)) THEN v END) AS a, max(CASE WHEN k = least(n, floor(0.75 * n + 0.5)) THEN v END) AS b FROM r), f AS (SELECT a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi FROM q) "
+    "SELECT o_orderkey, round(CASE WHEN o_totalprice < lo THEN o_totalprice - lo WHEN o_totalprice > hi THEN o_totalprice - hi ELSE 0 END, 6) AS tukey_dist FROM orders, f"
+)
+def tukey_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances from the fences of finished orders, for all orders."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return anomalies.apply_tukey(rows, anomalies.fit_tukey(rows.where("o_orderstatus = 'F'"), "o_totalprice")).select("o_orderkey", F.round("tukey_dist", 6).alias("tukey_dist"))
+
+
 def _message_v2(df: DataFrame) -> DataFrame:
     text = F.concat(
         F.lit('{"app_id":"app","dev_id":"'), F.col("event_type"), F.lit('","hardware_serial":"'), F.col("user_id").cast("string"), F.lit('","counter":'), F.col("event_id").cast("string"),

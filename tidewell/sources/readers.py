@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections import Counter
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Settings = Mapping[str, str]
 
@@ -31,8 +34,53 @@ def jdbc_options(settings: Settings, driver: str) -> dict[str, str]:
     return options
 
 
+def predicates(column: str, quantiles: Sequence[int | float]) -> list[str]:
+    """Conditions that each known row fulfils exactly one of, and one for rows without a value. They part the values at the
+    quantiles; a value that is several of them, as it has so many rows, gets a condition of its own."""
+    cuts = []  # (value, 0: before it, 1: behind it)
+    for value, times in sorted(Counter(quantiles).items()):
+        cuts += [(value, 0), (value, 1)] if times > 1 else [(value, 0)]
+
+    def above(cut: tuple) -> str:
+        return f"{column} {'>' if cut[1] else '>='} {cut[0]!r}"
+
+    def below(cut: tuple) -> str:
+        return f"{column} {'<=' if cut[1] else '<'} {cut[0]!r}"
+
+    missing = f"{column} IS NULL"
+    if not cuts:
+        return [f"{column} IS NOT NULL", missing]
+    return [below(cuts[0]), *[f"{above(x)} AND {below(y)}" for x, y in zip(cuts, cuts[1:])], above(cuts[-1]), missing]
+
+
+def balanced_predicates(keys: DataFrame, column: str, parts: int) -> list[str]:
+    """Conditions for about equal shares of the rows. keys: the values of the split column, all of them or a sample; whole numbers
+    and floats are taken. Bounds of equal width would put a skewed column into few partitions."""
+    kind = keys.schema[column].dataType
+    if not isinstance(kind, (T.IntegralType, T.FloatType, T.DoubleType)) or parts < 1:
+        raise ValueError("a scan is split by a number, into 1 or more parts")
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else None
+    found = keys.agg(F.percentile_approx(column, shares, max(10_000, 20 * parts))).first()[0] if parts > 1 else None
+    return predicates(column, found or [])
+
+
+def _jdbc(spark: SparkSession, settings: Settings, driver: str) -> DataFrame:
+    """With ds.balance (a number of partitions) and ds.column a scan whose partitions have equal shares of the rows, by the values of
+    the column as they are: those that ds.keys (a statement) gives, a sample maybe, or else all."""
+    parts, column = settings.get("ds.balance"), settings.get("ds.column")
+    if not parts:
+        return spark.read.format("jdbc").options(**jdbc_options(settings, driver)).load()
+    if not column or not settings.get("ds.table"):
+        raise ValueError("a balanced scan needs ds.table and ds.column")
+    plain = {k: v for k, v in settings.items() if k not in ("ds.column", "ds.table", "ds.sql")}
+    keys = plain | {"ds.sql": settings.get("ds.keys") or f"SELECT {column} FROM {settings['ds.table']}"}
+    found = balanced_predicates(spark.read.format("jdbc").options(**jdbc_options(keys, driver)).load(), column, int(parts))
+    options = jdbc_options(plain | {"ds.table": settings["ds.table"]}, driver)
+    return spark.read.jdbc(options.pop("url"), options.pop("dbtable"), predicates=found, properties=options)
+
+
 def postgres(spark: SparkSession, settings: Settings) -> DataFrame:
-    return spark.read.format("jdbc").options(**jdbc_options(settings, "org.postgresql.Driver")).load()
+    return _jdbc(spark, settings, "org.postgresql.Driver")
 
 
 def ignite(spark: SparkSession, settings: Settings) -> DataFrame:
@@ -40,7 +88,7 @@ def ignite(spark: SparkSession, settings: Settings) -> DataFrame:
     driver = settings.get("ds.driver")
     if not driver:
         raise NotImplementedError("name the JDBC driver in ds.driver to read from this source")
-    return spark.read.format("jdbc").options(**jdbc_options(settings, driver)).load()
+    return _jdbc(spark, settings, driver)
 
 
 def parquet(spark: SparkSession, settings: Settings) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import IDF, HashingTF, IDFModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -147,6 +147,11 @@ def summarize(df: DataFrame, vector: str, metrics: Sequence[str], weight: str |
 ADDED = ("sum", "l1", "nonzero")
 
 
+def _grouped(df: DataFrame, by: Sequence[str]) -> GroupedData:
+    """By columns, or all rows as one group, which an empty table doesn't have."""
+    return df.groupBy(*by) if by else df.groupBy(F.lit(0).alias("_one"))
+
+
 def moments(df: DataFrame, vector: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """The state of a summary, one row for each value of `by` (a day, say), to be written down and merged later: rows, weights and their
     squares, and for each component the weighted sum, sum of absolute values, sum of squared distances from the mean, number of values
@@ -157,7 +162,7 @@ def moments(df: DataFrame, vector: str, weight: str | None = None, by: Sequence[
         df = vectorize(df, vector, vector, cast=True)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     found = Summarizer.metrics("count", "mean", "variance", "sum", "normL1", "numNonZeros", "min", "max").summary(F.col(vector), w)
-    rows = df.where(w > 0).groupBy(*by).agg(found.alias("_s"), F.sum(w).alias("weight"), F.sum(w * w).alias("squares"))
+    rows = _grouped(df.where(w > 0), by).agg(found.alias("_s"), F.sum(w).alias("weight"), F.sum(w * w).alias("squares"))
     rows = rows.where("_s.count > 0").select(*by, "weight", "squares", *[vector_to_array(f"_s.{m}").alias(f"_{m}") for m in ("variance", "sum", "normL1", "numNonZeros", "min", "max")], F.col("_s.count").alias("rows"))
     free = F.greatest(F.col("weight") - F.col("squares") / F.col("weight"), F.lit(0.0))  # what the variance was divided by
     spread = F.transform("_variance", lambda v: v * free)
@@ -169,7 +174,7 @@ def merge_moments(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     become distances from the mean of all by what lies between the two means."""
     names = {c: unused(states, f"_all_{c}") for c in ("weight", "sum", *by)}
     vec = lambda c: array_to_vector(F.col(c))
-    total = states.groupBy(*by).agg(F.sum("weight").alias(names["weight"]), vector_to_array(Summarizer.metrics("sum").summary(vec("sum"))["sum"]).alias(names["sum"]))
+    total = _grouped(states, by).agg(F.sum("weight").alias(names["weight"]), vector_to_array(Summarizer.metrics("sum").summary(vec("sum"))["sum"]).alias(names["sum"]))
     own = total.select(names["weight"], names["sum"], *[F.col(c).alias(names[c]) for c in by])
     joined = states.join(own, [F.col(c).eqNullSafe(F.col(names[c])) for c in by]) if by else states.crossJoin(F.broadcast(own))  # one row
     means = F.arrays_zip(F.transform("sum", lambda x: x / F.col("weight")).alias("own"), F.transform(names["sum"], lambda x: x / F.col(names["weight"])).alias("all"))
@@ -179,7 +184,8 @@ def merge_moments(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     def folded(metric: str, c: str) -> Column:
         return vector_to_array(Summarizer.metrics(metric).summary(vec(c))[metric]).alias(c)
 
-    return rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("rows", "weight", "squares")], *[folded("sum", c) for c in (*ADDED, "spread")], folded("min", "min"), folded("max", "max")).where("rows > 0")
+    out = _grouped(rows, by).agg(*[F.sum(c).alias(c) for c in ("rows", "weight", "squares")], *[folded("sum", c) for c in (*ADDED, "spread")], folded("min", "min"), folded("max", "max"))
+    return out.select(*by, "rows", "weight", "squares", *ADDED, "spread", "min", "max")
 
 
 def finish_moments(states: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -136,7 +136,7 @@ def _least(kept: DataFrame, entries: int) -> list[list[float]]:
 def fit_codebooks(kept: DataFrame, dimension: int, parts: int, entries: int, rounds: int, scale: int) -> list[np.ndarray]:
     """The codebook of each part position after the rounds. kept: _id, _v with vectors of one dimension."""
     edges = bounds(dimension, parts)
-    first = whole(np.array(_least(kept, entries)), scale)
+    first = whole(np.array(_least(kept, entries), float).reshape(-1, dimension), scale)
     books = [first[:, a:b] for a, b in zip(edges, edges[1:])]
     widest = max(b - a for a, b in zip(edges, edges[1:]))
     for _ in range(rounds if len(first) else 0):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -78,6 +79,19 @@ def test_codec_equals_the_library_and_round_trips(pieces, library):
         assert np.frombuffer(small.encode(text), "<u4").tolist() == library.encode(text)
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "abcdefgh" * 250_000, "\n" * 300_000, "a" + " " * 1_000_000 + "b" + " " * 999_999, "x" * 100_000 + "é " * 50_000, ("  " * 50_000 + "The ") * 5])
+def test_long_texts_without_boundaries_take_linear_time(pieces, library, text):
+    began = time.process_time()
+    n = CountTransducer(pieces).count(text)
+    ids = PieceCodec(pieces).encode(text)
+    took = time.process_time() - began
+    assert took < 2 * max(2.0, 2e-6 * len(text))  # either under 2 s
+    short, small = text[-3000:], PieceCodec(pieces, chunk=97)
+    wanted = library.encode(short)
+    assert np.frombuffer(small.encode(short), "<u4").tolist() == wanted and CountTransducer(pieces).count(short, 61) == len(wanted)
+    assert n == len(ids) // 4 and PieceCodec(pieces).decode(ids) == text
+
+
 def test_token_queries(spark, docs, library, odd):
     text = {r.doc_id: r.text for r in docs.collect()}
     for r in queries.op2_token_counts(spark, SF).collect():

@@ -82,9 +82,8 @@ class PieceCodec:
                 else:
                     matrix[i] = self._to_exits(text, end, stop, piece, exits)
             return chunk
-        last = spaces = self.pieces.last_certain(text, stop, first)
-        while spaces + 1 < stop and text[spaces : spaces + 2] == META + META:
-            spaces += 1
+        last = self.pieces.last_certain(text, stop, first)
+        spaces = self.pieces.last_space(text, last, stop)
         run, merged = b"", 0
         if spaces > last:  # how the spaces merge shows in the whole word
             known = self._known.match(text, spaces, spaces + 1 + len(self._word.match(text, spaces + 1)[0]))[1]

@@ -8,7 +8,8 @@ one token can end at each position. Token counting (token_counts.py) and encodin
 Three things bound a path. A character without a piece of its own becomes one byte token for each UTF-8 byte and nothing
 merges across it. A meta space follows a non-space: no piece of the model spans that boundary (checked when loading), so
 a text splits into words. In runs of meta spaces the pieces have one and the same, worst score: they merge last, leftmost
-first, which `space_run` does by itself.
+first, which `space_run` does by itself. All searches end with the chunk they are for, so a text of any length without a
+boundary, or of nothing but spaces, takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -50,7 +51,12 @@ class Pieces:
             self.surface[i] = bytes([byte])
         self.limit = limit
         self._fits: dict[tuple[str, str], bool] = {}
-        self._runs: dict[int, tuple[int, ...]] = {}
+        self._runs: dict[int, tuple[int, ...]] = {0: ()}
+        self._no_meta = re.compile(f"[^{META}]")
+        #: Meta spaces in the longest piece of them.
+        self.widest = max(len(p) for p in self.ids if not p.strip(META))
+        if self._merged(self.widest) != [self.widest]:
+            raise ValueError("the longest piece of meta spaces doesn't come from merging them")
 
     def fits(self, left: str, right: str) -> bool:
         """Whether right can follow left: their joint text merges to just these two. left is empty at the start."""
@@ -92,14 +98,19 @@ class Pieces:
 
     def first_certain(self, text: str, at: int, stop: int) -> int | None:
         """The first such place from `at` to `stop`, if any."""
-        found = 0 if at == 0 else self._edge.search(text, at).start()
-        return found if found <= stop else None
+        if at == 0:
+            return 0
+        found = self._edge.search(text, at, stop + 1)  # no further: what is behind a chunk is looked at with the next one
+        return found.start() if found and found.start() <= stop else None
 
     def last_certain(self, text: str, at: int, first: int) -> int:
         """The last such place up to `at`; one is at `first` or behind it."""
         while at > first and not self.certain(text, at):
-            at -= 1
-        return at
+            if text[at] == META == text[at - 1]:  # within a run of spaces: on to its first one
+                at = first + len(text[first:at].rstrip(META))
+            else:
+                at -= 1
+        return max(at, first)
 
     def word_start(self, text: str, at: int, reach: int) -> int | None:
         """Where the word begins (with its meta space) that a place within it is in; None if further back than `reach`."""
@@ -113,15 +124,23 @@ class Pieces:
     def cuts(self, text: str, chunk: int) -> list[int]:
         """Places to cut a text into chunks: multiples of `chunk`, anywhere in a word, but never behind the first of several meta
         spaces, nor between those and a word: then before them."""
-        out = [0]
+        out, covered = [0], 0
         for at in range(chunk, len(text), chunk):
+            if at <= covered:  # in a run of spaces that has been cut before
+                continue
             if text[at - 1] == META and (text[at] == META or text[at - 2 : at - 1] == META):
-                while at and text[at - 1] == META:
-                    at -= 1
+                behind = self._no_meta.search(text, at)
+                covered = behind.start() if behind else len(text)
+                at = out[-1] + len(text[out[-1] : at].rstrip(META))
             if at > out[-1]:
                 out.append(at)
         return [*out, len(text)]
 
+    def last_space(self, text: str, at: int, stop: int) -> int:
+        """The last of the meta spaces that begin at a place, before `stop`; the place itself if there are none."""
+        behind = self._no_meta.search(text, at, stop)
+        return max(at, (behind.start() if behind else stop) - 1)
+
     def covering(self, text: str, at: int) -> list[tuple[int, int, str]]:
         """The pieces (start, end, piece) that can cover a cut, or end there; one empty piece where a token ends for certain."""
         if self.certain(text, at):
@@ -130,18 +149,21 @@ class Pieces:
         return [(i, j, p) for j in range(at, last + 1) for i, p in self.ending(text, j, start or 0) if i < at]
 
     def space_run(self, length: int) -> tuple[int, ...]:
-        """Ids of a run of meta spaces that nothing else has merged with: leftmost merges first."""
-        known = self._runs.get(length)
-        if known is None:
-            done: list[int] = []
-            for _ in range(length):
-                done.append(1)
-                while len(done) > 1 and META * (done[-2] + done[-1]) in self.ids:
-                    done[-2:] = [done[-2] + done[-1]]
-            known = tuple(self.ids[META * n] for n in done)
-            if len(self._runs) < 10_000:
-                self._runs[length] = known
-        return known
+        """Ids of a run of meta spaces that nothing else has merged with: leftmost merges first. As soon as the longest piece of meta
+        spaces is there, it merges no more, so a long run begins with as many of these as it can hold."""
+        if length >= self.widest:
+            return (self.ids[META * self.widest],) * (length // self.widest) + self.space_run(length % self.widest)
+        if length not in self._runs:
+            self._runs[length] = tuple(self.ids[META * n] for n in self._merged(length))
+        return self._runs[length]
+
+    def _merged(self, length: int) -> list[int]:
+        done: list[int] = []
+        for _ in range(length):
+            done.append(1)
+            while len(done) > 1 and META * (done[-2] + done[-1]) in self.ids:
+                done[-2:] = [done[-2] + done[-1]]
+        return done
 
     def fallback(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]

@@ -89,9 +89,7 @@ class CountTransducer:
         if first is None:
             return {s: self.automaton.run(text[start:stop], s) for s in self.states(text, start)}
         last = self.pieces.last_certain(text, stop, first)
-        spaces = last
-        while spaces + 1 < stop and text[spaces : spaces + 2] == META + META:
-            spaces += 1
+        spaces = self.pieces.last_space(text, last, stop)
         exit, tail = self.automaton.run(text[spaces:stop], Automaton.START)
         if spaces > last:  # how the spaces merge shows in the whole word
             word = self._word.match(text, spaces + 1)[0]

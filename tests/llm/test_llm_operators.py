@@ -139,6 +139,31 @@ def test_records_come_back_in_order(spark, docs, odd, tmp_path):
         list(token_records.frames(bytes(damaged)))
 
 
+def test_files_of_tiny_texts_are_bounded(spark, tmp_path, monkeypatch):
+    docs, path = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "a").alias("text")), str(tmp_path / "t")
+    tokenizer = queries.tokenizer_file("byte_bpe_50k.json")
+    token_records.write_records(docs, f"{path}/records", tokenizer, file_bytes=1 << 14)
+    files = [f.length for f in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records").select("length").collect()]
+    assert len(files) >= 30 and max(files) < 1 << 16
+    token_records.write_index(spark, f"{path}/records", f"{path}/index")
+    index = spark.read.schema(token_records.INDEX).parquet(f"{path}/index")
+    assert index.agg(F.count("*"), F.sum("n_tokens")).first() == (20_000, 20_000 + 6667)
+    named = index.where("doc_id < 4").unionByName(index.where("doc_id = 1"))
+    assert sorted((r.doc_id, r.ids[-1]) for r in token_records.read_records(spark, f"{path}/records", named).collect()) == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 0)]
+    assert token_records.read_records(spark, f"{path}/records", index.where("false")).count() == 0
+
+
+def test_items_of_two_words():
+    rnd, index = random.Random(9), D.SeedIndex([(1, "aa bb"), (2, "cc cc"), (3, "aa bb cc"), (4, "dd")])
+    for _ in range(500):
+        words = [rnd.choice(["aa", "bb", "cc", "dd", "x", "y"]) for _ in range(rnd.randint(0, 9))]
+        near = lambda a, b: any(words[i] == a and b in words[i + 1 : i + 4] for i in range(len(words)))
+        read = index.read(" ".join(words))
+        whole = {n + 1: D.align(own, read)[0] / (2 * len(own)) for n, own in enumerate(index.words)}
+        wanted = {n for n, s in whole.items() if s >= 0.5 and (n > 2 or near(*(("aa", "bb") if n == 1 else ("cc", "cc"))))}
+        assert {n for n, *_ in index.matches(" ".join(words))} == wanted
+
+
 def brute_components(rows: list[tuple]) -> dict:
     sets = {}
     for i, text in rows:

@@ -8,8 +8,9 @@ match adds 2 and what parts it from the last costs as much as its seed weighs le
 seeds of the weight that the threshold asks for stand close enough together, and no alignment that reaches the threshold
 is missed: words may be changed, dropped or added anywhere.
 
-What seeds can't reach: items of at most 1 / threshold words (two) can have the score without any pair. An item of one word
-is found by that word, one of two words only where both occur with at most one word between them.
+An item of one word is found by that word. An item of two has half its score with either word alone, which is no copy: a
+copy of several words has at least two of them. So its words may have up to two words between them, and these pairs are its
+seeds, too. From three words on, one word never reaches the threshold.
 
 The test items are the query set: they are broadcast in blocks of at most `BLOCK_BYTES`, each of which is run against all
 documents in one pass. Documents are never shuffled.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-THRESHOLD, BLOCK_BYTES, HITS_AT_ONCE = 0.5, 32 << 20, 1 << 20
+THRESHOLD, BLOCK_BYTES, HITS_AT_ONCE = 0.5, 4 << 20, 1 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 _SIGNS = {c: " " for c in range(128) if not chr(c).isalnum()}
 _WORD = re.compile(r"[^\W_]+")
@@ -55,10 +56,10 @@ class SeedIndex:
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         weights: dict[tuple[int, int], int] = {}
         for item, words in enumerate(self.words):
-            for distance in (0,) if len(words) == 1 else (2, 1):  # the nearer pair of the same words has the last word
+            for distance in (0,) if len(words) == 1 else (1,) if len(words) == 2 else (2, 1):  # the nearer pair of the same words has the last word
                 weights.update(((g, item), 2 if distance == 1 else 1) for g in self.grams(words, distance).tolist())
         rows = sorted((g, item, w) for (g, item), w in weights.items())
-        self.distances = (0, 1, 2) if 1 in self.sizes else (1, 2)
+        self.distances = (*((0,) if 1 in self.sizes else ()), 1, 2, *((3,) if 2 in self.sizes else ()))
         self.seeds, first = np.unique(np.array([g for g, _, _ in rows], np.int64), return_index=True)
         self.first = np.append(first, len(rows))
         self.items, self.weights = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))

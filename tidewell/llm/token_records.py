@@ -27,6 +27,8 @@ MASK = 0xA282EAD8
 HEAD, TAIL = 12, 5
 #: Bytes of text in a file, at which a file is far from the 2 GB that one value of a row can hold.
 FILE_BYTES = 64 << 20
+#: What a record takes beside its text's tokens, about; records that are handed on at a time.
+RECORD_BYTES, ROWS = 30, 1 << 16
 NO_ID = 0x80
 #: Characters that are white space to the tokenizer's pattern; a word ends where one of them follows another character.
 _NUMBER = re.compile(r"part-(\d+)")
@@ -124,14 +126,14 @@ def word_tokens(tokenizer_file: str) -> WordTokens:
 def write_records(docs: DataFrame, path: str, tokenizer_file: str, *, end_id: int = 0, file_bytes: int = FILE_BYTES, id: str = "doc_id", text: str = "text") -> None:
     """Writes the ids of every whole text (null: empty), each with `end_id` behind, to record files under path.
 
-    Files take consecutive ranges of document ids, as many as make about `file_bytes` of text each, and at least the session's
+    Files take consecutive ranges of document ids, as many as make about `file_bytes` of text and frames each, and at least the session's
     shuffle partitions; so the one shuffle moves texts, not ids. Rows without an id come last; repeated rows make repeated
     records, in no fixed order among themselves, and can fill several files; an empty table gives no records. Only id and
     text of docs are read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + RECORD_BYTES)).first()[0] or 0
     files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,6 +158,9 @@ def write_index(spark: SparkSession, path: str, index_path: str) -> None:
     """Reads the record files under path, checks them, and writes their index: the file and offset of each record, its
     document, its tokens with those before it in the file, and the crc32 of its ids as 32-bit integers."""
 
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(zip(*rows, strict=True))], ["file", "number", "offset", "length", "doc_id", "place", "n_tokens", "start_in_file", "ids_crc32"])
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -165,8 +170,11 @@ def write_index(spark: SparkSession, path: str, index_path: str) -> None:
                     doc_id, ids = ids_of(payload)
                     rows.append((name, number, offset, HEAD + len(payload) + TAIL, doc_id, place, len(ids), before, zlib.crc32(ids.astype("<u4"))))
                     before += len(ids)
+                    if len(rows) >= ROWS:
+                        yield out(rows)
+                        rows = []
                 if rows:
-                    yield pa.record_batch([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(zip(*rows, strict=True))], ["file", "number", "offset", "length", "doc_id", "place", "n_tokens", "start_in_file", "ids_crc32"])
+                    yield out(rows)
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     found.mapInArrow(index, INDEX).write.parquet(index_path)
@@ -174,18 +182,27 @@ def write_index(spark: SparkSession, path: str, index_path: str) -> None:
 
 def read_records(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     """(doc_id, ids) of the records that the rows of an index name, in whatever order or selection those come. Spark reads a
-    file once and whole (files are bounded, see FILE_BYTES); of it, only the named ranges are looked at."""
+    file once and whole (files are bounded, see FILE_BYTES); of it, only the named ranges are looked at. A record that is named several
+    times comes as often, null ids come as null; an empty index gives no rows."""
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        ends = pa.array(np.cumsum([0, *(len(ids) for _, ids in rows)]), pa.int32())
+        return pa.record_batch([pa.array([x for x, _ in rows], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([ids.astype("<i4") for _, ids in rows])))], ["doc_id", "ids"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 data = memoryview(batch.column(0)[i].as_buffer())
-                out = []
+                rows, size = [], 0
                 for offset, length in batch.column(1)[i].as_py():
                     ((_, payload),) = frames(data[offset : offset + length])
-                    doc_id, ids = ids_of(payload)
-                    out.append((doc_id, ids.astype("<i4").tolist()))
-                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int32()))], ["doc_id", "ids"])
+                    rows.append(ids_of(payload))
+                    size += length
+                    if len(rows) >= ROWS or size >= 1 << 22:
+                        yield out(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield out(rows)
 
     wanted = index.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("_at"))
     content = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)

@@ -545,6 +545,50 @@ def test_pages_without_an_article_element():
     assert html_cut.extract("<article><div>Before it.<video>no video<span>none</span></div><p>Behind it there is more text.") == "Before it. Behind it there is more text."
 
 
+STORY = "<h1>The news</h1><p>A first paragraph that has some words in it, and ends.</p><p>Then a second one that has even more words, and it ends too.</p>"
+TOLD = "The news A first paragraph that has some words in it, and ends. Then a second one that has even more words, and it ends too."
+NOISE = "<p>I have read this with great interest, and so should all of you.</p>"
+
+
+@pytest.mark.parametrize("noise", [
+    f'<section id="comments-section">{NOISE}{NOISE}{NOISE}{NOISE}</section>', f'<ol><li class="comment-item">{NOISE}</li><li class="comment-item">{NOISE}</li></ol>', f'<section class="related-posts">{NOISE}</section>',
+    f'<section class="newsletter-signup">{NOISE}</section>', f'<section class="ad-slot">{NOISE}</section>', '<p class="cookie-notice">We use cookies on this page, as all others do, too.</p>', f'<div id="sidebarLeft">{NOISE}</div>', f'<div class="share-this-story">{NOISE}</div>',
+])
+@pytest.mark.parametrize("around", ["<article>%s</article>", "<main><article>%s</article></main>", '<div class="post">%s</div>', "<body><nav><a href=x>Home</a></nav><div>%s</div>"])
+def test_named_boilerplate_goes_wherever_it_is(noise, around):
+    assert html_cut.extract(around % (STORY + noise)) == TOLD
+
+
+@pytest.mark.parametrize("name", ['class="legal-news"', 'class="form-guide"', 'id="social-policy"', 'class="share-prices"', 'id="header-files-in-c"'])
+@pytest.mark.parametrize("around", ["%s", "<main>%s</main>", "<body><header>Site</header><div class=sidebar>" + NOISE + "</div>%s<footer>Imprint</footer>", '<body class="has-sidebar no-comments">%s'])
+def test_names_of_articles_do_not_lose_them(name, around):
+    assert html_cut.extract(around % f"<div {name}>{STORY}</div>") == TOLD
+
+
+def test_pages_of_one_word_and_of_unclosed_tags():
+    assert html_cut.extract("<div>Closed</div>") == "Closed" and html_cut.extract("<nav><a href=x>Home</a></nav>") == ""
+    assert html_cut.extract('<div class="widget"><h1>All there is</h1><p>It stands in a box with a name, but nothing else does.</p></div>').startswith("All there is")
+    began = time.process_time()
+    assert html_cut.extract("<p>" + "<span>" * 20_000 + "<br>" * 20_000 + "Some words end here.</p>") == "Some words end here."
+    html_cut.extract("<p><button>" + "<span>word<hr>" * 10_000)
+    assert time.process_time() - began < 4
+
+
+def test_random_pages_give_back_their_articles():
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghiklmnoprstu") for _ in range(rnd.randint(2, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rnd.randint(8, 30))).capitalize() + "."
+    for _ in range(150):
+        texts = [sentence() for _ in range(rnd.randint(2, 8))]
+        wanted = " ".join(["Title of it", *texts])
+        inner = "<h1>Title of it</h1>" + "".join(f"<{tag}>{t}</{tag}>" for t in texts for tag in [rnd.choice(["p", "div", "blockquote"])])
+        body = f"<div class='{rnd.choice(['post', 'legal-news', 'entry', 'x1', 'story-body'])}'>{inner}</div>"
+        noise = [f"<nav><ul><li><a href=x>{word()}</a></ul></nav>", f"<div class=ad>{sentence()}</div>", f"<div id=comments-list>{''.join(f'<p>{sentence()}</p>' for _ in range(rnd.randint(1, 4)))}</div>", f"<footer>{sentence()}</footer>", f"<div class='cookie-banner-2'>{sentence()}</div>", f"<aside>{sentence()}</aside>", f"<form><label>{word()}</label></form>"]
+        rnd.shuffle(noise)
+        at = rnd.randint(0, len(noise))
+        assert html_cut.extract("<html><body>" + "".join(noise[:at]) + body + "".join(noise[at:])) == wanted
+
+
 def test_pages_of_odd_shape(spark):
     import time
 

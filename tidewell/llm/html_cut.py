@@ -5,13 +5,18 @@ each block a leaning, which becomes a terminal capacity: towards the source for
 Neighbouring blocks, and blocks that follow each other in one parent element, are joined by smoothness edges, the
 stronger the closer they are in the element tree. The minimum cut labels all blocks at once: what the source still reaches
 after a maximum flow is content.
+
+What an element is (nav, form, hidden) settles what is in it. Its name is evidence only, and is weighed when the page has been read: a
+name made of words for boilerplate and of filler ("comments-section") speaks against all below it, unless that is nearly the whole
+page with its title; a name with other words in it ("legal-news") speaks against it the less, the more of the page's text it
+holds, and half as much if it has headings.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,7 +29,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([a-zA-Z-]+)")
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_SPLIT, _CAMEL = re.compile(r"[^a-z0-9]+"), re.compile(r"([a-z])([A-Z])")
 
 #: Elements that hold plain characters up to their end tag, or to the end of the page; none of it is shown as text.
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
@@ -40,7 +45,7 @@ CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 ENDS_P = BLOCKS - {"br", "button", "body", "html"}
 BOILERPLATE_TAGS = frozenset("nav footer aside form dialog menu button fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-#: Elements whose names are often made from the words of a title, so that only a name as a whole counts.
+#: Elements whose names are often made from the words of a title, so that a name with other words in it tells nothing.
 TITLED = frozenset("h1 h2 h3 h4 h5 h6 p section article li dt dd td th blockquote figure".split())
 BOILERPLATE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
@@ -49,9 +54,18 @@ BOILERPLATE_NAMES = frozenset(
     "skip copyright legal disclaimer search form hidden".split()
 )
 CONTENT_NAMES = frozenset("article post entry story content body main text".split())
+#: Words that say nothing of their own in a name; so do single letters and what has digits.
+FILLER = frozenset(
+    "area bar bars block blocks bottom box button buttons col column container div field fields form global group heading holder icon icons inner item items js left "
+    "link links list main module new outer page panel posts primary region right row secondary section site slot slots thread title top unit units view wp wrap wrapper".split()
+)
+#: All that a name can say of these, which hold the page.
+OUTER, OUTER_NAMES = ("html", "body", "main", "article"), frozenset("comment comments ad advert".split())
 
 #: The classifier's weights, in units of one smoothness edge between siblings.
 INSIDE_BOILERPLATE, INSIDE_CONTENT, OUTSIDE_CONTENT, LINKS, WORDS, SENTENCE, HEADING, RIGHTS, SHORT = -8.0, 4.0, -2.0, -4.0, 1.5, 0.6, 0.5, -2.5, -0.4
+#: A name with other words than those for boilerplate, a block that is all there is on a page, and the share of a page that is nearly all.
+NAMED, ALONE, NEARLY = -7.0, 1.0, 0.8
 ADJACENT, SIBLING = 0.5, 0.7
 
 
@@ -62,6 +76,7 @@ class Element(NamedTuple):
     content: bool
     link: bool
     silent: bool = False
+    named: int = 0  # the innermost element with evidence by name; 0 for none
 
 
 class Block(NamedTuple):
@@ -72,61 +87,116 @@ class Block(NamedTuple):
     boilerplate: bool
     content: bool
     link_share: float
-
-
-def _element(tag: str, attributes: str, number: int, above: Element) -> Element:
-    boilerplate, content = above.boilerplate, above.content
-    whole: set[str] = set()
-    parts: set[str] = set()
+    name: float = 0.0  # what names say, 0 or less
+    share: float = 0.0  # of the page's text that isn't boilerplate
+
+
+class Evidence:
+    """Elements whose names speak against them, as a tree: the one around each, whether the name is sure, characters of text, and
+    whether there is a title or a heading. The first stands for the page."""
+
+    def __init__(self):
+        self.above, self.sure, self.size, self.title, self.heading = [0], [False], [0], [False], [False]
+
+    def add(self, above: int, sure: bool) -> int:
+        for column, x in ((self.above, above), (self.sure, sure), (self.size, 0), (self.title, False), (self.heading, False)):
+            column.append(x)
+        return len(self.above) - 1
+
+    def weights(self) -> tuple[list[float], int]:
+        """What each element's names, and those around it, say; the characters that no sure name speaks against."""
+        inside = list(self.size)
+        for i in range(len(self.above) - 1, 0, -1):  # the inner ones come later
+            up = self.above[i]
+            inside[up] += inside[i]
+            self.title[up] |= self.title[i]
+            self.heading[up] |= self.heading[i]
+        sure = [False] * len(self.above)
+        for i in range(1, len(self.above)):
+            sure[i] = sure[self.above[i]] or (self.sure[i] and not (self.title[i] and inside[i] >= NEARLY * inside[0]))
+        free = max(sum(x for x, gone in zip(self.size, sure, strict=True) if not gone), 1)
+        out = [0.0] * len(self.above)
+        for i in range(1, len(self.above)):
+            weak = 0.0 if self.sure[i] else NAMED * min(1.0, max(0.0, 3 - 5 * inside[i] / free)) * (0.5 if self.heading[i] else 1.0)  # from 0.4 to 0.6 of the page
+            out[i] = INSIDE_BOILERPLATE if sure[i] else min(weak, out[self.above[i]])
+        return out, free
+
+
+def _says(name: str, noise: frozenset[str]) -> int:
+    """2 for a name of words for boilerplate and filler, 1 for one with other words, too, 0 for one without any such word."""
+    words = [x for x in _SPLIT.split(name) if x]
+    if name in noise:
+        return 2
+    if len(words) > 4 or not noise & set(words):
+        return 0
+    rest = set(words) - noise - FILLER
+    return 2 if all(len(x) == 1 or any(c.isdigit() for c in x) for x in rest) else 1
+
+
+def _element(tag: str, attributes: str, number: int, above: Element, evidence: Evidence) -> Element:
+    boilerplate, content, says = above.boilerplate, above.content, 0
+    names: set[str] = set()
     if attributes and not attributes.isspace():
-        found = {}
+        found: dict[str, str] = {}
         for m in _ATTRIBUTE.finditer(attributes):
-            found.setdefault((m[1] or m[5]).lower(), next((v for v in (m[2], m[3], m[4]) if v is not None), "").lower())
-        whole = {*found.get("class", "").split(), found.get("id", "").strip()}
-        if tag in BLOCKS and tag not in TITLED:  # of short names, each word counts
-            parts = {x for name in whole if len(words := _SPLIT.split(name.strip("-_"))) <= 3 for x in words}
-        if found.get("role") in BOILERPLATE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
+            found.setdefault((m[1] or m[5]).lower(), next((v for v in (m[2], m[3], m[4]) if v is not None), ""))
+        names = {_CAMEL.sub(r"\1-\2", x).lower() for x in (*found.get("class", "").split(), found.get("id", "").strip())}
+        if found.get("role", "").lower() in BOILERPLATE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").lower().replace(" ", ""):
             boilerplate = True
-        content = content or found.get("role") in ("main", "article")
-    names = whole | parts
-    outer = tag in ("html", "body", "main", "article")
-    if tag in BOILERPLATE_TAGS or not outer and names & BOILERPLATE_NAMES or outer and names & {"comment", "comments", "ad", "advert"}:
-        boilerplate = True
-    if (tag == "header" or "header" in parts) and not content and not names & CONTENT_NAMES:
+        content = content or found.get("role", "").lower() in ("main", "article")
+        noise = OUTER_NAMES if tag in OUTER else BOILERPLATE_NAMES
+        if tag in BLOCKS and not content and not names & CONTENT_NAMES:
+            noise |= {"header"}
+        says = max([_says(x.strip("-_"), noise) for x in names], default=0)
+        if says == 1 and (tag in TITLED or tag in OUTER or tag not in BLOCKS):
+            says = 0
+    if tag in BOILERPLATE_TAGS or (tag == "header" and not content and not names & CONTENT_NAMES):
         boilerplate = True
-    return Element(tag, number, boilerplate, content or tag in ("article", "main"), above.link or tag == "a", above.silent or tag in SILENT)
+    if says and tag not in BLOCKS:  # within a line
+        boilerplate, says = True, 0
+    named = evidence.add(above.named, says == 2) if says else above.named
+    return Element(tag, number, boilerplate, content or tag in ("article", "main"), above.link or tag == "a", above.silent or tag in SILENT, named)
 
 
 def read_blocks(page: str) -> list[Block]:
     """The blocks of a page, in order, with character references decoded and white space made single."""
-    top = Element("", 0, False, False, False)
+    top, evidence = Element("", 0, False, False, False), Evidence()
     stack, blocks, count = [top], [], 1
     parts: list[str] = []
     beside: list[str] = []  # boilerplate within a line, as an advert in a paragraph
     linked = shown = 0
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of each kind of open elements in the stack
+    lines = [0]  # those of the open elements of blocks
 
     def flush() -> None:
         nonlocal linked, shown
-        at = next((x for x in reversed(stack) if x.tag in BLOCKS or not x.tag), top)
+        at = stack[lines[-1]]
         for own, boilerplate in ((parts, at.boilerplate), (beside, True)):
             text = " ".join(html.unescape("".join(own)).split()) if own else ""
             if text:
-                blocks.append(Block(text, at.number, len(stack), at.tag, boilerplate, at.content, linked / max(shown, 1)))
+                blocks.append((Block(text, at.number, len(stack), at.tag, boilerplate, at.content, linked / max(shown, 1)), at.named))
+                if not boilerplate:
+                    evidence.size[at.named] += len(text)
+                    evidence.title[at.named] |= at.tag == "h1"
+                    evidence.heading[at.named] |= at.tag in ("h1", "h2", "h3")
             own.clear()
         linked = shown = 0
 
-    opened: Counter[str] = Counter()
+    def push(element: Element) -> None:
+        places[element.tag].append(len(stack))
+        if element.tag in BLOCKS:
+            lines.append(len(stack))
+        stack.append(element)
 
     def pop_to(tag: str, limits: tuple[str, ...] | frozenset = ()) -> None:
-        if not opened[tag]:
+        if not places[tag] or any(places[x] and places[x][-1] > places[tag][-1] for x in limits):
             return
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                opened.subtract([x.tag for x in stack[i:]])
-                del stack[i:]
-                return
-            if stack[i].tag in limits:
-                return
+        at = places[tag][-1]
+        for element in stack[at:]:
+            places[element.tag].pop()
+        while lines[-1] >= at:
+            lines.pop()
+        del stack[at:]
 
     at, end = 0, len(page)
     while at < end:
@@ -134,7 +204,7 @@ def read_blocks(page: str) -> list[Block]:
         text = page[at : m.start() if m else end]
         own = stack[-1]
         if text and not own.silent:
-            if own.boilerplate and own.tag not in BLOCKS and not next((x.boilerplate for x in reversed(stack) if x.tag in BLOCKS), False):
+            if own.boilerplate and own.tag not in BLOCKS and not stack[lines[-1]].boilerplate:
                 beside.append(text)
             else:
                 parts.append(text)
@@ -167,18 +237,18 @@ def read_blocks(page: str) -> list[Block]:
             if tag in CLOSES:
                 pop_to(tag, CLOSES[tag])
         if tag not in VOID and not m[3].endswith("/"):
-            stack.append(_element(tag, m[3], count, stack[-1]))
-            opened[tag] += 1
+            push(_element(tag, m[3], count, stack[-1], evidence))
             count += 1
     flush()
-    return blocks
+    weights, free = evidence.weights()
+    return [block._replace(name=weights[named], share=0.0 if block.boilerplate else len(block.text) / free) for block, named in blocks]
 
 
 def leaning(block: Block, has_content: bool) -> float:
     """The classifier: above 0 for content, below for boilerplate."""
     text, words = block.text, block.text.count(" ") + 1
     score = WORDS * min(words, 30) / 30 + LINKS * block.link_share
-    score += INSIDE_BOILERPLATE * block.boilerplate
+    score += min(INSIDE_BOILERPLATE * block.boilerplate, block.name) + ALONE * min(block.share, 1.0)
     if has_content:
         score += INSIDE_CONTENT if block.content else OUTSIDE_CONTENT
     if text[-1] in ".!?…\"”»:" and words > 1:
@@ -270,7 +340,7 @@ def extract(page: str) -> str:
     blocks = read_blocks(page)
     if not blocks:
         return ""
-    has_content = any(b.content and not b.boilerplate for b in blocks)
+    has_content = any(b.content and not b.boilerplate and b.name > INSIDE_BOILERPLATE for b in blocks)
     content = minimum_cut([leaning(b, has_content) for b in blocks], smoothness(blocks))
     return " ".join([b.text for b, keep in zip(blocks, content, strict=True) if keep])
 
@@ -289,8 +359,9 @@ def main_text(page: Column) -> Column:
 def page_texts(pages: DataFrame, *, id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """id, url, text and its code points (n_chars) of every page. White space is what Unicode calls so.
 
-    One row for each row of pages, repeated ones and null ids too; empty and null pages have an empty text. Only the three
-    columns are read, so others can't clash; nothing is shuffled.
+    One row for each row of pages, repeated ones and null ids too; empty and null pages have an empty text; an empty table gives an
+    empty one. Pages of any length are read whole, in time in proportion to their length but for the flow. Only the three columns
+    are read, so others can't clash; nothing is shuffled.
     """
     rows = pages.select(F.col(id), F.col(url), main_text(F.col(page)).alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))

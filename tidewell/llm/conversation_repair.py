@@ -255,8 +255,8 @@ def _chain(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _edits(blocks: DataFrame) -> DataFrame:
-    """blocks with _letters, _cost (in a conversation's first block) and _illegal. Conversations of one block, which most are,
-    have their ends by definition; those of several get them from the products of their blocks' matrices."""
+    """blocks with _letters, _cost (in a conversation's first block) and _illegal; written. Conversations of one block, which most
+    are, have their ends by definition; those of several get them from the products of their blocks' matrices."""
     several = blocks.groupBy("_key").agg(F.count("*").alias("_blocks")).where("_blocks > 1").select("_key")
     parts = blocks.select("_key", "_block", "_rows").join(several, "_key", "left_semi")
     matrices = parts.mapInArrow(_matrices, "_key string, _block long, _matrix array<long>")
@@ -267,7 +267,9 @@ def _edits(blocks: DataFrame) -> DataFrame:
     chained = walked.join(several, "_key", "left_semi").select("_key", "_block", "_entry", "_exit")
     taken = chained.groupBy("_key").applyInPandas(_chain, "_key string, _block long, _entry int").withColumn("_taken", F.lit(True))
     chosen = walked.join(several, "_key", "left_anti").unionByName(walked.join(taken, ["_key", "_block", "_entry"]).drop("_taken"))
-    return blocks.drop("_rows").join(chosen, ["_key", "_block"])
+    out = materialise(blocks.drop("_rows").join(chosen, ["_key", "_block"]), "edits")
+    discard(walked)
+    return out
 
 
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +334,8 @@ def repair_report(rows: DataFrame, *, id: str = "conv_id", turn: str = "turn", r
     damaged = _placed(damage(rows, id, turn, role, text))
     codes = _codes(damaged)
     blocks = materialise(_blocks(codes), "blocks")
-    edits = materialise(_edits(blocks), "edits")
+    edits = _edits(blocks)
+    discard(blocks)
     stream = ["_key", *PLACE, "_kind", "_copies", "_text"]
     texts = damaged.where(~F.col("_gone")).withColumn("_kind", F.lit(1)).select(*stream)
     letters = edits.withColumns({"_kind": F.lit(0), "_copies": F.lit(1).cast("long"), "_text": F.col("_letters")}).select(*stream)

@@ -79,7 +79,8 @@ class CompressionClassifier:
 def quality_scores(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS, label: str = "quality", id: str = "doc_id", text: str = "text") -> DataFrame:
     """id and score (0 to 1, higher for good text) of every whole text.
 
-    One row for each row of docs, repeated ones and null ids too; null texts count as empty, which have one defined score.
+    One row for each row of docs, repeated ones and null ids too; null texts count as empty, which have one defined score. Texts of any
+    length are read whole, block by block; an empty table gives an empty one.
     Only id and text of docs are read, so other columns can't clash. Nothing of docs is shuffled.
     """
     model = CompressionClassifier(labelled_sample(docs, labels, label, rows, balance=True, id=id, text=text))

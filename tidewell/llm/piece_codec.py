@@ -228,7 +228,7 @@ def piece_digests(docs: DataFrame, model_file: str, *, id: str = "doc_id", text:
     crc32 of the decoded text's UTF-8 bytes, and whether that text equals the original with meta spaces as spaces.
 
     A null text counts as empty (no ids, both sums 0, true). One row for each row, repeated ones too; other columns of
-    docs are left out, so none can clash. Texts of any length are read whole; nothing is shuffled.
+    docs are left out, so none can clash. Texts of any length are read whole, an empty table gives an empty one; nothing is shuffled.
     """
 
     @F.arrow_udf(DIGEST)

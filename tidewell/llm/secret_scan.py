@@ -175,7 +175,7 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = MORE, *, id: str =
     """id, spans of each base kind, a digest of the base spans, and all spans (base and `rules`) as a string.
 
     One row for each row of docs, repeated ones and null ids too; null and empty texts have no spans, and the digest of
-    an empty string. Only id and text of docs are read, so other columns can't clash; nothing is shuffled.
+    an empty string. Texts of any length are read whole; an empty table gives an empty one. Only id and text of docs are read, so other columns can't clash; nothing is shuffled.
     """
     base = {r.kind for r in BASE}
 

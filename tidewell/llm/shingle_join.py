@@ -148,7 +148,7 @@ def signature_rows(docs: DataFrame, text: str = "text") -> DataFrame:
         key, sig = np.concatenate(keys), np.concatenate(lists)
         hub, none = np.zeros(len(key), np.int64), np.ones(len(key), bool)
         ordered = np.sort(sig)
-        if (ordered[HOT - 1 :] == ordered[: len(ordered) - HOT + 1]).any():
+        if len(ordered) >= HOT and (ordered[HOT - 1 :] == ordered[: len(ordered) - HOT + 1]).any():
             order = np.lexsort((key, sig))
             first = np.flatnonzero(np.append(True, sig[order][1:] != sig[order][:-1]))
             many = np.diff(np.append(first, len(order)))

@@ -223,7 +223,10 @@ def record_starts(index: DataFrame) -> DataFrame:
 
 
 def token_records(docs: DataFrame, tokenizer_file: str, *, path: str | None = None, end_id: int = 0, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes records and index under path (a new shared folder by default) and returns record_starts() of what was read."""
+    """Writes records and index under path (a new shared folder by default) and returns record_starts() of what was read.
+
+    Odd rows are as in write_records: null texts are empty and have the end id alone, rows without an id come last, repeated rows have a
+    record each, texts of any length are read whole, and an empty table gives no rows. Only id and text of docs are read."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "records")
     write_records(docs, f"{path}/records", tokenizer_file, end_id=end_id, id=id, text=text)

@@ -228,8 +228,9 @@ def toxicity_score(text: Column, model: ToxicityModel) -> Column:
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", **fit) -> DataFrame:
     """id and score (0 to 1, higher for toxic text) of every whole text.
 
-    One row for each row of docs, repeated ones and null ids too; null and empty texts have the score of no words. Only
-    id and text of docs are read, so other columns can't clash. Nothing of docs is shuffled.
+    One row for each row of docs, repeated ones and null ids too; null and empty texts have the score of no words, texts of any length
+    are read whole, an empty table gives an empty one. Without labelled rows of both kinds every score is the share of toxic
+    ones (0 without any). Only id and text of docs are read, so other columns can't clash. Nothing of docs is shuffled.
     """
     model = fit_toxicity(docs, labels, id=id, text=text, **fit)
     return docs.select(F.col(id), toxicity_score(F.col(text), model).alias("score"))
@@ -262,8 +263,9 @@ def toxicity_verdicts(docs: DataFrame, labels: DataFrame, *, language: str = "la
 
     The network learns from labelled rows outside the held-out fold and the calibration fold, so scores differ a little from
     those of toxicity_scores; thresholds come from the calibration fold (see language_thresholds for `least`), 0.5 where it
-    has no row of a language. One row for each row of docs, null languages and ids too; null and empty texts have the score
-    of no words. Texts are scored once: scores are written to the shared folder, and only they are joined.
+    has no row of a language. One row for each row of docs, repeated ones, null languages and ids too; null and empty texts have the
+    score of no words; an empty table gives an empty one. Only id, language and text of docs are read, so other columns can't
+    clash. Texts are scored once: scores are written to the shared folder, and only they are joined.
     """
     calibrating = F.coalesce(for_calibration(F.col(id)), F.lit(False))
     model = fit_toxicity(docs, labels.where(~calibrating), label=label, id=id, text=text, **fit)

@@ -56,13 +56,28 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_buckets(df: DataFrame, key: str, label: str) -> DataFrame:
+    """As materialise(), for a table that is joined by `key` several times: it is written in buckets of it, so joins shuffle only what
+    they join it with. It has a name in the session's catalog until discard()."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    name, buckets = _table_name(path), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with shuffles_deleted(spark):
+        df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def _table_name(path: str) -> str:
+    return path.rpartition("/")[2].replace("-", "_")
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables made by materialise(), once nothing reads them any more."""
+    """Delete tables made by materialise() and materialise_buckets(), once nothing reads them any more."""
     for df in tables:
-        context = df.sparkSession.sparkContext
+        spark, context = df.sparkSession, df.sparkSession.sparkContext
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = context._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(folder)}")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import discard, hash_words, materialise, mix, ngrams
+from tidewell.llm.common import discard, hash_words, materialise, materialise_buckets, mix, ngrams
 from tidewell.llm.components import connected_components
 
 SHINGLE = 5
@@ -224,9 +224,12 @@ def linked_sets(docs: DataFrame, sizes: DataFrame, id: str = "doc_id", text: str
     wanted = sizes.groupBy("key").agg(F.min("id").alias("_id")).join(keys, "key").select("_id", F.col("key").alias("_key"))
     # by merging at every size, so that a small input shows how a large one behaves; ids, and so partitions, are even
     rows = docs.select(F.col(id).alias("_doc"), F.col(text).alias("text")).join(wanted.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")))
-    texts = materialise(sketches(rows.select("_key", "text")), "texts")
+    # joined by key time and again, so in buckets: then only pairs are shuffled
+    texts = materialise_buckets(sketches(rows.select("_key", "text")), "key", "texts")
     if not texts.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty():  # repeated rows
-        texts = replaced(texts, texts.dropDuplicates(["key"]), "texts")
+        once = materialise_buckets(texts.dropDuplicates(["key"]), "key", "texts")
+        discard(texts)
+        texts = once
     sketched = texts.select("key", "size", "sketch")
     likely = materialise(possible(tried, sketched), "likely")
     links = materialise(verified(likely, texts), "links")

@@ -1,4 +1,4 @@
-"""The ten operators against brute force, libraries and labels, with odd inputs."""
+"""The first ten operators against brute force, libraries and labels, with odd inputs."""
 
 from __future__ import annotations
 

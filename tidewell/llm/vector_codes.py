@@ -25,8 +25,8 @@ from tidewell.llm.common import materialise
 
 #: Components are whole numbers of at most this size either way; larger ones count as this. So squares of differences fit 64 bits.
 LARGEST = 1 << 24
-#: Vectors compared at a time; it changes no result.
-AT_ONCE = 2048
+#: Vectors compared at a time, so few that their bounds stay in a processor's cache; it changes no result.
+AT_ONCE = 256
 #: Segments of a part, coarse to fine, and the share of entries left above which bounds are computed for all of them.
 CUTS, DENSE = (1, 4, 8), 0.25
 #: Room for the rounding of bounds, as a share of the squared norms.

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.timestamps import INTERVALS, STEPS, minmax, to_millis
 from tidewell.operators import anomalies, blocks, scaling, series, uplink, vectors
+from tidewell.plans import apps, saved
+from tidewell.sources.pinned import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -512,6 +514,34 @@ def tukey_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomalies.apply_tukey(rows, anomalies.fit_tukey(rows.where("o_orderstatus = 'F'"), "o_totalprice")).select("o_orderkey", F.round("tukey_dist", 6).alias("tukey_dist"))
 
 
+FENCES = "q AS (SELECT max(CASE WHEN k = greatest(1, floor(0.25 * n + 0.5)) THEN v END) AS a, max(CASE WHEN k = least(n, floor(0.75 * n + 0.5)) THEN v END) AS b FROM r), f AS (SELECT a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi FROM q)"
+
+
+@query(
+    f"WITH r AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS k, count(*) OVER () AS n FROM orders), {FENCES} "
+    "SELECT o_orderkey, round(CASE WHEN o_totalprice < lo THEN o_totalprice - lo WHEN o_totalprice > hi THEN o_totalprice - hi ELSE 0 END, 6) AS tukey_dist FROM orders, f"
+)
+def app_tukey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An application by its settings alone: the source, the model and its column."""
+    settings = {"ds.name": "parquet", "ds.url": f"{sf_dir}/orders.parquet", "anon.model": "tukey", "anon.value": "o_totalprice"}
+    return apps.anomalies(spark, settings).select("o_orderkey", F.round("tukey_dist", 6).alias("tukey_dist"))
+
+
+@query(
+    f"WITH r AS (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal) AS k, count(*) OVER () AS n FROM customer), {FENCES}, m AS (SELECT min(c_acctbal) AS a, max(c_acctbal) AS b FROM customer) "
+    "SELECT s_suppkey, round((s_acctbal - a) / (b - a), 6) AS scaled, round(s_acctbal, 6) AS back, round(CASE WHEN s_acctbal < lo THEN s_acctbal - lo WHEN s_acctbal > hi THEN s_acctbal - hi ELSE 0 END, 6) AS tukey_dist FROM supplier, f, m"
+)
+def saved_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fences and bounds of customers' balances, saved, loaded and applied to suppliers; the scaling is undone by a loaded model, too."""
+    known, folder = read(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("x")), shared_folder(spark, "saved")
+    saved.save(spark, anomalies.fit_tukey(known, "x"), f"{folder}/fences")
+    saved.save(spark, scaling.fit_scaler(known, "x"), f"{folder}/bounds")
+    rows = anomalies.apply_tukey(read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x")), saved.load(spark, f"{folder}/fences"))
+    bounds = saved.load(spark, f"{folder}/bounds")
+    out = scaling.unscale(scaling.scale(rows, bounds, "scaled"), bounds, "scaled", "back")
+    return out.select("s_suppkey", *[F.round(c, 6).alias(c) for c in ("scaled", "back", "tukey_dist")])
+
+
 def _message_v2(df: DataFrame) -> DataFrame:
     text = F.concat(
         F.lit('{"app_id":"app","dev_id":"'), F.col("event_type"), F.lit('","hardware_serial":"'), F.col("user_id").cast("string"), F.lit('","counter":'), F.col("event_id").cast("string"),

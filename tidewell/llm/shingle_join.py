@@ -16,12 +16,13 @@ link has a signature in common, whatever the sets.
 Candidates. Sets with a common signature form a bucket. All pairs of a bucket would be too many where copies abound, and
 components need no more than some links. First each set is compared with a centre, the bucket's least key, which near
 copies have in common in most of their buckets, and components are formed. Where one task alone sees a signature `HOT`
-times, the least of these keys is their centre and stands for them in the bucket. So a bucket brings fewer than `HOT` rows from
-each `AT_ONCE` to the one task that finds its least key (of 24 bytes each, which can spill), whatever share of the sets it has. Buckets that still hold several components are then searched block by block (`BLOCK` sets against as many, in
-numpy): a set's sketch is the parity of its elements' hashes by bucket of a bitmap, and the bits in which two sketches
-differ are a lower bound of the sets' difference, close enough to rule out nearly all pairs that don't link, and none that do. Of the
-pairs that pass, a spanning forest by distance is compared and components are formed again; at last, all pairs that pass
-between different components are compared, each. What is left unlinked was ruled out, compared, or shares no signature.
+times, the least of these keys is their centre and stands for them in the bucket. So a bucket brings fewer than `HOT` of each
+`AT_ONCE` signature rows to the one task that finds its least key (24 bytes a row, which can spill), whatever its share of the sets.
+Buckets that still hold several components are then searched block by block (`BLOCK` sets against as many, in numpy): a set's
+sketch is the parity of its elements' hashes by bucket of a bitmap, and the bits in which two sketches differ are a lower
+bound of the sets' difference, close enough to rule out nearly all pairs that don't link, and none that do. Of the pairs
+that pass, a spanning forest by distance is compared and components are formed again; at last, all pairs that pass between
+different components are compared, each. What is left unlinked was ruled out, compared, or shares no signature.
 The comparison is exact, on texts. Nothing is dropped, capped or sampled.
 """
 

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidewell.llm import common
+from tidewell.llm import piece_codec as P
 from tidewell.llm import quality_rules as Q
+from tidewell.llm.queries import tokenizer_file
 
 
 def _labelled(spark, n: int = 700):
@@ -41,3 +45,15 @@ def test_forest_of_few_rows(spark):
         out = Q.quality_report(table.select("doc_id", "text"), some).collect()
         assert len(out) == 40 and any(r.kept for r in out)
     assert Q.fit_forest(table.select("doc_id", "text"), labels.where("false")) is None
+
+
+def test_workers_free_what_others_have_loaded(monkeypatch):
+    """The rules' tasks run in workers that may have held a codec with all its words."""
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda f: lambda text: f)
+    file, batch = tokenizer_file("piece_bpe_32k.model"), pa.array(["some words", None] * 300)
+    for function in (Q.verdict("text", None), Q._features("text")):
+        seen = P.codec(file)
+        assert P.codec(file) is seen and len(common._loaded) == 1
+        assert [len(x) for x in function(iter([batch]))] == [600]
+        assert not common._loaded
+    assert list(common.texts_of(batch)) == batch.to_pylist()

@@ -5,13 +5,17 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Text documents of the test data, in the order in which pipeline stages must return them.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -85,6 +89,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+_loaded: dict[tuple[str, str], object] = {}
+
+
+def loaded(kind: Callable[[str], T], file: str) -> T:
+    """What `kind` makes of a file, once in a Python worker, shared by its tasks. Workers are used for all that a session runs and keep
+    what they have loaded, with all the words that it remembers, until another one is loaded or unload() is called."""
+    key = (f"{kind.__module__}.{kind.__qualname__}", file)
+    if key not in _loaded:
+        unload()
+        _loaded[key] = kind(file)
+    return _loaded[key]
+
+
+def unload() -> None:
+    """Frees what earlier operators have loaded in this worker; for tasks of operators that need the memory."""
+    _loaded.clear()
+
+
+def texts_of(batch: pa.Array, rows: int = 250) -> Iterator[str | None]:
+    """The texts of a batch, of which few are Python strings at a time."""
+    for at in range(0, len(batch), rows):
+        yield from batch.slice(at, rows).to_pylist()
+
+
 class Remembered(dict):
     """A table of computed values of at most twice `limit` entries: when full it becomes the old one, which is asked
     before a value is computed anew, so frequent keys stay. Which values are kept changes no result."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import Remembered
+from tidewell.llm.common import Remembered, loaded, texts_of
 from tidewell.llm.pieces import META, Automaton, Pieces
 
 #: Characters in a chunk of a text; it changes no result.
@@ -184,14 +184,13 @@ class PieceCodec:
         return text[1:] if text[:1] == " " else text
 
 
-_loaded: dict[str, PieceCodec] = {}
+def _codec(model_file: str) -> PieceCodec:
+    return PieceCodec(Pieces(model_file))
 
 
 def codec(model_file: str) -> PieceCodec:
     """One codec for each model in a Python worker, shared by its tasks."""
-    if model_file not in _loaded:
-        _loaded[model_file] = PieceCodec(Pieces(model_file))
-    return _loaded[model_file]
+    return loaded(_codec, model_file)
 
 
 def encoded(text: Column, model_file: str) -> Column:
@@ -236,7 +235,7 @@ def piece_digests(docs: DataFrame, model_file: str, *, id: str = "doc_id", text:
         own = codec(model_file)
         for batch in batches:
             rows = []
-            for text in batch.to_pylist():
+            for text in texts_of(batch):
                 ids = own.encode(text or "")
                 back = own.decode(ids)
                 same = back == (text or "").replace(META, " ")

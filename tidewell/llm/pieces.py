@@ -26,7 +26,7 @@ NEVER = -float("inf")
 class Pieces:
     """The vocabulary of a model file; `limit` bounds the table of tested pairs, which is emptied when full."""
 
-    def __init__(self, model_file: str, limit: int = 400_000):
+    def __init__(self, model_file: str, limit: int = 50_000):
         proto = sentencepiece_model_pb2.ModelProto()
         with open(model_file, "rb") as f:
             proto.ParseFromString(f.read())

@@ -109,7 +109,8 @@ def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
 def _parsed(messages: DataFrame, value: str, schema: str) -> DataFrame:
     """Messages that are JSON with _t, their typed values, and _s, the same as variants."""
     both = F.struct(F.from_json(value, typed(schema)).alias("t"), F.from_json(value, loose(schema)).alias("s"), F.try_parse_json(value).isNotNull().alias("json"), F.json_object_keys(value).alias("keys"))
-    rows = _once(messages, "_x", both).where("_x.json")
+    # what has no keys is no JSON object, and isn't parsed: its mandatory keys would be missing
+    rows = _once(messages.where(F.json_object_keys(value).isNotNull()), "_x", both).where("_x.json")
     return rows.select(*messages.columns, F.col("_x.t").alias("_t"), F.col("_x.s").alias("_s"), F.col("_x.keys").alias("_keys"))
 
 

@@ -40,7 +40,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts are encoded and decoded: a digest of ids and text for each row; a null text counts as empty."""
-    return piece_digests(docs, tokenizer_file("piece_bpe_32k.model"))
+    return piece_digests(docs, tokenizer_file("piece_bpe_32k.model"), lean=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -57,3 +59,26 @@ def test_workers_free_what_others_have_loaded(monkeypatch):
         assert [len(x) for x in function(iter([batch]))] == [600]
         assert not common._loaded
     assert list(common.texts_of(batch)) == batch.to_pylist()
+
+
+def test_labelled_texts_are_described_once(spark, monkeypatch):
+    """A second evaluation takes a second Python worker in each task."""
+    monkeypatch.setattr(Q, "materialise", lambda df, label: df)
+    rows = [(1, "few words"), (2, " ".join(f"w{x}" for x in range(30))), (2, None), (None, " ".join(f"w{x}" for x in range(40)))]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    found = Q.labelled_features(docs, labels)
+    assert [(r._features, r._good) for r in found.collect()] == [(Q.statistics(rows[1][1])[1], True)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_freed_codecs_are_gone_at_once_and_lean_ones_encode_alike():
+    """A codec refers to itself by its tables, and so stayed until Python happened to collect its garbage."""
+    file = tokenizer_file("piece_bpe_32k.model")
+    gone = weakref.ref(P.codec(file))
+    common.unload()
+    assert gone() is None
+    texts = [" ".join(f"{chr(97 + i % 26)}w{x}thing  {x % 7}" for x in range(i)) for i in range(60)]
+    lean, plain = P.PieceCodec(P.Pieces(file), words=5, transitions=50), P.codec(file)
+    assert P.codec(file, lean=True).automaton.limit == P.LEAN_TRANSITIONS and len(common._loaded) == 1
+    assert [lean.encode(t) for t in texts] == [plain.encode(t) for t in texts]
+    assert len(lean.spaced) <= 5 and lean.automaton.size < 500

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -103,8 +105,13 @@ def loaded(kind: Callable[[str], T], file: str) -> T:
 
 
 def unload() -> None:
-    """Frees what earlier operators have loaded in this worker; for tasks of operators that need the memory."""
+    """Frees what earlier operators have loaded in this worker, and hands free memory back to the system; for tasks of operators that
+    need the memory."""
     _loaded.clear()
+    gc.collect()  # tables of remembered values refer to their owners
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.pythonapi, "malloc_trim", None):  # the GNU C library has it
+        trim(0)
 
 
 def texts_of(batch: pa.Array, rows: int = 250) -> Iterator[str | None]:

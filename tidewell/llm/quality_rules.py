@@ -197,10 +197,11 @@ def _features(text: Column) -> Column:
 
 def labelled_features(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "doc_id", text: str = "text") -> DataFrame:
     """_features and _good of every labelled document outside the held-out fold that passes the base rules, as a table written
-    once. Texts aren't shuffled. Each id counts once; of repeated ones, the least features and the least label do."""
+    once. Texts aren't shuffled. Each id counts once; of repeated ones, the least features and the least label do. Rows that fail the
+    rules go behind the aggregation: a filter before it would be evaluated by itself, with a second Python worker in each task."""
     known = labels.select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & ~held_out(F.col("_id")))
-    rows = docs.select(F.col(id).alias("_id"), _features(F.col(text)).alias("_features")).where("_id IS NOT NULL AND _features IS NOT NULL")
-    rows = rows.groupBy("_id").agg(F.min("_features").alias("_features")).join(known.groupBy("_id").agg(F.min("_label").alias("_label")), "_id")
+    rows = docs.select(F.col(id).alias("_id"), _features(F.col(text)).alias("_features")).where("_id IS NOT NULL")
+    rows = rows.groupBy("_id").agg(F.min("_features").alias("_features")).where("_features IS NOT NULL").join(known.groupBy("_id").agg(F.min("_label").alias("_label")), "_id")
     return materialise(rows.select("_features", (F.col("_label") == 1).alias("_good")), "labelled-features")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewell.llm import common
 from tidewell.llm import piece_codec as P
 from tidewell.llm import quality_rules as Q
+from tidewell.llm import token_records as T
 from tidewell.llm.queries import tokenizer_file
 
 
@@ -82,3 +83,18 @@ def test_freed_codecs_are_gone_at_once_and_lean_ones_encode_alike():
     assert P.codec(file, lean=True).automaton.limit == P.LEAN_TRANSITIONS and len(common._loaded) == 1
     assert [lean.encode(t) for t in texts] == [plain.encode(t) for t in texts]
     assert len(lean.spaced) <= 5 and lean.automaton.size < 500
+
+
+def test_signs_make_no_new_words():
+    """Words behind which signs stand are remembered without them; ids stay the library's, whatever stands side by side."""
+    file = tokenizer_file("byte_bpe_50k.json")
+    own = T.WordTokens(file)
+    plain = own.tokenizer
+    random = np.random.default_rng(5)
+    parts = ["a", "thing", "don't", "'s", "'", "''ll", ",", "!!", "_", "%%%", "12", "²", "é", "ж", "中", "́", "€", "—", " ", "  ", "\n", "\t", "\xa0", "​", "\x1d", "ǆ", "ɐ", "×", "\\", "]"]
+    for _ in range(3000):
+        text = "".join(random.choice(parts, random.integers(1, 9)))
+        assert own.encode(text) == own._pack(plain.encode(text, add_special_tokens=False).ids), text
+    few = T.WordTokens(file)
+    few.encode("a thing, a thing; the thing's %thing% (thing) thing!")
+    assert not {" thing,", " thing;", " thing's", " thing!"} & few.words.keys()

@@ -30,10 +30,12 @@ FILE_BYTES = 64 << 20
 #: What a record takes beside its text's tokens, about; records that are handed on at a time.
 RECORD_BYTES, ROWS = 30, 1 << 16
 NO_ID = 0x80
-#: Characters that are white space to the tokenizer's pattern; a word ends where one of them follows another character.
 _NUMBER = re.compile(r"part-(\d+)")
+#: Characters that are white space to the tokenizer's pattern; a word ends where one of them follows another character. It also
+#: ends between Latin letters or digits and an ASCII sign, so that signs make no new words.
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_WORDS = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+_WORDS = re.compile(f"[{_SPACES}]*+[0-9A-Za-zÀ-ÖØ-öø-ɏ]++(?=[{_SPACES}{re.escape(_SIGNS)}]|\\Z)|[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 
 
 def masked(data: bytes) -> int:
@@ -71,9 +73,9 @@ def ids_of(payload: memoryview) -> tuple[int | None, np.ndarray]:
 
 
 class WordTokens:
-    """Ids of texts by the tokenizers library, word by word. The library splits a text before it merges, and behind white
-    space that follows another character always; so a text's ids are those of its words in order, and words are
-    remembered. A word of letters only is one pre-token, which goes to the library's model without its other steps. A
+    """Ids of texts by the tokenizers library, word by word. The library splits a text before it merges, and always before white
+    space that follows another character and between a letter or digit and a sign; so a text's ids are those of its words in
+    order, and words are remembered. A word of letters only is one pre-token, which goes to the library's model without its other steps. A
     text that holds one of the added tokens' strings is left to the library as a whole.
     """
 
@@ -92,6 +94,7 @@ class WordTokens:
         rest = [b for b in range(256) if b not in plain]
         self.letters = {b: 256 + i for i, b in enumerate(rest)}
         self.space = chr(self.letters[32])
+        self.packed = [self._pack([i]) for i in range(self.tokenizer.get_vocab_size())]
         self.words = Remembered(self._word, 350_000)
 
     def _pack(self, ids) -> bytes:
@@ -103,7 +106,7 @@ class WordTokens:
         bare = word[1:] if word[0] == " " else word
         if bare.isalpha():
             spelt = word.encode().decode("latin-1").translate(self.letters) if not word.isascii() else word if bare is word else self.space + bare
-            return self._pack([t.id for t in self.model.tokenize(spelt)])
+            return b"".join([self.packed[t.id] for t in self.model.tokenize(spelt)])
         if bare[-1:] in (".", ",", "!") and bare[:-1].isalpha():  # letters end before signs
             return self.words[word[:-1]] + self.words[word[-1]]
         return self._pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
